@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import covertree, packing, simhash, telephony, tokenfile, tokens
+from tidewatch.llm import covertree, ctw, mixing, packing, repeats, secrets, simhash, telephony, tokenfile, tokens, toxicity
 from tidewatch.llm.common import documents, small_batches
 from tidewatch.session import stored, table
 
@@ -15,6 +15,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category probabilities and the verdict on every document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best candidates of every vector whose id is divisible by 20."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -34,12 +40,33 @@ def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_all(shards)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cell, tokens, sampling probability and decision of every document."""
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_p").alias("probability"), F.col("_kept").alias("kept"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every document."""
     return packing.pack(table(spark, sf_dir, "documents"), tokens.tokenizer_path("word_bpe_49k.json"), end_id=2).drop("ids")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_top_k": op3_top_k, "op4_telephony": op4_telephony, "op5_token_shards": op5_token_shards, "op7_packing": op7_packing}
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated word sequences."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), window=35).drop("kept")
+
+
+def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and context-tree scores of every document."""
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_top_k, op4_telephony, op5_token_shards, op6_mixing, op7_packing, op8_secrets, op9_repeats, op10_ctw)}
 
 ORACLE_SQL = {
     "op3_top_k": """
@@ -52,4 +79,19 @@ ORACLE_SQL = {
         r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
         SELECT * FROM r WHERE rank <= 20
     """,
+    "op9_repeats": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+            FROM documents),
+        p AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s
+              FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 33, 1))) AS i FROM d)),
+        m AS (SELECT r, i FROM p WHERE s IN (SELECT s FROM p GROUP BY s HAVING count(*) > 1)),
+        g AS (SELECT r, list(DISTINCT i + j) AS gone FROM (SELECT r, i, unnest(range(0, 35)) AS j FROM m) GROUP BY r),
+        k AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+                     CASE WHEN gone IS NULL THEN w
+                          ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END AS kept
+              FROM d LEFT JOIN g USING (r))
+        SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+    """,
 }

@@ -69,7 +69,7 @@ def simhash(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp): fp is the 64-bit fingerprint as a signed long."""
+    """(doc_id, th, fp): fp is the 64-bit fingerprint as a signed long, th a hash of the text."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,9 +77,9 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
             each = [np.array(shingle_hashes(t, words), np.uint64) for t in pdf["text"]]
             sizes = np.array([len(x) for x in each], np.int64)
             fp = simhash(np.concatenate(each) if each else np.empty(0, np.uint64), sizes)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "th": pdf["th"], "fp": fp.view(np.int64)})
 
-    return documents(docs).mapInPandas(run, "doc_id long, fp long")
+    return documents(docs).withColumn("th", F.xxhash64("text")).mapInPandas(run, "doc_id long, th long, fp long")
 
 
 def choose_blocks(n: int, radius: int, shard_rows: int) -> tuple[list[int], int]:
@@ -218,13 +218,59 @@ def links(distinct: DataFrame, n: int, radius: int = 4, shard_rows: int = 256, t
     return rows.mapInPandas(_link_shards(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """(doc_id, fp, fingerprint, component_id) of every row of ``docs``."""
-    prints = cut(fingerprints(docs, words))
+def components(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, component, component_id) of every distinct fingerprint."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     pairs = links(distinct.select("fp"), distinct.count(), radius)
     joined = connected_components(pairs, "a", "b")
     named = distinct.join(joined, distinct.fp == joined.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    known = named.join(smallest, "component").select("fp", "component_id")
+    return named.join(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("fp", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+    """(doc_id, fp, fingerprint, component_id) of every row of ``docs``."""
+    prints = cut(fingerprints(docs, words))
+    known = components(prints, radius)
     return prints.join(known, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _shingle_sets(words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [np.unique(np.array(shingle_hashes(t, words), np.uint64)).view(np.int64) for t in pdf["text"]]
+            yield pd.DataFrame({"component": pdf["component"], "doc_id": pdf["doc_id"].astype("Int64"), "th": pdf["th"], "shingles": sets})
+
+    return run
+
+
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 8, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of near copies, all columns kept.
+
+    Candidates are components of SimHash links; a document goes if its shingle set has a
+    Jaccard similarity of ``similarity`` or more with one that stays. Rounds take the
+    smallest remaining doc_id of each component as the one that stays, until no component
+    has two documents left to compare. Equal texts are folded before.
+    """
+    keyed = documents(docs).withColumn("th", F.xxhash64("text"))
+    prints = cut(fingerprints(docs, words))
+    member = cut(prints.join(components(prints, radius), "fp").select("doc_id", "th", "component").distinct())
+    met = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
+    first = member.groupBy("component", "th").agg(F.min("doc_id").alias("doc_id"))
+    gone = member.join(first, met(member, first), "left_anti").select("doc_id", "th")
+    many = first.join(first.groupBy("component").count().where("count > 1"), "component").select("component", F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    small_batches(docs.sparkSession)
+    wanted = keyed.join(many, keyed["doc_id"].eqNullSafe(many["_id"]) & (keyed["th"] == many["_th"])).select("component", "doc_id", "th", "text")
+    rest = cut(wanted.mapInPandas(_shingle_sets(words), "component long, doc_id long, th long, shingles array<long>").dropDuplicates(["component", "th"]))
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("th"))
+    while not rest.isEmpty():
+        stays = rest.groupBy("component").agg(F.min_by(F.struct("doc_id", "th", "shingles"), rank).alias("s"))
+        both = F.size(F.array_intersect("shingles", "s.shingles"))
+        either = F.size("shingles") + F.size("s.shingles") - both
+        judged = rest.join(stays, "component").where(F.col("th") != F.col("s.th")).withColumn("near", F.when(either == 0, 1.0).otherwise(both / either) >= similarity)
+        judged = cut(judged.drop("s"))
+        gone = gone.union(judged.where("near").select("doc_id", "th"))
+        left = judged.where("not near").drop("near")
+        rest = left.join(left.groupBy("component").count().where("count > 1").select("component"), "component")
+    gone = cut(gone)
+    rows = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).dropDuplicates(["doc_id", "_th"])
+    return rows.join(gone, rows["doc_id"].eqNullSafe(gone["doc_id"]) & (rows["_th"] == gone["th"]), "left_anti").drop("_th")
