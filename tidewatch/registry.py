@@ -1,4 +1,5 @@
 """All queries of the engine by name, and the SQL that states them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tidewatch.plans import ORACLE_SQL, QUERIES, content, graphs, operations, ranking, text, versions  # noqa: F401
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
