@@ -74,7 +74,12 @@ def spans(docs: DataFrame) -> DataFrame:
 def _codes(value: Column) -> Column:
     """Index of each character pair in a square table over the alphabet."""
     at = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    return F.zip_with(F.slice(at, F.lit(1), F.greatest(F.length(value) - 1, F.lit(0))), F.slice(at, F.lit(2), F.greatest(F.length(value) - 1, F.lit(0))), lambda a, b: a * len(ALPHABET) + b)
+
+    def pairs(x: Column) -> Column:
+        less = F.greatest(F.size(x) - 1, F.lit(0))
+        return F.zip_with(F.slice(x, F.lit(1), less), F.slice(x, F.lit(2), less), lambda a, b: a * len(ALPHABET) + b)
+
+    return F.get(F.transform(F.array(at), pairs), F.lit(0))
 
 
 def ratios(found: DataFrame, docs: DataFrame) -> list[float]:
