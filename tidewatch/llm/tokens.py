@@ -9,14 +9,17 @@ could change the result go to the library whole.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 
-CACHE = 600_000
+CACHE = 900_000
 #: White space on both sides of a space lets a token cross it.
 CROSSING = re.compile(r"\s \s")
+#: A Latin word and the punctuation after it: one pre-token each in either tokenizer.
+SIMPLE = re.compile("([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([.,!?;:|]*)")
 #: Characters on which Python's and the tokenizers' notion of white space may differ.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
 
@@ -30,16 +33,43 @@ class ChunkEncoder:
         self.tok = Tokenizer.from_file(path)
         self.spaced = self.tok.normalizer is None  # a chunk keeps the space before it
         self.seen: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
+        # byte-level models write each byte as a printable character: itself, or the next free one from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        odd = [b for b in range(256) if b not in plain]
+        self.chars = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(odd)}
         self.mark = next((c for c in "§¶ø" if len(self.whole(" " + c)) == 4), None)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def unit(self, piece: str) -> bytes:
+        """Ids of one pre-token, from the library's model itself."""
+        found = self.units.get(piece)
+        if found is None:
+            written = "".join(map(self.chars.__getitem__, piece.encode()))
+            found = self.units[piece] = array("I", [t.id for t in self.tok.model.tokenize(written)]).tobytes()
+        return found
+
+    def chunk(self, c: str, lead: str) -> bytes | None:
+        """Ids of a simple chunk, None for others."""
+        m = SIMPLE.fullmatch(c)
+        if not m:
+            return None
+        word, tail = m.groups()
+        out = self.unit(lead + word if self.spaced else word.lower())
+        return out + self.unit(tail) if tail else out
+
     def learn(self, chunks: list[str]) -> None:
-        """Encodes new chunks in one call, parted by a mark that none of them holds."""
-        lead = " " if self.spaced else ""
-        many = [c for c in chunks if c and not c[0].isspace() and self.mark and self.mark not in c]
+        """Remembers new chunks; all that are not simple are encoded in one call, parted by a mark that none holds."""
+        lead, hard = " " if self.spaced else "", []
+        for c in chunks:
+            found = self.chunk(c, lead)
+            if found is None:
+                hard.append(c)
+            else:
+                self.seen[c] = found
+        many = [c for c in hard if c and not c[0].isspace() and self.mark and self.mark not in c]
         if many:
             mark = np.frombuffer(self.whole(" " + self.mark), "<u4")[0]
             ids = np.array(self.tok.encode_batch_fast([lead + f" {self.mark} ".join(many)], add_special_tokens=False)[0].ids, "<u4")
@@ -49,36 +79,39 @@ class ChunkEncoder:
                 lo = [0, *((at + 1) * 4).tolist()]
                 hi = [*(at * 4).tolist(), len(flat)]
                 self.seen.update((c, flat[a:b]) for c, a, b in zip(many, lo, hi))
-        for c in chunks:
+        for c in hard:
             if c not in self.seen:
                 self.seen[c] = self.whole(lead + c)
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        parts: list[list[str] | None] = []
+        if len(self.seen) > CACHE:
+            self.seen.clear()
+        if len(self.units) > CACHE:
+            self.units.clear()
+        get, parts, new = self.seen.get, [], set()
         for t in texts:
             if "<|" in t or (CROSSING.search(t) if self.spaced else ODD_SPACE.search(t)):
                 parts.append(None)
-            else:
-                parts.append(t.split(" ") if self.spaced else t.split())
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-        new: set[str] = set()
-        for p in parts:
-            if p:
-                new.update(p[1:] if self.spaced else p)
-        new.difference_update(self.seen.keys()) if len(new) > len(self.seen) else new.__isub__({c for c in new if c in self.seen})
+                continue
+            chunks = t.split(" ") if self.spaced else t.split()
+            head = chunks.pop(0) if self.spaced else ""
+            have = list(map(get, chunks))
+            lost = [i for i, b in enumerate(have) if b is None] if None in have else []
+            new.update([chunks[i] for i in lost])
+            parts.append((head, chunks, have, lost))
         if new:
-            self.learn(sorted(new))
-        get = self.seen.__getitem__
+            self.learn(list(new))
         out = []
-        for t, p in zip(texts, parts):
-            if p is None:
+        for t, part in zip(texts, parts):
+            if part is None:
                 out.append(self.whole(t))
-            elif self.spaced:
-                out.append((self.whole(p[0]) if p[0] else b"") + b"".join(map(get, p[1:])))
-            else:
-                out.append(b"".join(map(get, p)))
+                continue
+            head, chunks, have, lost = part
+            for i in lost:
+                have[i] = self.seen[chunks[i]]
+            first = b"" if not head else self.chunk(head, "") or self.whole(head)
+            out.append(first + b"".join(have))
         return out
 
     @property
