@@ -1,8 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.functions import names as N
 from tidewatch.functions import text as T
 from tidewatch.operators import graph, versions
+from tidewatch.sources import feeds
 from tidewatch.streaming import state
 
 
@@ -55,3 +57,33 @@ def test_source_backoff(spark):
     log = spark.createDataFrame([(1, "2024-01-01 00:00:00", 1, True)] + [(1, f"2024-01-01 01:00:0{i}", 2 + i, False) for i in range(2)] + [(2, "2024-01-01 00:00:00", 9, False)] + [(3, f"2024-01-01 00:00:0{i}", 20 + i, False) for i in range(8)], "source_id long, t string, seq long, ok boolean").withColumn("ts", F.col("t").cast("timestamp_ntz"))
     got = {r.source_id: (r.consecutive_failures, r.next_eligible_at.isoformat()) for r in state.replay_sources(log).collect()}
     assert got == {1: (2, "2024-01-01T05:00:01"), 2: (1, "2024-01-01T02:00:00"), 3: (8, "2024-01-01T06:00:07")}
+
+
+def test_a_failed_attempt_erases_no_answer(spark):
+    log = spark.createDataFrame([(1, 1, 1, None, "error", None), (1, 2, 2, "present", None, "k"), (1, 3, 3, None, "unreadable", "z"), (2, 1, 4, None, "error", None)], "k long, at long, seq long, outcome string, failure string, item string")
+    got = versions.keep_answers(log, ["k"], "at", "seq", ["outcome"], ["failure"], ["item"])
+    assert rows(got) == [(1, "present", 2, "unreadable", 3, 1, "k"), (2, None, None, "error", 1, 1, None)]
+
+
+def test_worklist_orders_untried_failed_stale_fresh(spark):
+    repos = spark.createDataFrame([(1, 5), (2, 9), (3, 0), (4, 0), (5, 0), (6, 0)], "k long, stars long")
+    at = lambda c: F.to_timestamp_ntz(F.col(c))
+    known = spark.createDataFrame([(3, None, None, "2024-01-09 00:00:00"), (4, None, None, "2024-01-08 00:00:00"), (5, "present", "2024-01-02 00:00:00", "2024-01-02 00:00:00"), (6, "absent", "2024-01-02 00:00:00", "2024-01-02 00:00:00")], "k long, outcome string, a string, t string").select("k", "outcome", at("a").alias("answered_at"), at("t").alias("attempted_at"))
+    assert [r.k for r in versions.worklist(repos, known, "k", "2024-01-10 00:00:00", 9).collect()] == [2, 1, 4, 3, 6, 5]
+
+
+def test_names_and_slugs(spark):
+    cases = [("  ", "empty"), (None, "empty"), ("a/b", "separator"), ("a ", "whitespace_edge"), ("a\x01b", "control_char"), (".a", "dot_leading"), ("a:b", "reserved_char"), ("COM1.x", "device_name"), ("console", None), ("é" * 100, "too_long"), ("é" * 98, None)]
+    got = spark.createDataFrame(cases, "name string, want string").select("want", N.name_reason(F.col("name")).alias("got")).collect()
+    assert [r.want for r in got] == [r.got for r in got]
+    titles = [("Éa — B!", "ea-b"), ("日本", "untitled"), (None, "untitled"), ("ab " * 40, "-".join(["ab"] * 26)), ("x" * 90, "x" * 80)]
+    got = spark.createDataFrame(titles, "t string, want string").select("want", N.slug(F.col("t")).alias("got")).collect()
+    assert [r.want for r in got] == [r.got for r in got]
+
+
+def test_search_union_keeps_the_first_and_counts_the_rest(spark):
+    item = "array<struct<id: long, fork: boolean, archived: boolean>>"
+    pages = spark.createDataFrame([("t", 1, 1, [(1, False, False), (2, True, False)]), ("t", 2, 1, [(1, True, True), (3, False, False)])], f"topic string, request int, page int, items {item}")
+    plan = spark.createDataFrame([("t", 1, 2, 40), ("t", 2, 1, 2), ("u", 1, 1, 0)], "topic string, request int, planned int, reported int")
+    assert rows(feeds.search_union(pages)) == [("t", 1, 1, False, False), ("t", 1, 2, True, False), ("t", 2, 3, False, False)]
+    assert rows(feeds.search_coverage(plan, pages)) == [("t", 3, 2, 42, 4, 1, 1, 2), ("u", 1, 0, 0, 0, 0, 0, 0)]

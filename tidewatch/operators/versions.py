@@ -58,3 +58,36 @@ def replay_state(log: DataFrame) -> DataFrame:
     )
     after = F.filter("saves", lambda s: F.col("cleared").isNull() | (s > F.col("cleared")))
     return events.select("item_key", "read_at", F.get(after, F.lit(0))["ts"].alias("saved_at"), "dismissed_at", F.col("dismissed_at").isNotNull().cast("int").alias("signals"))
+
+
+def keep_answers(attempts: DataFrame, keys: list[str], observed: str, seq: str, answer: list[str], attempt: list[str], first: list[str]) -> DataFrame:
+    """Field-preserving upsert of ordered attempts: one row per key.
+
+    ``answer`` columns come together from the last attempt that has the first of them, so a
+    failed attempt erases none; ``attempt`` columns come from the last attempt of all;
+    ``first`` columns keep their first value that is not null.
+    """
+    order = F.struct(observed, seq)
+    answered = F.col(answer[0]).isNotNull()
+    folded = attempts.groupBy(*keys).agg(
+        F.max_by(F.struct(*answer, F.col(observed).alias("answered_at")), F.when(answered, order)).alias("_a"),
+        F.max_by(F.struct(*attempt, F.col(observed).alias("attempted_at")), order).alias("_t"),
+        F.min(observed).alias("first_attempted_at"),
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in first],
+    )
+    return folded.select(*keys, "_a.*", "_t.*", "first_attempted_at", *first)
+
+
+def worklist(candidates: DataFrame, answers: DataFrame, key: str, now: str, most: int) -> DataFrame:
+    """The first ``most`` candidates: never tried, tried in vain, stale, fresh.
+
+    Tried in vain: oldest attempt first; stale: oldest answer first; others: most stars
+    first. A prose answer stays fresh for 30 days, any other answer for 24 hours.
+    """
+    window = F.when(F.col("outcome") == "present", F.expr("interval 30 days")).otherwise(F.expr("interval 24 hours"))
+    fresh = F.col("answered_at") > F.lit(now).cast("timestamp_ntz") - window
+    tier = F.when(F.col("attempted_at").isNull(), 0).when(F.col("outcome").isNull(), 1).when(fresh, 3).otherwise(2)
+    rows = candidates.join(answers.select(key, "outcome", "answered_at", "attempted_at"), key, "left").withColumn("tier", tier)
+    waited = F.when(F.col("tier") == 1, F.col("attempted_at")).when(F.col("tier") == 2, F.col("answered_at"))
+    stars = F.when(F.col("tier").isin(0, 3), F.col("stars"))
+    return rows.orderBy("tier", waited, stars.desc(), key).limit(most)

@@ -42,3 +42,27 @@ def first_of(df: DataFrame, key: str, *order: str) -> DataFrame:
     """The first row per key."""
     rest = [c for c in df.columns if c != key]
     return df.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def search_union(pages: DataFrame) -> DataFrame:
+    """Rows of all result pages of a topic, each id once: its first by (request, page, position).
+
+    ``pages``: topic, request, page, items array<struct<id, fork, archived, ...>>.
+    """
+    rows = pages.select("topic", "request", "page", F.posexplode("items").alias("pos", "item"))
+    first = rows.groupBy("topic", F.col("item.id").alias("id")).agg(F.min_by("item", F.struct("request", "page", "pos")).alias("_i"), F.min("request").alias("request"))
+    return first.select("topic", "request", "_i.*")
+
+
+def search_coverage(plan: DataFrame, pages: DataFrame) -> DataFrame:
+    """One row per topic: pages planned and completed, rows reported and retrieved, repeats, forks or archived, kept.
+
+    ``plan``: topic, request, planned, reported.
+    """
+    asked = plan.groupBy("topic").agg(F.sum("planned").alias("planned"), F.sum("reported").alias("reported"))
+    got = pages.groupBy("topic").agg(F.count("*").alias("completed"), F.sum(F.size("items")).alias("retrieved"))
+    unlike = F.col("fork") | F.col("archived")
+    kept = search_union(pages).groupBy("topic").agg(F.count("*").alias("ids"), F.count_if(unlike).alias("filtered"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    both = asked.join(got, "topic", "left").join(kept, "topic", "left")
+    return both.select("topic", *[zero(c).alias(c) for c in ("planned", "completed", "reported", "retrieved")], (zero("retrieved") - zero("ids")).alias("repeated"), zero("filtered").alias("filtered"), (zero("ids") - zero("filtered")).alias("kept"))
