@@ -42,3 +42,21 @@ def test_stages_on_the_smallest_tables(spark):
     ids = pieces.select("sequence_id").collect()
     assert len(ids) == len({r.sequence_id for r in ids}) > 0
     assert pieces.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).where("`sum(length)` <> `max(doc_tokens)`").count() == 0
+
+
+def test_near_copies_beyond_the_radius_go(spark):
+    rnd = random.Random(11)
+    rows = []
+    for i in range(120):
+        base = [f"v{rnd.randint(0, 5000)}" for _ in range(rnd.choice([30, 60, 120]))]
+        rows.append((3 * i, " ".join(base)))
+        # one edit inside takes five shingles, words at the end take one each
+        rows.append((3 * i + 1, " ".join(base[: len(base) - len(base) // 12])))
+        rows.append((3 * i + 2, " ".join(base + [f"n{rnd.randint(0, 5000)}" for _ in range(len(base) // 8)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = [(a, b) for i, a in enumerate(rows) for b in rows[max(0, i - 2) : i] if jaccard(a[1], b[1]) >= 0.8]
+    fp = {r.doc_id: r.fp for r in simhash.fingerprints(df, 5).collect()}
+    assert sum(((fp[a[0]] ^ fp[b[0]]) & (1 << 64) - 1).bit_count() > 8 for a, b in pairs) > 20
+    kept = simhash.keep_one(df).collect()
+    assert not any(jaccard(a.text, b.text) >= 0.8 for i, a in enumerate(kept) for b in kept[:i])
+    assert all(any(jaccard(t, k.text) >= 0.8 for k in kept) for _, t in rows)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import ASCII_LOWER, documents, ragged, small_batches, words_of
 from tidewatch.operators.graph import connected_components
-from tidewatch.session import cut
+from tidewatch.session import cut, stored
 
 SEED = 42
 
@@ -243,34 +243,142 @@ def _shingle_sets(words: int):
     return run
 
 
+#: Shingles that order last in a prefix: at least so many of the sampled texts (one in ``HOT_SAMPLE``) hold them, at most ``HOT_KEPT`` of them.
+HOT_SAMPLE, HOT_LEAST, HOT_KEPT = 8, 3, 500_000
+
+
+def _prefixes(words: int, similarity: float, hot):
+    """For mapInPandas: the first shingles of each text, the hot ones last, of which two texts that are similar enough share one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often = hot.value
+        for pdf in batches:
+            heads, rest, size = [], [], []
+            for t in pdf["text"]:
+                x = np.unique(np.array(shingle_hashes(t, words), np.uint64)).view(np.int64)
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, x), len(often) - 1)
+                    x = x[np.argsort(often[at] == x, kind="stable")]
+                left = max(0, int(np.ceil(similarity * len(x) - 1e-9)) - 1)
+                heads.append(x[: len(x) - left])
+                rest.append(left)
+                size.append(len(x))
+            n = np.array([len(h) for h in heads], np.int64)
+            yield pd.DataFrame({"shingle": np.concatenate(heads) if heads else np.empty(0, np.int64), "th": np.repeat(pdf["th"].to_numpy(np.int64), n), "size": np.repeat(np.array(size, np.int32), n), "rest": np.repeat(np.array(rest, np.int32), n)})
+
+    return run
+
+
+def _hot_shingles(texts: DataFrame, words: int) -> np.ndarray:
+    """Sorted hashes of shingles that many texts hold, judged by a sample; they only order the prefixes, so a miss costs time and loses no pair."""
+    some = texts.where(F.pmod("th", F.lit(HOT_SAMPLE)) == 0).select(F.lit(0).cast("long").alias("component"), "doc_id", "th", "text")
+    held = some.mapInPandas(_shingle_sets(words), "component long, doc_id long, th long, shingles array<long>").select(F.explode("shingles").alias("shingle"))
+    often = held.groupBy("shingle").count().where(F.col("count") >= HOT_LEAST).orderBy(F.desc("count"), "shingle").limit(HOT_KEPT)
+    return np.sort(often.select("shingle").toArrow().column("shingle").to_numpy().astype(np.int64))
+
+
+def similar(left: DataFrame, right: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): every pair of texts of the two prefix tables, told by ``th``, with a Jaccard similarity of ``similarity`` or more.
+
+    Two such texts of sizes x and y share t / (1 + t) * (x + y) shingles, so at least
+    that less the longer part behind a prefix within the prefixes.
+    """
+    x = left.select("shingle", F.col("th").alias("a"), F.col("size").alias("x"), F.col("rest").alias("p"))
+    y = right.select("shingle", F.col("th").alias("b"), F.col("size").alias("y"), F.col("rest").alias("q"))
+    near_in_size = F.least("x", "y") >= F.greatest("x", "y") * F.lit(similarity) - 1e-6
+    ordered = (F.col("a") < F.col("b")) if left is right else (F.col("a") != F.col("b"))
+    met = x.join(y, "shingle").where(ordered & near_in_size).groupBy("a", "b", "x", "y", "p", "q").agg(F.count("*").alias("n"))
+    met = cut(met.where(F.col("n") >= (F.col("x") + F.col("y")) * (similarity / (1 + similarity)) - F.greatest("p", "q") - 1e-6).select("a", "b"))
+    named = met.select(F.col("a").alias("_th")).union(met.select("b")).distinct()
+    wanted = texts.join(named, F.col("th") == F.col("_th")).select(F.lit(0).cast("long").alias("component"), "doc_id", "th", "text")
+    sets = cut(wanted.mapInPandas(_shingle_sets(words), "component long, doc_id long, th long, shingles array<long>").select("th", "shingles"))
+    both = met.join(sets.select(F.col("th").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("th").alias("b"), F.col("shingles").alias("t")), "b")
+    shared = F.size(F.array_intersect("s", "t"))
+    return both.where(shared / (F.size("s") + F.size("t") - shared) >= similarity).select("a", "b")
+
+
+def _rank(at: str = ""):
+    return F.struct(F.col(f"{at}doc_id").isNull(), F.col(f"{at}doc_id"), F.col(f"{at}th"))
+
+
+def _losers(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """(th): texts that go so that no pair stays whole; in order of rank, a text stays unless it is paired with one that does."""
+    l, r = known.select("doc_id", "th").alias("l"), known.select("doc_id", "th").alias("r")
+    named = pairs.join(l, F.col("a") == F.col("l.th")).join(r, F.col("b") == F.col("r.th"))
+    first = _rank("l.") < _rank("r.")
+    rest = cut(named.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("lo"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("hi")))
+    gone = rest.select(F.col("hi").alias("th")).where("false")
+    while not rest.isEmpty():
+        stay = rest.select(F.col("lo").alias("_s")).distinct().join(rest.select(F.col("hi").alias("_h")).distinct(), F.col("_s") == F.col("_h"), "left_anti")
+        out = cut(rest.join(stay, F.col("lo") == F.col("_s")).select(F.col("hi").alias("th")).distinct())
+        gone = gone.union(out)
+        rest = cut(rest.join(out, F.col("hi") == F.col("th"), "left_anti").join(out, F.col("lo") == F.col("th"), "left_anti"))
+    return cut(gone)
+
+
+def _one_of_each_component(first: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(th, by): texts of ``first`` that are similar to one of their component that stays, ``by``.
+
+    Rounds take the first remaining text of each component as the one that stays, until
+    no component has two texts left to compare.
+    """
+    many = first.join(first.groupBy("component").count().where("count > 1"), "component").select("component", F.col("th").alias("_th"))
+    wanted = texts.join(many, F.col("th") == F.col("_th")).select("component", "doc_id", "th", "text")
+    rest = cut(wanted.mapInPandas(_shingle_sets(words), "component long, doc_id long, th long, shingles array<long>"))
+    gone = rest.select("th", F.col("th").alias("by")).where("false")
+    while not rest.isEmpty():
+        stays = rest.groupBy("component").agg(F.min_by(F.struct("doc_id", "th", "shingles"), _rank()).alias("s"))
+        both = F.size(F.array_intersect("shingles", "s.shingles"))
+        either = F.size("shingles") + F.size("s.shingles") - both
+        judged = rest.join(stays, "component").where(F.col("th") != F.col("s.th")).withColumn("near", F.when(either == 0, 1.0).otherwise(both / either) >= similarity)
+        judged = cut(judged.withColumn("by", F.col("s.th")).drop("s"))
+        gone = gone.union(judged.where("near").select("th", "by"))
+        left = judged.where("not near").drop("near", "by")
+        rest = left.join(left.groupBy("component").count().where("count > 1").select("component"), "component")
+    return cut(gone)
+
+
 def keep_one(docs: DataFrame, words: int = 5, radius: int = 8, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near copies, all columns kept.
 
-    Candidates are components of SimHash links; a document goes if its shingle set has a
-    Jaccard similarity of ``similarity`` or more with one that stays. Rounds take the
-    smallest remaining doc_id of each component as the one that stays, until no component
-    has two documents left to compare. Equal texts are folded before.
+    No two documents that stay have shingle sets with a Jaccard similarity of
+    ``similarity`` or more, and each that goes has it with one that stays. Equal texts are
+    folded before. Components of SimHash links come first, as they reduce large groups
+    without looking at all their pairs; among what they leave, an exact join on prefixes
+    of rare shingles finds the pairs whose fingerprints lie further apart. Where a text
+    goes that others went for, those are compared with all that stay and, if similar to
+    none, gone through again.
     """
+    small_batches(docs.sparkSession)
     keyed = documents(docs).withColumn("th", F.xxhash64("text"))
     prints = cut(fingerprints(docs, words))
     member = cut(prints.join(components(prints, radius), "fp").select("doc_id", "th", "component").distinct())
-    met = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
-    first = member.groupBy("component", "th").agg(F.min("doc_id").alias("doc_id"))
-    gone = member.join(first, met(member, first), "left_anti").select("doc_id", "th")
-    many = first.join(first.groupBy("component").count().where("count > 1"), "component").select("component", F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    first = cut(member.groupBy("component", "th").agg(F.min("doc_id").alias("doc_id")))
     small_batches(docs.sparkSession)
-    wanted = keyed.join(many, keyed["doc_id"].eqNullSafe(many["_id"]) & (keyed["th"] == many["_th"])).select("component", "doc_id", "th", "text")
-    rest = cut(wanted.mapInPandas(_shingle_sets(words), "component long, doc_id long, th long, shingles array<long>").dropDuplicates(["component", "th"]))
-    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("th"))
-    while not rest.isEmpty():
-        stays = rest.groupBy("component").agg(F.min_by(F.struct("doc_id", "th", "shingles"), rank).alias("s"))
-        both = F.size(F.array_intersect("shingles", "s.shingles"))
-        either = F.size("shingles") + F.size("s.shingles") - both
-        judged = rest.join(stays, "component").where(F.col("th") != F.col("s.th")).withColumn("near", F.when(either == 0, 1.0).otherwise(both / either) >= similarity)
-        judged = cut(judged.drop("s"))
-        gone = gone.union(judged.where("near").select("doc_id", "th"))
-        left = judged.where("not near").drop("near")
-        rest = left.join(left.groupBy("component").count().where("count > 1").select("component"), "component")
-    gone = cut(gone)
+    met = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
+    # one row a text
+    one = first.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    texts = keyed.join(one, keyed["doc_id"].eqNullSafe(one["_id"]) & (keyed["th"] == one["_th"]), "left_semi").dropDuplicates(["th"])
+    hot = docs.sparkSession.sparkContext.broadcast(_hot_shingles(texts, words))
+    prefixes = lambda some: stored(texts.join(some.select(F.col("th").alias("_th")), F.col("th") == F.col("_th"), "left_semi").mapInPandas(_prefixes(words, similarity, hot), "shingle long, th long, size int, rest int"), "prefixes")
+    pending, kept, gone = first, None, first.select("th").where("false")
+    while True:
+        went = _one_of_each_component(pending, texts, words, similarity)
+        tops = pending.join(went.select("th"), "th", "left_anti")
+        mine = prefixes(tops)
+        out = _losers(similar(mine, mine, texts, words, similarity), first)
+        mine = mine.join(out, "th", "left_anti")
+        kept = mine if kept is None else kept.union(mine)
+        gone = gone.union(out).union(went.select("th"))
+        left = cut(went.join(out.select(F.col("th").alias("by")), "by", "left_semi").select("th"))
+        if left.isEmpty():
+            break
+        near = similar(prefixes(left), kept, texts, words, similarity).select(F.col("a").alias("th")).distinct()
+        back = cut(left.join(near, "th", "left_anti"))
+        if back.isEmpty():
+            break
+        gone = cut(gone.join(back, "th", "left_anti"))
+        pending = cut(first.join(back, "th", "left_semi"))
+    gone = cut(member.join(first, met(member, first), "left_anti").select("doc_id", "th").union(first.join(gone, "th", "left_semi").select("doc_id", "th")))
     rows = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).dropDuplicates(["doc_id", "_th"])
     return rows.join(gone, rows["doc_id"].eqNullSafe(gone["doc_id"]) & (rows["_th"] == gone["th"]), "left_anti").drop("_th")
