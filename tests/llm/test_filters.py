@@ -95,6 +95,40 @@ def test_redaction(spark):
     assert list(got[0].asDict()) == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def words_and_keys(n_keys, seed):
+    """Names in common texts, and random keys of letters and digits that no pattern knows."""
+    rnd = np.random.default_rng(seed)
+    part = np.array(["internal", "station", "under", "quantity", "identifier", "response", "container", "handling", "java", "element", "provider", "message", "zone", "yield", "xerox", "widget", "kernel", "load", "folder", "banner", "group", "value", "test", "document"])
+    form = ["_".join, lambda p: "".join(w.title() for w in p), lambda p: "_".join(p).upper(), lambda p: "-".join(p) + str(rnd.integers(1000, 9999)), lambda p: "/".join(p) + f"/20{rnd.integers(10, 99)}-{rnd.integers(10, 99)}-{rnd.integers(10, 99)}"]
+    names = [form[i % 5](rnd.choice(part, 4)) for i in range(3000)]
+    abc = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    rows = [(i, f"uses {names[i]} and {names[(7 * i) % 3000]} here") for i in range(3000)]
+    return rows, ["".join(rnd.choice(abc, 48)) for _ in range(n_keys)]
+
+
+def test_a_repeated_key_is_found_as_often_as_it_stands(spark):
+    rows, (key, *_) = words_and_keys(1, 5)
+    rows += [(10_000 + i, f"connect with {key} now") for i in range(2000)]
+    got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[10_000 + i] for i in range(2000)} == {"random:13:61"}
+    assert not any(got[i] for i in range(3000))
+
+
+def test_what_is_left_of_a_run_around_a_base_span(spark):
+    rows, keys = words_and_keys(2, 6)
+    middle = "0123456789abcdef0123"
+    a, b = keys[0][:-1] + "Z", "Y" + keys[1][1:]
+    rows += [(20_000, f"é😀 {a}{middle}{b} end"), (20_001, f"my_config_{middle}_name"), (20_002, f"{middle} {a}{middle}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.spans for r in secrets.scan(docs).collect()}
+    assert got[20_000] == "random:3:51,hex:51:71,random:71:119"
+    assert got[20_001] == "hex:10:30"
+    assert got[20_002] == "hex:0:20,random:21:69,hex:69:89"
+    out = secrets.redact(docs.withColumn("n_chars", F.length("text").cast("long")).where("doc_id >= 20000 or doc_id < 3000"))
+    by = {r.doc_id: r.text for r in out.where("doc_id >= 20000").collect()}
+    assert a not in by[20_000] and b not in by[20_000] and by[20_001] == "my_config_[secret]_name"
+
+
 @pytest.mark.parametrize("small", [100_000, 0])
 def test_raking_fits_the_marginals(spark, small):
     rows = [(i, " ".join(["longword%d" % (i % 11)] * (5 + i % 9)), ["en", "fr", None][i % 3], "hot" if i % 3 else f"s{i % 4}", 0) for i in range(900)]

@@ -3,9 +3,11 @@
 Base spans come from three patterns, leftmost and non-overlapping per kind. The method
 adds spans: long runs of token characters are scored by two first-order character models,
 one of random strings and one of ordinary identifiers, and a run is a secret if its
-log-likelihood ratio is high in total and per character. Labelled samples: random are
-the values of all base spans and generated digests (one per sixteenth document);
-ordinary are all long runs that no base span touches.
+log-likelihood ratio is high in total and per character. Labelled samples, each distinct
+value once: random are the values of all base spans and generated digests (one per
+sixteenth document); ordinary are the long runs that no base span touches and that are
+built like names (``NAME``: words, numbers and their separators). Of a run that meets
+base spans, each uncovered piece is scored by itself, however short.
 
 Positions are code points, end exclusive: the lengths of what lies between matches
 (``split``) and of the matches (``regexp_extract_all``) are summed by a window over the
@@ -34,6 +36,9 @@ KINDS = {
     "hex": (r"[0-9a-f]{16,}", 0, 16),
 }
 RUN = r"[A-Za-z0-9+/_.=-]{16,}"
+#: Words in one case, capitalised or joined with capitals, each with up to four digits behind; and numbers.
+_PART = "(?:(?:[a-z]+|[A-Z]+|[a-z]{2,}(?:[A-Z][a-z]{2,})+|(?:[A-Z][a-z]{2,})+)[0-9]{0,4}|[0-9]{1,8})"
+NAME = f"^[+/_.=-]*{_PART}(?:[+/_.=-]+{_PART})*[+/_.=-]*$"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 
 
@@ -71,6 +76,22 @@ def spans(docs: DataFrame) -> DataFrame:
     return found.select(*key, "kind", "start", "stop", "value", (~base & met).alias("covered"))
 
 
+def remainders(found: DataFrame) -> DataFrame:
+    """(doc_id, th, kind, start, stop, value, covered): the pieces of covered runs that lie in no base span, as covered runs."""
+    key = ["doc_id", "th"]
+    base = F.col("kind") != "random"
+    one = F.when(base, 1).otherwise(0)
+    run = F.when(~base, F.struct("start", "value"))
+    edge = lambda at, step: F.struct(F.col(at).alias("at"), (one * step).alias("b"), ((1 - one) * step).alias("r"), (run if step > 0 else F.lit(None).cast("struct<start: bigint, value: string>")).alias("run"))
+    edges = found.where(base | F.col("covered")).select(*key, F.explode(F.array(edge("start", 1), edge("stop", -1))).alias("e"))
+    edges = edges.groupBy(*key, F.col("e.at").cast("long").alias("start")).agg(F.sum("e.b").alias("b"), F.sum("e.r").alias("r"), F.max("e.run").alias("run"))
+    order = Window.partitionBy(*key).orderBy("start")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    swept = edges.select(*key, "start", F.lead("start").over(order).alias("stop"), F.sum("b").over(upto).alias("in_base"), F.sum("r").over(upto).alias("in_run"), F.last("run", ignorenulls=True).over(upto).alias("run"))
+    value = F.substring(F.col("run.value"), (F.col("start") - F.col("run.start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int"))
+    return swept.where("in_base = 0 and in_run > 0").select(*key, F.lit("random").alias("kind"), "start", "stop", value.alias("value"), F.lit(True).alias("covered"))
+
+
 def _codes(value: Column) -> Column:
     """Index of each character pair in a square table over the alphabet."""
     at = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
@@ -85,10 +106,11 @@ def _codes(value: Column) -> Column:
 def ratios(found: DataFrame, docs: DataFrame) -> list[float]:
     """ln P(b|a; random) - ln P(b|a; ordinary) for each pair of alphabet characters, with half-count smoothing."""
     labelled = found.where("not covered").select(F.col("kind") != "random", "value").toDF("random", "value")
+    labelled = labelled.where(F.col("random") | F.col("value").rlike(NAME))
     digest = F.sha2(F.concat(F.lit("random"), F.col("doc_id").cast("string")), 256)
     made = docs.where(F.crc32(F.col("doc_id").cast("string")) % 16 == 0)
     made = made.select(F.lit(True).alias("random"), F.explode(F.array(F.base64(F.unhex(digest)), F.substring(digest, 1, 40))).alias("value"))
-    pairs = labelled.union(made).select("random", F.explode(_codes(F.col("value"))).alias("pair")).groupBy("random", "pair").count()
+    pairs = labelled.union(made).distinct().select("random", F.explode(_codes(F.col("value"))).alias("pair")).groupBy("random", "pair").count()
     n = len(ALPHABET)
     counts = {True: [0.5] * (n * n), False: [0.5] * (n * n)}
     for r in pairs.collect():
@@ -105,8 +127,8 @@ def secret_spans(docs: DataFrame, total: float = 12.0, per_character: float = 0.
     found = stored(spans(docs), "spans")
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios(found, docs))), ",").cast("array<double>")
     ratio = F.aggregate(_codes(F.col("value")), F.lit(0.0), lambda s, i: s + F.get(table, i))
-    random = (F.col("kind") == "random") & ~F.col("covered")
-    judged = found.where((F.col("kind") != "random") | ~F.col("covered")).withColumn("ratio", F.when(random, ratio))
+    whole = found.where((F.col("kind") != "random") | ~F.col("covered"))
+    judged = whole.unionByName(remainders(found)).withColumn("ratio", F.when(F.col("kind") == "random", ratio))
     hit = (F.col("kind") != "random") | ((F.col("ratio") >= total) & (F.col("ratio") >= per_character * F.length("value")))
     return judged.where(hit).select("doc_id", "th", "kind", "start", "stop")
 
