@@ -147,6 +147,21 @@ def test_raking_fits_the_marginals(spark, small):
     assert 0.5 < kept < 0.7
 
 
+def test_both_ways_of_raking_give_equal_probabilities(spark):
+    rnd = np.random.default_rng(3)
+    # many sources, each below a thousandth of the tokens
+    rows = [(f"={i % 1500}", f"={'en' if rnd.random() < 0.7 else 'fr'}", int(rnd.integers(-1, 3)), int(rnd.integers(1, 400))) for i in range(12_000)]
+    docs = spark.createDataFrame(rows, "_source string, _lang string, _topic int, _tokens long")
+    want = {"topic": {-1: 0.4, 2: 0.1}, "lang": {"en": 0.5, "fr": 0.5}}
+    few, many = ({(r["_source"], r["_lang"], r["_topic"]): r["p"] for r in mixing.calibrate(docs, 0.6, 0.5, want, small=n).collect()} for n in (100_000, 0))
+    assert few.keys() == many.keys() and all(many[k] == pytest.approx(few[k], rel=1e-5) for k in few)
+    cells = mixing.calibrate(docs, 0.6, 0.5, want, small=0).toPandas()
+    own = cells.groupby("_source")["tokens"].sum() ** 0.5
+    assert (cells.groupby("_source")["w"].sum() / (own / own.sum()) - 1).abs().max() < 1e-4
+    by_topic = cells.groupby("_topic")["w"].sum()
+    assert by_topic[-1] / by_topic[2] == pytest.approx(4, rel=1e-4)
+
+
 def test_mixing_of_odd_rows_and_of_nothing(odd_docs, no_docs):
     out = mixing.mix(odd_docs)
     assert out.count() == odd_docs.count() and out.where("_p is null or _kept is null").count() == 0
