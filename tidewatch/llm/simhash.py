@@ -263,8 +263,7 @@ def _prefixes(words: int, similarity: float, hot):
                 heads.append(x[: len(x) - left])
                 rest.append(left)
                 size.append(len(x))
-            n = np.array([len(h) for h in heads], np.int64)
-            yield pd.DataFrame({"shingle": np.concatenate(heads) if heads else np.empty(0, np.int64), "th": np.repeat(pdf["th"].to_numpy(np.int64), n), "size": np.repeat(np.array(size, np.int32), n), "rest": np.repeat(np.array(rest, np.int32), n)})
+            yield pd.DataFrame({"th": pdf["th"], "size": np.array(size, np.int32), "rest": np.array(rest, np.int32), "head": heads})
 
     return run
 
@@ -283,15 +282,16 @@ def similar(left: DataFrame, right: DataFrame, texts: DataFrame, words: int, sim
     Two such texts of sizes x and y share t / (1 + t) * (x + y) shingles, so at least
     that less the longer part behind a prefix within the prefixes.
     """
-    x = left.select("shingle", F.col("th").alias("a"), F.col("size").alias("x"), F.col("rest").alias("p"))
-    y = right.select("shingle", F.col("th").alias("b"), F.col("size").alias("y"), F.col("rest").alias("q"))
+    x = left.select(F.explode("head").alias("shingle"), F.col("th").alias("a"), F.col("size").alias("x"), F.col("rest").alias("p"))
+    y = right.select(F.explode("head").alias("shingle"), F.col("th").alias("b"), F.col("size").alias("y"), F.col("rest").alias("q"))
     near_in_size = F.least("x", "y") >= F.greatest("x", "y") * F.lit(similarity) - 1e-6
     ordered = (F.col("a") < F.col("b")) if left is right else (F.col("a") != F.col("b"))
     met = x.join(y, "shingle").where(ordered & near_in_size).groupBy("a", "b", "x", "y", "p", "q").agg(F.count("*").alias("n"))
     met = cut(met.where(F.col("n") >= (F.col("x") + F.col("y")) * (similarity / (1 + similarity)) - F.greatest("p", "q") - 1e-6).select("a", "b"))
-    named = met.select(F.col("a").alias("_th")).union(met.select("b")).distinct()
+    # written, so that its size is known and few names do not make all texts move
+    named = stored(met.select(F.col("a").alias("_th")).union(met.select("b")).distinct(), "named")
     wanted = texts.join(named, F.col("th") == F.col("_th")).select(F.lit(0).cast("long").alias("component"), "doc_id", "th", "text")
-    sets = cut(wanted.mapInPandas(_shingle_sets(words), "component long, doc_id long, th long, shingles array<long>").select("th", "shingles"))
+    sets = cut(wanted.mapInPandas(_shingle_sets(words), "component long, doc_id long, th long, shingles array<long>").select("th", "shingles").dropDuplicates(["th"]))
     both = met.join(sets.select(F.col("th").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("th").alias("b"), F.col("shingles").alias("t")), "b")
     shared = F.size(F.array_intersect("s", "t"))
     return both.where(shared / (F.size("s") + F.size("t") - shared) >= similarity).select("a", "b")
@@ -322,9 +322,9 @@ def _one_of_each_component(first: DataFrame, texts: DataFrame, words: int, simil
     Rounds take the first remaining text of each component as the one that stays, until
     no component has two texts left to compare.
     """
-    many = first.join(first.groupBy("component").count().where("count > 1"), "component").select("component", F.col("th").alias("_th"))
-    wanted = texts.join(many, F.col("th") == F.col("_th")).select("component", "doc_id", "th", "text")
-    rest = cut(wanted.mapInPandas(_shingle_sets(words), "component long, doc_id long, th long, shingles array<long>"))
+    many = stored(first.join(first.groupBy("component").count().where("count > 1"), "component").select("component", F.col("doc_id").alias("_id"), F.col("th").alias("_th")), "many")
+    wanted = texts.join(many, texts["doc_id"].eqNullSafe(many["_id"]) & (texts["th"] == many["_th"])).select("component", "doc_id", "th", "text")
+    rest = cut(wanted.mapInPandas(_shingle_sets(words), "component long, doc_id long, th long, shingles array<long>").dropDuplicates(["component", "th"]))
     gone = rest.select("th", F.col("th").alias("by")).where("false")
     while not rest.isEmpty():
         stays = rest.groupBy("component").agg(F.min_by(F.struct("doc_id", "th", "shingles"), _rank()).alias("s"))
@@ -356,24 +356,22 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 8, similarity: float
     first = cut(member.groupBy("component", "th").agg(F.min("doc_id").alias("doc_id")))
     small_batches(docs.sparkSession)
     met = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
-    # one row a text
-    one = first.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-    texts = keyed.join(one, keyed["doc_id"].eqNullSafe(one["_id"]) & (keyed["th"] == one["_th"]), "left_semi").dropDuplicates(["th"])
-    hot = docs.sparkSession.sparkContext.broadcast(_hot_shingles(texts, words))
-    prefixes = lambda some: stored(texts.join(some.select(F.col("th").alias("_th")), F.col("th") == F.col("_th"), "left_semi").mapInPandas(_prefixes(words, similarity, hot), "shingle long, th long, size int, rest int"), "prefixes")
+    hot = docs.sparkSession.sparkContext.broadcast(_hot_shingles(keyed, words))
+    heads = stored(keyed.mapInPandas(_prefixes(words, similarity, hot), "th long, size int, rest int, head array<long>"), "heads")
+    prefixes = lambda some: stored(heads.join(some.select("th"), "th", "left_semi").dropDuplicates(["th"]), "prefixes")
     pending, kept, gone = first, None, first.select("th").where("false")
     while True:
-        went = _one_of_each_component(pending, texts, words, similarity)
+        went = _one_of_each_component(pending, keyed, words, similarity)
         tops = pending.join(went.select("th"), "th", "left_anti")
         mine = prefixes(tops)
-        out = _losers(similar(mine, mine, texts, words, similarity), first)
+        out = _losers(similar(mine, mine, keyed, words, similarity), first)
         mine = mine.join(out, "th", "left_anti")
         kept = mine if kept is None else kept.union(mine)
         gone = gone.union(out).union(went.select("th"))
         left = cut(went.join(out.select(F.col("th").alias("by")), "by", "left_semi").select("th"))
         if left.isEmpty():
             break
-        near = similar(prefixes(left), kept, texts, words, similarity).select(F.col("a").alias("th")).distinct()
+        near = similar(prefixes(left), kept, keyed, words, similarity).select(F.col("a").alias("th")).distinct()
         back = cut(left.join(near, "th", "left_anti"))
         if back.isEmpty():
             break
