@@ -1,8 +1,8 @@
-"""Removal of word sequences that repeat, by prefix-partitioned sparse suffix trees.
+"""Removal of word sequences that repeat, by hash groups of anchored windows.
 
 A word sequence of ``window`` words repeats when it starts at two or more places of the
-corpus. Keeping every suffix of a corpus would cost many times its size, so the trees
-are sparse: suffixes are anchored. Each window's anchor is its smallest ``PREFIX``-word
+corpus. Keeping every suffix of a corpus would cost many times its size, so no suffix tree
+is built and windows are grouped by an anchor. Each window's anchor is its smallest ``PREFIX``-word
 gram (by hash, leftmost on ties), so equal windows have equal anchors at equal places,
 and neighbouring windows share an anchor.
 
@@ -12,10 +12,8 @@ and neighbouring windows share an anchor.
    where its group would not fit in memory (``group_rows``) the prefix is lengthened to
    the whole window, and occurrences that meet within a batch are combined before they
    are sent.
-3. Each group's subtree is sorted out at once: two suffixes that share a node at depth
-   ``window`` (same prefix, same words to the left and right of it) belong to a maximal
-   repeat, and the windows there are marked. Edges are compared by two independent 64-bit
-   hashes (prefix and window).
+3. In each group, windows with the same place about the anchor and the same hash are
+   marked. Windows are compared by two independent 64-bit hashes (prefix and window).
 4. Marks return to their documents and the covered words are removed.
 
 Nulls: a null text has no words. Rows are told apart by doc_id and text, so null and
