@@ -33,7 +33,10 @@ def test_chain_on_held_out_rows(labelled, odd_docs, no_docs):
     got = {r.doc_id: r for r in toxicity.score(docs, chain).collect()}
     right = sum(got[i].rejected == (i % 5 == 0) for i in range(300, 400))
     assert right >= 98
-    assert got[305].p_insult > 0.5 > got[310].p_insult and got[305].p_threat < 0.01
+    # one kind holds the rows of one sort of words
+    kinds = [f"p_kind_{k}" for k in (1, 2, 3)]
+    odd, even = (max(kinds, key=lambda k: sum(got[i][k] for i in range(s, 300, 10))) for s in (5, 10))
+    assert odd != even and got[305][odd] > 0.5 > got[310][odd] and got[310][even] > 0.5 > got[305][even]
     assert {r.doc_id for r in toxicity.keep_clean(docs, chain).collect()} == {i for i in got if not got[i].rejected}
     assert toxicity.score(odd_docs, chain).count() == odd_docs.count()
     assert toxicity.keep_clean(odd_docs, chain).columns == odd_docs.columns
@@ -129,40 +132,75 @@ def test_what_is_left_of_a_run_around_a_base_span(spark):
     assert a not in by[20_000] and b not in by[20_000] and by[20_001] == "my_config_[secret]_name"
 
 
-@pytest.mark.parametrize("small", [100_000, 0])
-def test_raking_fits_the_marginals(spark, small):
-    rows = [(i, " ".join(["longword%d" % (i % 11)] * (5 + i % 9)), ["en", "fr", None][i % 3], "hot" if i % 3 else f"s{i % 4}", 0) for i in range(900)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    known = mixing.described(docs)
-    cells = mixing.calibrate(known, keep=0.6, targets={"lang": {"en": 0.5, "fr": 0.3, "null": 0.2}}, small=small).collect()
-    langs = Counter()
-    for r in cells:
-        langs[r["_lang"]] += r["w"]
-    assert {k: round(v, 2) for k, v in langs.items()} == {"=en": 0.5, "=fr": 0.3, "null": 0.2}
-    assert sum(r["tokens"] * r["p"] for r in cells) == pytest.approx(0.6 * sum(r["tokens"] for r in cells), rel=0.01)
-    assert all(0 <= r["p"] <= 1 for r in cells)
-    out = mixing.mix(docs, keep=0.6)
-    assert out.count() == 900
-    kept = out.where("_kept").agg(F.sum("_tokens")).first()[0] / out.agg(F.sum("_tokens")).first()[0]
-    assert 0.5 < kept < 0.7
+def raked(rows, want, rounds=3000):
+    """Plain raking of {(source, lang, topic): tokens} to {dimension: {value: share}}."""
+    total = sum(rows.values())
+    w = {k: v / total for k, v in rows.items()}
+    for _ in range(rounds):
+        for d, share in enumerate(want):
+            now = Counter()
+            for k, x in w.items():
+                now[k[d]] += x
+            w = {k: x * share[k[d]] / now[k[d]] for k, x in w.items()}
+    return w
 
 
-def test_both_ways_of_raking_give_equal_probabilities(spark):
+def test_raking_brute_force(spark):
     rnd = np.random.default_rng(3)
     # many sources, each below a thousandth of the tokens
-    rows = [(f"={i % 1500}", f"={'en' if rnd.random() < 0.7 else 'fr'}", int(rnd.integers(-1, 3)), int(rnd.integers(1, 400))) for i in range(12_000)]
-    docs = spark.createDataFrame(rows, "_source string, _lang string, _topic int, _tokens long")
-    want = {"topic": {-1: 0.4, 2: 0.1}, "lang": {"en": 0.5, "fr": 0.5}}
-    few, many = ({(r["_source"], r["_lang"], r["_topic"]): r["p"] for r in mixing.calibrate(docs, 0.6, 0.5, want, small=n).collect()} for n in (100_000, 0))
-    assert few.keys() == many.keys() and all(many[k] == pytest.approx(few[k], rel=1e-5) for k in few)
-    cells = mixing.calibrate(docs, 0.6, 0.5, want, small=0).toPandas()
-    own = cells.groupby("_source")["tokens"].sum() ** 0.5
-    assert (cells.groupby("_source")["w"].sum() / (own / own.sum()) - 1).abs().max() < 1e-4
-    by_topic = cells.groupby("_topic")["w"].sum()
-    assert by_topic[-1] / by_topic[2] == pytest.approx(4, rel=1e-4)
+    cells = Counter()
+    for i in range(12_000):
+        cells[f"={i % 1500}", f"={'en' if rnd.random() < 0.7 else 'fr'}", int(rnd.integers(-1, 3))] += int(rnd.integers(1, 400))
+    docs = spark.createDataFrame([(*k, n) for k, n in cells.items()], "source string, lang string, topic int, tokens long")
+    given = {"topic": {-1: 0.4, 2: 0.1}, "lang": {"en": 0.5, "fr": 0.5}}
+    got = {(r["source"], r["lang"], r["topic"]): r for r in mixing.calibrate(docs, 0.6, 0.5, given).collect()}
+    total, want = sum(cells.values()), []
+    for d in range(3):
+        own = Counter()
+        for k, n in cells.items():
+            own[k[d]] += n
+        share = {v: t**0.5 for v, t in own.items()} if d == 0 else {v: {"en": 0.5, "fr": 0.5, -1: 0.4, 2: 0.1}.get(str(v)[1:] if d == 1 else v, t / total) for v, t in own.items()}
+        want.append({v: s / sum(share.values()) for v, s in share.items()})
+    w = raked(cells, want, 60)
+    assert got.keys() == w.keys() and all(got[k]["w"] == pytest.approx(w[k], rel=1e-5) for k in w)
+    lo, hi = 0.0, 1e6
+    rate = {k: w[k] * total / cells[k] for k in w}
+    for _ in range(200):
+        f = (lo + hi) / 2
+        lo, hi = (lo, f) if sum(n * min(1, rate[k] * f) for k, n in cells.items()) >= 0.6 * total else (f, hi)
+    assert all(got[k]["p"] == pytest.approx(min(1, rate[k] * hi), rel=1e-5) for k in w)
+
+
+def test_targets_that_contradict_each_other_are_told(spark):
+    rows = [("=a", "=x", 0, 10), ("=a", "=y", 0, 30), ("=b", "=z", 0, 60)]
+    docs = spark.createDataFrame(rows, "source string, lang string, topic int, tokens long")
+    with pytest.warns(UserWarning, match="contradict"):
+        got = mixing.calibrate(docs, 0.5, 0.7).collect()
+    assert len(got) == 3 and all(0 < r["p"] <= 1 for r in got)
+
+
+def test_mix_keeps_the_share_and_all_columns(spark):
+    rows = [(i, " ".join(["longword%d" % (i % 11)] * (5 + i % 9)), ["en", "fr", None][i % 3], "hot" if i % 3 else f"s{i % 4}", 0, "a", 1.0, 2, 3) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, topic string, _p double, tokens long, row int")
+    known = mixing.decide(docs, keep=0.6)
+    assert known.count() == 900
+    kept, all_ = (sum(len(r.row.text.split()) for r in x.collect()) for x in (known.where("kept"), known))
+    assert 0.5 < kept / all_ < 0.7
+    out = mixing.mix(docs, keep=0.6)
+    assert out.columns == docs.columns and {tuple(r) for r in out.collect()} == {tuple(r.row) for r in known.where("kept").collect()}
+
+
+def test_topics_part_texts_by_their_words(spark):
+    rnd = np.random.default_rng(1)
+    words = [[f"{c}{i}" for i in range(60)] for c in "abcd"]
+    docs = spark.createDataFrame([(i, " ".join(rnd.choice(words[i % 4], 50))) for i in range(200)] + [(900, None), (901, " ")], "doc_id long, text string")
+    model = mixing.learn_topics(docs, topics=4, sample=100)
+    topic, n = model.of([r.text for r in docs.orderBy("doc_id").collect()])
+    assert topic[-2:].tolist() == [-1, -1] and n[:200].tolist() == [50] * 200
+    assert len({(i % 4, int(t)) for i, t in enumerate(topic[:200])}) == 4
 
 
 def test_mixing_of_odd_rows_and_of_nothing(odd_docs, no_docs):
-    out = mixing.mix(odd_docs)
-    assert out.count() == odd_docs.count() and out.where("_p is null or _kept is null").count() == 0
-    assert mixing.mix(no_docs).count() == 0
+    out = mixing.decide(odd_docs)
+    assert out.count() == odd_docs.count() and out.where("p is null or kept is null").count() == 0
+    assert mixing.decide(no_docs).count() == 0 and mixing.mix(no_docs).columns == no_docs.columns

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import before, documents, small_batches
+from tidewatch.llm.common import before, documents, slices
 from tidewatch.llm.tokens import encoder
 from tidewatch.session import stored
 
@@ -40,14 +40,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, max_length: int = MAX
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (unsigned 32-bit bytes)."""
     if max_length < 1 or max_length & (max_length - 1):
         raise ValueError("max_length must be a power of two")
-    small_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, rank long, ids binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         rank: dict[int, int] = {}
-        for pdf in batches:
+        for pdf in slices(batches):
             rows = []
             for key, b in zip(pdf["doc_id"].astype("Int64"), enc.batch(list(pdf["text"]))):
                 b += end
@@ -60,6 +59,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, max_length: int = MAX
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")]).astype({"doc_id": "Int64"})
 
     cutup = stored(documents(docs).mapInPandas(run, schema), "pieces")
-    totals = before(docs.sparkSession, cutup.groupBy("length", "part").agg(F.count("*").alias("n")), ["length", "part"], "n")
+    totals = before(cutup.groupBy("length", "part").agg(F.count("*").alias("n")), ["length", "part"], "n")
     placed = cutup.join(F.broadcast(totals.select("length", "part", "base")), ["length", "part"])
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("rank")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "ids")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import covertree, ctw, mixing, packing, repeats, secrets, simhash, telephony, tokenfile, tokens, toxicity
-from tidewatch.llm.common import documents, small_batches
+from tidewatch.llm.common import documents
 from tidewatch.session import stored, table
 
 
@@ -29,7 +29,6 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as telephony audio, read back and measured."""
-    small_batches(spark)
     media = telephony.store(telephony.text_payload(documents(table(spark, sf_dir, "documents"))))
     return telephony.decode(stored(media, "media")).drop("codec")
 
@@ -42,8 +41,8 @@ def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cell, tokens, sampling probability and decision of every document."""
-    out = mixing.mix(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_p").alias("probability"), F.col("_kept").alias("kept"))
+    out = mixing.decide(table(spark, sf_dir, "documents"), columns=["doc_id", "source", "lang"])
+    return out.select("row.doc_id", "row.source", "row.lang", "topic", F.col("tokens").alias("n_tokens"), F.col("p").alias("probability"), "kept")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

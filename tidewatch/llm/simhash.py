@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import ASCII_LOWER, documents, ragged, small_batches, words_of
+from tidewatch.llm.common import documents, lowered, ragged, slices
 from tidewatch.operators.graph import connected_components
 from tidewatch.session import cut, stored
 
@@ -38,11 +38,10 @@ SEED = 42
 
 def shingle_hashes(text: str, words: int) -> list[int]:
     """XXH64 of each ``words``-word shingle, repeats included; fewer words: of the whole sequence; none: []."""
-    w = words_of(text.translate(ASCII_LOWER))
-    if not w:
+    parts = lowered(text).split()
+    if not parts:
         return []
     digest = xxhash.xxh64_intdigest
-    parts = [x.encode() for x in w]
     joined = b" ".join(parts)
     n = len(parts) - words + 1
     if n <= 1:
@@ -70,10 +69,8 @@ def simhash(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """(doc_id, th, fp): fp is the 64-bit fingerprint as a signed long, th a hash of the text."""
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in slices(batches):
             each = [np.array(shingle_hashes(t, words), np.uint64) for t in pdf["text"]]
             sizes = np.array([len(x) for x in each], np.int64)
             fp = simhash(np.concatenate(each) if each else np.empty(0, np.uint64), sizes)
@@ -214,7 +211,6 @@ def links(distinct: DataFrame, n: int, radius: int = 4, shard_rows: int = 256, t
         sent = sent.join(trees, ["shard", "value"], "left_anti").select("fp", "shard", "value", "tree", "member").union(cutup.select("fp", "shard", "value", "tree", (F.col("tree") == F.col("own")).alias("member")))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * len(choices) // 1_000_000)
     rows = sent.repartition(parts, "shard", "value", "tree").sortWithinPartitions("shard", "value", "tree", F.desc("member"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     return rows.mapInPandas(_link_shards(radius), "a long, b long")
 
 
@@ -236,7 +232,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
 
 def _shingle_sets(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in slices(batches):
             sets = [np.unique(np.array(shingle_hashes(t, words), np.uint64)).view(np.int64) for t in pdf["text"]]
             yield pd.DataFrame({"component": pdf["component"], "doc_id": pdf["doc_id"].astype("Int64"), "th": pdf["th"], "shingles": sets})
 
@@ -252,7 +248,7 @@ def _prefixes(words: int, similarity: float, hot):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often = hot.value
-        for pdf in batches:
+        for pdf in slices(batches):
             heads, rest, size = [], [], []
             for t in pdf["text"]:
                 x = np.unique(np.array(shingle_hashes(t, words), np.uint64)).view(np.int64)
@@ -349,12 +345,10 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 8, similarity: float
     goes that others went for, those are compared with all that stay and, if similar to
     none, gone through again.
     """
-    small_batches(docs.sparkSession)
     keyed = documents(docs).withColumn("th", F.xxhash64("text"))
     prints = cut(fingerprints(docs, words))
     member = cut(prints.join(components(prints, radius), "fp").select("doc_id", "th", "component").distinct())
     first = cut(member.groupBy("component", "th").agg(F.min("doc_id").alias("doc_id")))
-    small_batches(docs.sparkSession)
     met = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
     hot = docs.sparkSession.sparkContext.broadcast(_hot_shingles(keyed, words))
     heads = stored(keyed.mapInPandas(_prefixes(words, similarity, hot), "th long, size int, rest int, head array<long>"), "heads")

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import slices
+
 SOURCE_RATE = 8000
 BLOCK = 64
 #: WAVE format tags (fixed values of the container format).
@@ -125,7 +127,7 @@ def store(df: DataFrame, payload: str = "payload", codec: str = "codec") -> Data
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["media binary"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in slices(batches, payload):
             media = [wav(bytes(p or b""), c) for p, c in zip(pdf[payload], pdf[codec])]
             yield pdf[[f.name for f in keep]].assign(media=media)
 
@@ -139,7 +141,7 @@ def decode(df: DataFrame, rate: int = 16_000, pcm: bool = False) -> DataFrame:
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + [added])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in slices(batches, "media"):
             parsed = [unwav(bytes(m)) for m in pdf["media"]]
             blocks = [np.frombuffer(p, np.uint8).reshape(-1, BLOCK) for c, _, p in parsed if c == "adpcm"]
             ends = iter(np.cumsum([len(b) for b in blocks]))

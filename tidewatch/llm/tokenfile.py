@@ -8,10 +8,12 @@ check. Shards also list their keys in order, for scans. Spark's own writer commi
 files, so a lost executor or a second attempt leaves no half-written shard.
 
 ``read_all`` returns every document from the files through the index; ``lookup`` answers
-given keys, routed to shards by key range.
+given keys, routed to shards by the key ranges of the written partitions.
 
-Nulls: a null text counts as empty; a null doc_id is a key of its own that comes first.
-Rows that repeat a doc_id keep their own entry (key, occurrence); ``lookup`` returns each.
+Nulls: a null text counts as empty; a null doc_id is a key of its own that comes first
+and can be looked up. Rows that repeat a doc_id keep their own entry (key, occurrence in
+the shard) and may go on in the next shards, so no shard outgrows its size by more than
+one document; ``lookup`` returns each.
 Unknown keys return no row. Extra columns are ignored; an empty table writes no shard.
 """
 
@@ -28,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import before, documents, small_batches
+from tidewatch.llm.common import before, documents, slices
 from tidewatch.llm.tokens import encoder
 from tidewatch.session import scratch
 
@@ -112,8 +114,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_bytes: int = 2
     ``tokenizer``: a tokenizer file, at the same place on every worker.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    ordered = documents(docs).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # the beginning and hash of the text part rows that repeat a doc_id over several partitions
+    order = [F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 32), F.xxhash64("text")]
+    ordered = documents(docs).repartitionByRange(*order).sortWithinPartitions(*order)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,11 +130,10 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_bytes: int = 2
         def flush() -> pd.DataFrame:
             return pd.DataFrame([shard_row(part, seq, start, keys, ids, width)], columns=names).astype({"first_id": "Int64", "last_id": "Int64"})
 
-        for pdf in batches:
+        for pdf in slices(batches):
             for k, b in zip(pdf["doc_id"].astype("Int64"), enc.batch(list(pdf["text"]))):
                 key = None if k is pd.NA else int(k)
-                # a key's occurrences stay in one shard
-                if size >= shard_bytes and key != keys[-1]:
+                if size >= shard_bytes:
                     yield flush()
                     seq, start = seq + 1, start + sum(map(len, ids)) // 4
                     keys, ids, size = [], [], 0
@@ -157,13 +159,11 @@ def _answers(row, wanted: list[tuple]) -> list[tuple]:
 
 
 def _with_base(shards: DataFrame) -> DataFrame:
-    totals = before(shards.sparkSession, shards.groupBy("part").agg(F.sum("n_tokens").alias("n")), ["part"], "n")
+    totals = before(shards.groupBy("part").agg(F.sum("n_tokens").alias("n")), ["part"], "n")
     return shards.join(F.broadcast(totals.select("part", "base")), "part")
 
 
 def _read(shards: DataFrame, wanted, ids: bool) -> DataFrame:
-    shards.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # shard rows are large
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples():
@@ -188,14 +188,36 @@ def read_all(shards: DataFrame, ids: bool = False) -> DataFrame:
 
 
 def lookup(shards: DataFrame, keys: DataFrame) -> DataFrame:
-    """The documents of the given ``doc_id`` keys, with ids; keys are routed to shards by range."""
-    ranges = shards.select("part", "seq", "first_id", "last_id")
-    wanted = keys.select(F.col("doc_id").cast("long").alias("key")).distinct()
-    routed = wanted.join(ranges, F.col("key").between(F.col("first_id"), F.col("last_id"))).groupBy("part", "seq").agg(F.collect_list("key").alias("asked"))
+    """The documents of the given ``doc_id`` keys, with ids.
+
+    The driver learns the key range of each written partition (one row each); a key goes
+    to the partitions whose ranges hold it and there, by an equi-join, to the shards.
+    """
+    spark = shards.sparkSession
+    ranges = shards.select("part", "seq", "first_id", "last_id", "nulls")
+    parts = ranges.groupBy("part").agg(F.min("first_id").alias("lo"), F.max("last_id").alias("hi"), F.sum("nulls").alias("nulls")).orderBy("part").collect()
+    known = [r for r in parts if r["lo"] is not None]
+    bounds = spark.sparkContext.broadcast((np.array([r["lo"] for r in known], np.int64), np.array([r["hi"] for r in known], np.int64), [r["part"] for r in known], [r["part"] for r in parts if r["nulls"]]))
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lo, hi, names, with_nulls = bounds.value
+        for pdf in batches:
+            rows = []
+            for k in pdf["key"].astype("Int64"):
+                if k is pd.NA:
+                    rows += [(None, p) for p in with_nulls]
+                else:
+                    # partitions follow each other in key order
+                    rows += [(k, p) for p in names[int(np.searchsorted(hi, k)) : int(np.searchsorted(lo, k, side="right"))]]
+            yield pd.DataFrame(rows, columns=["key", "part"]).astype({"key": "Int64", "part": "int32"})
+
+    wanted = keys.select(F.col("doc_id").cast("long").alias("key")).distinct().mapInPandas(route, "key long, part int")
+    holds = F.when(F.col("key").isNull(), F.col("nulls") > 0).otherwise(F.col("key").between(F.col("first_id"), F.col("last_id")))
+    routed = wanted.join(ranges, "part").where(holds).groupBy("part", "seq").agg(F.collect_set("key").alias("asked"), F.max(F.col("key").isNull()).alias("ask_null"))
 
     def ask(row) -> list[tuple]:
         counts = np.unique(np.frombuffer(row.keys, "<i8"), return_counts=True)
         times = dict(zip(*[x.tolist() for x in counts]))
-        return [(k, i) for k in map(int, row.asked) for i in range(max(1, times.get(k, 1)))]
+        return [(k, i) for k in map(int, row.asked) for i in range(times.get(k, 1))] + [(None, i) for i in range(row.nulls if row.ask_null else 0)]
 
     return _read(_with_base(shards).join(routed, ["part", "seq"]), ask, True)

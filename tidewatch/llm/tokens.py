@@ -1,8 +1,8 @@
 """Whole-text tokenisation with a public tokenizer file, chunk by chunk.
 
 Texts are cut where no token can cross, each distinct chunk is encoded by the tokenizers
-library once per worker and remembered (the memory is emptied when it reaches
-``CACHE``), and a text's ids are the joined bytes of its chunks. Texts in which a cut
+library once per worker and remembered (emptied when it reaches ``CACHE`` chunks, of
+``LONG`` characters at most, so tens of MB), and a text's ids are the joined bytes of its chunks. Texts in which a cut
 could change the result go to the library whole.
 """
 
@@ -15,11 +15,12 @@ from pathlib import Path
 
 import numpy as np
 
-CACHE = 900_000
+CACHE, LONG = 300_000, 48
 #: White space on both sides of a space lets a token cross it.
 CROSSING = re.compile(r"\s \s")
-#: A Latin word and the punctuation after it: one pre-token each in either tokenizer.
-SIMPLE = re.compile("([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([.,!?;:|]*)")
+#: A Latin word, and the punctuation that may follow it: one pre-token each in either tokenizer.
+LATIN = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ÿ]+")
+TAIL = ".,!?;:|"
 #: Characters on which Python's and the tokenizers' notion of white space may differ.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
 
@@ -33,42 +34,56 @@ class ChunkEncoder:
         self.tok = Tokenizer.from_file(path)
         self.spaced = self.tok.normalizer is None  # a chunk keeps the space before it
         self.seen: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         # byte-level models write each byte as a printable character: itself, or the next free one from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         odd = [b for b in range(256) if b not in plain]
         self.chars = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(odd)}
+        self.lead = self.chars[32] if self.spaced else ""
         self.mark = next((c for c in "§¶ø" if len(self.whole(" " + c)) == 4), None)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def unit(self, piece: str) -> bytes:
-        """Ids of one pre-token, from the library's model itself."""
-        found = self.units.get(piece)
+    def unit(self, piece: str, lead: str = "") -> bytes:
+        """Ids of one pre-token, from the library's model itself; lead: the written form of what stands before it."""
+        written = piece if piece.isascii() and piece.isprintable() else "".join(map(self.chars.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self.tok.model.tokenize(lead + written)]).tobytes()
+
+    def tail(self, marks: str) -> bytes:
+        found = self.tails.get(marks)
         if found is None:
-            written = "".join(map(self.chars.__getitem__, piece.encode()))
-            found = self.units[piece] = array("I", [t.id for t in self.tok.model.tokenize(written)]).tobytes()
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            found = self.tails[marks] = self.unit(marks)
         return found
 
-    def chunk(self, c: str, lead: str) -> bytes | None:
+    def word(self, w: str) -> bytes:
+        """Ids of a Latin word that stands as a chunk."""
+        found = self.seen.get(w)
+        if found is None:
+            found = self.unit(w, self.lead) if self.spaced else self.unit(w.lower())
+            if len(w) <= LONG:
+                self.seen[w] = found
+        return found
+
+    def chunk(self, c: str) -> bytes | None:
         """Ids of a simple chunk, None for others."""
-        m = SIMPLE.fullmatch(c)
-        if not m:
+        w = c.rstrip(TAIL)
+        if not (w.isalpha() and (w.isascii() or LATIN.fullmatch(w))):
             return None
-        word, tail = m.groups()
-        out = self.unit(lead + word if self.spaced else word.lower())
-        return out + self.unit(tail) if tail else out
+        return self.word(w) + self.tail(c[len(w) :]) if len(w) < len(c) else self.word(w)
 
-    def learn(self, chunks: list[str]) -> None:
-        """Remembers new chunks; all that are not simple are encoded in one call, parted by a mark that none holds."""
-        lead, hard = " " if self.spaced else "", []
+    def learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of new chunks; all that are not simple are encoded in one call, parted by a mark that none holds."""
+        out, hard = {}, []
         for c in chunks:
-            found = self.chunk(c, lead)
+            found = self.chunk(c)
             if found is None:
                 hard.append(c)
             else:
-                self.seen[c] = found
+                out[c] = found
+        lead = " " if self.spaced else ""
         many = [c for c in hard if c and not c[0].isspace() and self.mark and self.mark not in c]
         if many:
             mark = np.frombuffer(self.whole(" " + self.mark), "<u4")[0]
@@ -78,17 +93,18 @@ class ChunkEncoder:
                 flat = ids.tobytes()
                 lo = [0, *((at + 1) * 4).tolist()]
                 hi = [*(at * 4).tolist(), len(flat)]
-                self.seen.update((c, flat[a:b]) for c, a, b in zip(many, lo, hi))
+                out.update((c, flat[a:b]) for c, a, b in zip(many, lo, hi))
         for c in hard:
-            if c not in self.seen:
-                self.seen[c] = self.whole(lead + c)
+            if c not in out:
+                out[c] = self.whole(lead + c)
+            if len(c) <= LONG:
+                self.seen[c] = out[c]
+        return out
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         if len(self.seen) > CACHE:
             self.seen.clear()
-        if len(self.units) > CACHE:
-            self.units.clear()
         get, parts, new = self.seen.get, [], set()
         for t in texts:
             if "<|" in t or (CROSSING.search(t) if self.spaced else ODD_SPACE.search(t)):
@@ -97,11 +113,20 @@ class ChunkEncoder:
             chunks = t.split(" ") if self.spaced else t.split()
             head = chunks.pop(0) if self.spaced else ""
             have = list(map(get, chunks))
-            lost = [i for i, b in enumerate(have) if b is None] if None in have else []
-            new.update([chunks[i] for i in lost])
+            lost = []
+            if None in have:
+                for i in [i for i, b in enumerate(have) if b is None]:
+                    c = chunks[i]
+                    w = c.rstrip(TAIL)
+                    found = get(w) if 0 < len(w) < len(c) else None
+                    # only of Latin words is it sure that the marks behind are a pre-token of their own
+                    if found is not None and w.isalpha() and (w.isascii() or LATIN.fullmatch(w)):
+                        have[i] = found + self.tail(c[len(w) :])
+                    else:
+                        lost.append(i)
+                        new.add(c)
             parts.append((head, chunks, have, lost))
-        if new:
-            self.learn(list(new))
+        fresh = self.learn(list(new)) if new else {}
         out = []
         for t, part in zip(texts, parts):
             if part is None:
@@ -109,9 +134,8 @@ class ChunkEncoder:
                 continue
             head, chunks, have, lost = part
             for i in lost:
-                have[i] = self.seen[chunks[i]]
-            first = b"" if not head else self.chunk(head, "") or self.whole(head)
-            out.append(first + b"".join(have))
+                have[i] = fresh[chunks[i]]
+            out.append((self.whole(head) if head else b"") + b"".join(have))
         return out
 
     @property

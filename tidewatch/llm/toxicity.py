@@ -4,17 +4,20 @@ Categories are predicted one after the other. Each model is a ridge logistic reg
 on counts of words and of word beginnings (inflected and compound forms of one stem) and
 on the probabilities of the categories before it; for training those
 probabilities are out-of-fold predictions, so a later model never sees an earlier one
-that was fitted on the same row. The last category is the label itself; the earlier ones
-are labelled rows that hold one of the category's seed words.
+that was fitted on the same row. Categories are learned from the label: toxic rows of the
+sample are parted into ``kinds`` groups by spherical k-means over their features, each
+group is a category, and the label itself is the last one.
 
 The models are fitted on a bounded, documented sample: at most ``sample`` labelled rows
-(those with the smallest hash of their doc_id) and ``features`` words or beginnings (those
-whose share of toxic and other rows differs most, by a z score of ``least_z`` or more). Scoring covers every whole text.
+(those with the smallest hash of their doc_id). All words and beginnings of theirs whose
+share of toxic and other rows differs by a z score of ``least_z`` or more are features.
+Scoring covers every whole text.
 
 Nulls: a null text has no words; null labels and labels without a document are left out;
 a doc_id labelled twice counts as toxic if one label says so. With no row, or rows of
 one class only, a category's probability is its share of the sample (0 of none).
-Repeated rows and null doc_ids are scored like any row; extra columns are ignored.
+Repeated rows and null doc_ids are scored like any row; extra columns are ignored (kept
+by ``keep_clean``); an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -28,21 +31,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import documents, small_batches
+from tidewatch.llm.common import documents, slices, spherical_k_means
 
-#: Seed words of the categories before the label, in chain order.
-SEEDS = {
-    "insult": ["clown", "dumb", "fool", "idiot", "imbecile", "jerk", "loser", "moron", "stupid"],
-    "contempt": ["disgusting", "filth", "garbage", "pathetic", "scum", "trash", "useless", "vermin", "worthless"],
-    "threat": ["hurt", "kill", "murder", "punch", "shoot", "strangle"],
-}
 LABEL = "toxic"
 PUNCTUATION = str.maketrans({c: " " for c in string.punctuation})
 
 
 #: Lengths of word beginnings.
 STEMS = range(4, 9)
-CACHE = 500_000
+#: Words that a worker remembers.
+CACHE = 100_000
 
 
 def words(text: str) -> list[str]:
@@ -84,8 +82,10 @@ class Chain:
                 x[i, self.at[w] + 1] = np.log1p(n)
         return x
 
-    def predict(self, texts: list[str]) -> np.ndarray:
+    def predict(self, texts: list[str], rows: int = 500) -> np.ndarray:
         """Probabilities, one column per category."""
+        if len(texts) > rows:
+            return np.vstack([self.predict(texts[i : i + rows], rows) for i in range(0, len(texts), rows)])
         of = self.known.__getitem__
         x = self.matrix([Counter([f for found in map(of, words(t)) if found for f in found]) for t in texts])
         out = np.empty((len(texts), 0))
@@ -129,16 +129,15 @@ def fit_chain(x: np.ndarray, ys: list[np.ndarray], fold: np.ndarray, folds: int)
     return weights
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, features: int = 192, least_z: float = 4.0, folds: int = 5, seeds: dict[str, list[str]] = SEEDS) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, kinds: int = 3, least_z: float = 4.0, folds: int = 5) -> Chain:
     """The chain, fitted on a bounded sample of labelled documents."""
     spark = docs.sparkSession
-    small_batches(spark)
-    told = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("y"))
+    told = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y"))
     chosen = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = documents(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"])
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in slices(batches):
             c = [Counter(f for w in words(t) for f in traits(w)) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "word": [list(x) for x in c], "n": [list(x.values()) for x in c]})
 
@@ -150,26 +149,36 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, features: int =
     odds = F.log((a + 0.5) / (pos - a + 0.5)) - F.log((b + 0.5) / (neg - b + 0.5))
     z = odds / F.sqrt(1 / (a + 0.5) + 1 / (pos - a + 0.5) + 1 / (b + 0.5) + 1 / (neg - b + 0.5))
     ranked = each.groupBy("word").agg(F.abs(z).alias("z"), F.count("*").alias("df")).where((F.col("df") > 1) & (F.col("z") >= least_z))
-    fixed = sorted({w for ws in seeds.values() for w in ws})
-    vocab = sorted({r.word for r in ranked.orderBy(F.desc("z"), "word").limit(features).collect()} | set(fixed))
+    vocab = sorted(r.word for r in ranked.select("word").collect())
     hits = each.join(F.broadcast(spark.createDataFrame([(w,) for w in vocab], "word string")), "word").select("doc_id", "word", "n").toPandas()
     counts: dict[int, dict] = {}
     for d, w, n in zip(hits["doc_id"], hits["word"], hits["n"]):
         counts.setdefault(d, {})[w] = n
-    chain = Chain(vocab, [*seeds, LABEL], [])
+    chain = Chain(vocab, [*(f"kind_{k + 1}" for k in range(kinds)), LABEL], [])
     x = chain.matrix([counts.get(d, {}) for d in rows["doc_id"]])
     y = (rows["y"].to_numpy() == 1).astype(float)
-    ys = [y * (x[:, [chain.at[w] + 1 for w in ws]].sum(1) > 0) for ws in seeds.values()] + [y]
     fold = (rows["doc_id"].to_numpy(np.int64) * 2654435761 >> 16) % folds
-    chain.weights = fit_chain(x, ys, fold, folds)
+    chain.weights = fit_chain(x, categories(x[:, 1:], y, kinds) + [y], fold, folds)
     return chain
 
 
+def categories(x: np.ndarray, y: np.ndarray, kinds: int) -> list[np.ndarray]:
+    """Per kind which rows are toxic and nearest to its centre; a row without features is of no kind."""
+    norm = np.linalg.norm(x, axis=1)
+    own = np.flatnonzero((y == 1) & (norm > 0))
+    unit = x[own] / norm[own][:, None]
+    nearest = (unit @ spherical_k_means(unit, kinds).T).argmax(1) if len(own) else np.empty(0, int)
+    out = []
+    for k in range(kinds):
+        at = np.zeros(len(y))
+        at[own[nearest == k]] = 1
+        out.append(at)
+    return out
+
+
 def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
     """(doc_id, p_<category>..., rejected) of every document."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(chain)
+    shared = docs.sparkSession.sparkContext.broadcast(chain)
     names = [f"p_{n}" for n in chain.names]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,7 +191,6 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
 
 def keep_clean(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the chain does not reject, with all their columns."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     @F.pandas_udf("boolean")
