@@ -38,7 +38,7 @@ def test_components_of_a_long_path_and_a_star(spark):
 
 
 def test_urls_are_canonical_and_stay_so(spark):
-    cases = {"HTTP://WWW.Example.com/A/?b=2&a=1&utm_x=1#f": "https://example.com/A?a=1&b=2", "http://other.net": "http://other.net/", "https://x.org/?a=2&a=1&fbclid=3": "https://x.org/?a=2&a=1", "ftp://x.org/": None}
+    cases = {"HTTP://WWW.ArXiv.org/A/?b=2&a=1&utm_x=1#f": "https://arxiv.org/A?a=1&b=2", "http://a.substack.com/p/": "https://a.substack.com/p", "http://other.net": "http://other.net/", "https://x.org/?a=2&a=1&fbclid=3": "https://x.org/?a=2&a=1", "ftp://x.org/": None}
     df = spark.createDataFrame([(u,) for u in cases], "u string")
     once = df.select("u", T.canonical_url(F.col("u")).alias("c"))
     assert {r.u: r.c for r in once.collect()} == cases

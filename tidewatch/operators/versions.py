@@ -91,3 +91,22 @@ def worklist(candidates: DataFrame, answers: DataFrame, key: str, now: str, most
     waited = F.when(F.col("tier") == 1, F.col("attempted_at")).when(F.col("tier") == 2, F.col("answered_at"))
     stars = F.when(F.col("tier").isin(0, 3), F.col("stars"))
     return rows.orderBy("tier", waited, stars.desc(), key).limit(most)
+
+
+def append(items: DataFrame, path: str, bridges: dict[str, str]) -> None:
+    """Appends versions, by day of fetch, and one bridge row per value of each array column in ``bridges`` (column: path)."""
+    day = F.to_date("fetched_at").alias("fetch_date")
+    items.drop(*bridges).withColumn("fetch_date", day).write.mode("append").partitionBy("fetch_date").parquet(path)
+    for column, at in bridges.items():
+        items.select("item_id", F.explode(F.array_distinct(column)).alias(column.rstrip("s"))).write.mode("append").parquet(at)
+
+
+def append_stream(items: DataFrame, path: str, bridges: dict[str, str], progress: str) -> None:
+    """Continuous ingest: a bounded stream of items is appended to its end; file sinks commit each micro-batch once."""
+    day = F.to_date("fetched_at").alias("fetch_date")
+    running = [items.drop(*bridges).withColumn("fetch_date", day).writeStream.format("parquet").partitionBy("fetch_date").option("path", path).option("checkpointLocation", f"{progress}/items").trigger(availableNow=True).start()]
+    for column, at in bridges.items():
+        rows = items.select("item_id", F.explode(F.array_distinct(column)).alias(column.rstrip("s")))
+        running.append(rows.writeStream.format("parquet").option("path", at).option("checkpointLocation", f"{progress}/{column}").trigger(availableNow=True).start())
+    for q in running:
+        q.awaitTermination()

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text as T
+from tidewatch.functions.dates import publication_date
 from tidewatch.operators import clusters as C
 from tidewatch.plans import query
 from tidewatch.session import table
 
 STOP_SQL = ", ".join(f"'{w}'" for w in T.STOP)
-TOKENS_SQL = f"""t AS (SELECT doc_id AS item_key, source, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[''’]', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda w: w <> '' AND w NOT IN ({STOP_SQL})) AS w FROM documents),
+TOKENS_SQL = f"""t AS (SELECT doc_id AS item_key, source, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(nfc_normalize(split_part(text, chr(10), 1))), '[''’]', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda w: w <> '' AND w NOT IN ({STOP_SQL})) AS w FROM documents),
     s AS (SELECT DISTINCT item_key, source, array_to_string(w[i:i + 2], ' ') AS shingle FROM (SELECT *, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM t WHERE len(w) > 0))"""
 PAIRS_SQL = TOKENS_SQL + """, r AS (SELECT * FROM s WHERE shingle IN (SELECT shingle FROM s GROUP BY shingle HAVING count(*) <= 5)),
     n AS (SELECT item_key, count(*) AS n FROM r GROUP BY 1),
@@ -67,12 +68,13 @@ def cluster_size_as_of(spark, d):
     return s.join(of, ["run_at", "item_key"], "left").select("event_id", "item_key", F.coalesce("n", F.lit(1)).alias("cluster_size"))
 
 
+HOSTS = ", ".join(f"'{h}'" for h in T.HTTPS_HOSTS)
 URL_SQL = """u AS (SELECT page_id, split_part(trim(url), '#', 1) AS b FROM pages),
     v AS (SELECT page_id, lower(regexp_extract(b, '(?i)^(https?)://', 1)) AS scheme, regexp_replace(lower(regexp_extract(b, '(?i)^https?://([^/?]*)', 1)), '^(www\\.)+', '') AS host,
           regexp_replace(regexp_extract(b, '(?i)^https?://[^/?]*([^?]*)', 1), '/+$', '') AS path,
           list_filter(string_split(regexp_extract(b, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(split_part(p, '=', 1), '^(utm_|at_).*$|^(fbclid|gclid|mc_cid|mc_eid)$')) AS q FROM u),
-    c AS (SELECT page_id, CASE WHEN scheme <> '' THEN (CASE WHEN host IN ('example.com', 'example.org') THEN 'https' ELSE scheme END) || '://' || host || (CASE WHEN path = '' THEN '/' ELSE path END)
-          || (CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END) END AS canonical_url FROM v)"""
+    c AS (SELECT page_id, CASE WHEN scheme <> '' THEN (CASE WHEN host IN ({HOSTS}) OR suffix(host, '.blogspot.com') OR suffix(host, '.substack.com') THEN 'https' ELSE scheme END) || '://' || host || (CASE WHEN path = '' THEN '/' ELSE path END)
+          || (CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END) END AS canonical_url FROM v)""".replace("{HOSTS}", HOSTS)
 
 
 @query(f"WITH {URL_SQL} SELECT * FROM c")
@@ -86,21 +88,11 @@ def item_keys(spark, d):
     return c.groupBy(F.sha2("canonical_url", 256).alias("item_key")).agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page"))
 
 
-def parse_date(s):
-    """Publication dates, first form that matches: ISO with zone, date only, RFC 822, epoch seconds; else null."""
-    iso = F.when(s.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$"), F.date_trunc("millisecond", F.try_to_timestamp(s)))
-    day = F.when(s.rlike(r"^\d{4}-\d\d-\d\d$"), F.try_to_timestamp(s, F.lit("yyyy-MM-dd")))
-    rfc = F.when(s.rlike(r"^\w{3}, \d\d \w{3} \d{4} \d\d:\d\d:\d\d (GMT|UTC|UT|Z)$"), F.try_to_timestamp(F.regexp_extract(s, r"^\w{3}, (.*) \w+$", 1), F.lit("dd MMM yyyy HH:mm:ss")))
-    epoch = F.when(s.rlike(r"^\d{9,11}$"), F.timestamp_seconds(F.expr("try_cast(s as bigint)")))
-    at = F.coalesce(iso, day, rfc, epoch)
-    return F.when((F.year(at) >= 1990) & (F.year(at) <= 2200), at)
-
-
 @query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN date_trunc('millisecond', ts) WHEN 1 THEN date_trunc('day', ts) WHEN 2 THEN date_trunc('second', ts) WHEN 3 THEN date_trunc('second', ts) END AS published_at FROM events""")
 def parsed_dates(spark, d):
     k, ts = F.col("event_id") % 5, F.col("ts")
     forms = F.when(k == 0, F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))).when(k == 1, F.date_format(ts, "yyyy-MM-dd")).when(k == 2, F.concat(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))).when(k == 3, F.unix_seconds(ts.cast("timestamp")).cast("string")).otherwise(F.date_format(ts, "yyyy-02-30"))
-    return table(spark, d, "events").select("event_id", forms.alias("s")).select("event_id", parse_date(F.col("s")).cast("timestamp_ntz").alias("published_at"))
+    return table(spark, d, "events").select("event_id", forms.alias("s")).select("event_id", publication_date(F.col("s")).cast("timestamp_ntz").alias("published_at"))
 
 
 ZONE = "America/New_York"
