@@ -66,4 +66,4 @@ def age_clause(published: Column, first_seen: Column, now: Column) -> Column:
 
 def within_days(published: Column, now: Column, days) -> Column:
     """Dated, and at most ``days`` old; the future passes."""
-    return F.coalesce(F.unix_millis(now) - F.unix_millis(published) <= F.lit(days) * 86_400_000, F.lit(False))
+    return F.coalesce(F.unix_millis(now) - F.unix_millis(published) <= F.lit(days) * F.lit(86_400_000).cast("long"), F.lit(False))

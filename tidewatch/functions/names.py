@@ -67,6 +67,11 @@ def content_words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(plain, r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(*CONTENT_STOP)))
 
 
+def novel_words(title: Column, text: Column) -> Column:
+    """Content words of the text that the title lacks."""
+    return F.size(F.array_except(content_words(text), content_words(title)))
+
+
 def evidence(title: Column, excerpt: Column, body: Column) -> Column:
     """struct(words, novel, level, minutes, truncated): a body of 400 words, else an excerpt that adds 8 words to the title."""
     n = F.size(words(strip_markup(F.coalesce(body, F.lit("")))))
