@@ -80,13 +80,58 @@ def test_scan_brute_force(spark, odd_rows, no_docs):
     assert secrets.scan(no_docs).count() == 0
 
 
+def brute_ratios(samples):
+    """Log ratios of two first-order chains from {(random, value)}, one pair at a time."""
+    abc, n = secrets.ALPHABET, len(secrets.ALPHABET)
+    pair, after, total = ({k: Counter() for k in (True, False)} for _ in range(3))
+    for kind, value in samples:
+        w = min(1.0, secrets.VALUE_PAIRS / max(1, len(value) - 1))
+        for x, y in zip(value, value[1:]):
+            pair[kind][x, y] += w
+            after[kind][x] += w
+            total[kind][y] += w
+
+    def p(kind, x, y):
+        single = (total[kind][y] + 0.5) / (sum(total[kind].values()) + n / 2)
+        return (pair[kind][x, y] + secrets.BACKOFF * single) / (after[kind][x] + secrets.BACKOFF)
+
+    return {(x, y): math.log(p(True, x, y) / p(False, x, y)) for x in abc for y in abc}
+
+
 def test_ratio_is_that_of_two_markov_chains(spark):
     docs = spark.createDataFrame([(1, "abc")], "doc_id long, text string").repartition(1)
-    found = spark.createDataFrame([("hex", "abab", False), ("random", "aaaa", False), ("random", "zzzz", True)], "kind string, value string, covered boolean").repartition(1)
+    found = spark.createDataFrame([("assign", "xQ7/" * 40, False), ("assign", "abab4f" * 3, False), ("hex", "ab12", False), ("assign", "some_name", False), ("random", "plain_name", False), ("random", "plain_name", False), ("random", "zZ9zq", False), ("random", "zzzz", True)], "kind string, value string, covered boolean").repartition(1)
     table = secrets.ratios(found, secrets.keyed(docs).where("false"))
-    n = len(secrets.ALPHABET)
-    a, b = secrets.ALPHABET.index("a"), secrets.ALPHABET.index("b")
-    assert table[a * n + b] == pytest.approx(math.log(2.5 / (2 + n / 2)) - math.log(0.5 / (3 + n / 2)))
+    want = brute_ratios({(True, "xQ7/" * 40), (False, "plain_name")})
+    assert table == pytest.approx([want[x, y] for x in secrets.ALPHABET for y in secrets.ALPHABET])
+
+
+def test_added_spans_brute_force(spark):
+    rows, keys = words_and_keys(40, 9)
+    rows = rows[:600] + [(20_000 + i, f"set {k[: 20 + i]} there") for i, k in enumerate(keys[:28])] + [(30_000, None), (30_001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = secrets.spans(secrets.keyed(docs))
+    known = {(r["random"], r["value"]) for r in secrets.samples(found, secrets.keyed(docs)).collect()}
+    table = brute_ratios(known)
+    got = {r.doc_id: r.spans for r in secrets.scan(docs).collect()}
+    for i, text in rows:
+        want = []
+        for m in re.finditer(secrets.RUN, text or ""):
+            total = sum(table[x, y] for x, y in zip(m.group(), m.group()[1:]))
+            if total >= 12 and total >= 0.6 * len(m.group()):
+                want.append(f"random:{m.start()}:{m.end()}")
+        assert got[i] == ",".join(want)
+
+
+def test_precision_and_recall_by_length(spark):
+    rows, keys = words_and_keys(200, 12)
+    sizes = [20, 26, 32, 48]
+    rows += [(20_000 + i, f"uses {k[: sizes[i % 4]]} now") for i, k in enumerate(keys)]
+    got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = {n: sum(bool(got[20_000 + i]) for i in range(200) if sizes[i % 4] == n) / 50 for n in sizes}
+    assert recall[20] >= 0.9 and all(recall[n] >= 0.98 for n in sizes[1:])
+    wrong = sum(bool(got[i]) for i in range(3000))
+    assert wrong <= 0.02 * sum(bool(got[20_000 + i]) for i in range(200))
 
 
 def test_redaction(spark):
@@ -98,6 +143,15 @@ def test_redaction(spark):
     assert list(got[0].asDict()) == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_redaction_of_odd_rows_clashing_names_and_nothing(spark, odd_docs, no_docs):
+    assert secrets.redact(no_docs).count() == 0 and secrets.redact(no_docs).columns == no_docs.columns
+    assert Counter(map(tuple, secrets.redact(odd_docs).collect())) == Counter(map(tuple, odd_docs.collect()))
+    rows = [(None, SECRETS[0], 1, "a", "b", 3), (None, SECRETS[0], 1, "a", "b", 3), (4, "clean", 2, "c", "d", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, th long, _text string, cuts string, items long").repartition(2)
+    got = sorted(map(tuple, secrets.redact(docs).collect()), key=repr)
+    assert got == sorted([(None, 'x [secret]" y', 1, "a", "b", 3)] * 2 + [(4, "clean", 2, "c", "d", 4)], key=repr)
+
+
 def words_and_keys(n_keys, seed):
     """Names in common texts, and random keys of letters and digits that no pattern knows."""
     rnd = np.random.default_rng(seed)

@@ -94,3 +94,29 @@ def test_top_k_of_nothing(spark):
     assert covertree.top_k(none, none).count() == 0
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in covertree.top_k(few.where("vec_id = 0"), few).collect()] == [(0, 1, 1, 64 * 128)]
+
+
+def test_cover_tree_covers_separates_and_nests():
+    rnd = np.random.default_rng(4)
+    for p in (rnd.normal(size=(900, 6)), np.repeat(rnd.normal(size=(5, 3)), 80, 0), np.zeros((300, 2)), rnd.normal(size=(1, 4))):
+        t = covertree.build(p)
+        assert sorted(t["order"].tolist()) == list(range(len(p)))
+        c, level = t["center"], t["level"]
+        whole = max(np.linalg.norm(p - c[0], axis=1).max(), 1e-9)
+
+        def below(x):
+            return t["order"][t["first"][x] : t["first"][x] + t["size"][x]] if not t["kids"][x] else np.concatenate([below(y) for y in range(t["kid"][x], t["kid"][x] + t["kids"][x])])
+
+        for x in range(len(c)):
+            assert (c[x] == p[t["point"][x]]).all()
+            assert np.linalg.norm(p[below(x)] - c[x], axis=1).max(initial=0) <= t["radius"][x] + 1e-9
+            kids = range(t["kid"][x], t["kid"][x] + t["kids"][x])
+            if len(kids):
+                # the centre stays, its new children lie within its scale and over half of it apart
+                assert t["point"][kids[0]] == t["point"][x]
+                assert all(np.linalg.norm(c[y] - c[x]) <= whole / 2 ** level[x] + 1e-6 for y in kids)
+        for i in range(1, int(level.max(initial=0)) + 1):
+            centres = {int(t["point"][x]) for x in range(len(c)) if level[x] <= i}
+            q = p[sorted(centres)]
+            d = np.linalg.norm(q[:, None] - q[None], axis=2) + np.eye(len(q)) * 1e9
+            assert d.min() > whole / 2**i - 1e-6

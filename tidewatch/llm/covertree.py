@@ -1,8 +1,9 @@
 """Exact top-k inner-product search with dual cover trees.
 
-Candidates are dealt into bounded blocks and each block becomes one cover tree: a node
-covers all points below it within its covering radius, and the children of a node are a
-net of its points at half the scale. Queries are dealt and indexed the same way. Every
+Candidates are dealt into bounded blocks and each block becomes one cover tree: centres of
+a level lie over its scale apart, children lie within the scale of their parent and stay
+centres at deeper levels, and every node knows its covering radius. Queries are dealt and
+indexed the same way. Every
 query tree then meets every candidate tree (a stated query set against all rows, in
 blocks) and both are descended together: a pair of nodes is dropped when even the bound
 ``cq.cr + rq|cr| + rr|cq| + rq rr`` stays under the worst k-th score that the query
@@ -28,53 +29,86 @@ from pyspark.sql import functions as F
 LEAF = 96
 
 
+def farthest_first(p: np.ndarray, leaf: int = LEAF) -> tuple[list[int], list[float], np.ndarray]:
+    """Centres in farthest-first order, each one's distance to the centres before it, and the nearest centre of every point.
+
+    Ends when no centre has more than ``leaf`` points or all points lie on centres.
+    """
+    sq = (p * p).sum(1)
+
+    def away(i: int) -> np.ndarray:
+        return np.sqrt(np.maximum(sq - 2 * (p @ p[i]) + sq[i], 0.0))
+
+    first = int(((p - p.mean(0)) ** 2).sum(1).argmin())
+    d, own = away(first), np.zeros(len(p), np.int64)
+    d[first] = 0
+    centres, gaps, counts = [first], [float("inf")], [len(p)]
+    while max(counts) > leaf:
+        far = int(d.argmax())
+        if d[far] <= 1e-6:
+            break
+        centres.append(far)
+        gaps.append(float(d[far]))
+        dn = away(far)
+        dn[far] = 0
+        closer = dn < d
+        own[closer] = len(centres) - 1
+        d[closer] = dn[closer]
+        counts = np.bincount(own, minlength=len(centres)).tolist()
+    return centres, gaps, own
+
+
 def build(points: np.ndarray) -> dict[str, np.ndarray]:
-    """A cover tree as arrays: order, and per node first, size, center, radius, kids (first, count)."""
+    """A cover tree as arrays: order, and per node first, size, center, radius, kids (first, count), level.
+
+    Level i has the centres that lie over R / 2**i from all before them in farthest-first
+    order (R: radius of the whole). So centres of a level lie over that scale apart
+    (separation), every centre is within the scale above of its parent (covering) and stays
+    a centre at all deeper levels (nesting). Levels at which a centre gains no child are left out.
+    """
     p = points.astype(np.float64)
-    sq = (p * p).sum(1)
-    nodes: list[list] = []
-    order: list[np.ndarray] = []
-    filled = 0
-
-    def add(center: np.ndarray, members: np.ndarray) -> int:
-        d2 = ((p[members] - center) ** 2).sum(1)
-        nodes.append([-1, len(members), center, float(np.sqrt(d2.max(initial=0.0))), 0, 0])
-        return len(nodes) - 1
-
-    queue = [(add(p.mean(0), np.arange(len(p))), np.arange(len(p)))] if len(p) else []
-    for at, members in queue:
-        radius = nodes[at][3]
-        if len(members) <= LEAF or radius == 0:
-            nodes[at][0] = filled
-            filled += len(members)
-            order.append(members)
-            continue
-        center = nodes[at][2]
-        left = members[np.argsort(((p[members] - center) ** 2).sum(1), kind="stable")]
-        groups, rest = [], []
-        # a net of the node's points: centers over half the radius apart, each point with the first that covers it
-        while len(left):
-            c = p[left[0]]
-            near = sq[left] - 2 * (p[left] @ c) + c @ c <= (radius / 2) ** 2
-            near[0] = True
-            (groups if near.sum() >= LEAF // 4 else rest).append(left[near])
-            left = left[~near]
-        if rest:
-            rest = np.concatenate(rest)
-            if len(rest) == len(members) or not groups:
-                # no net thins this node: cut it by distance from the center
-                groups += np.array_split(rest, -(-len(rest) // LEAF))
-            else:
-                groups += np.array_split(rest, max(1, -(-len(rest) // (4 * LEAF))))
-        first = len(nodes)
-        for g in groups:
-            queue.append((add(p[g].mean(0), g), g))
-        nodes[at][4:] = [first, len(groups)]
+    if not len(p):
+        none = np.empty(0, np.int64)
+        return {"order": none, "first": none, "size": none, "center": np.empty((0, p.shape[1])), "radius": np.empty(0), "kid": none, "kids": none, "level": none, "point": none}
+    centres, gaps, own = farthest_first(p)
+    whole = float(np.sqrt(((p - p[centres[0]]) ** 2).sum(1).max()))
+    level = [0] + [max(1, int(np.floor(np.log2(whole / g))) + 1) for g in gaps[1:]]
+    # rounding must not put a centre a level too high or low
+    level = [0] + [next(i for i in range(max(1, n - 1), n + 3) if g > whole / 2**i) for n, g in zip(level[1:], gaps[1:])]
+    c = p[centres]
+    children: list[dict[int, list[int]]] = [{} for _ in centres]
+    for k in range(1, len(centres)):
+        above = [j for j in range(k) if level[j] < level[k]]
+        nearest = above[int(((c[above] - c[k]) ** 2).sum(1).argmin())]
+        children[nearest].setdefault(level[k], []).append(k)
+    members = [np.flatnonzero(own == k) for k in range(len(centres))]
+    nodes: list[list] = [[0, sorted(children[0].items())]]  # centre, levels of children still to open
+    kid, kids = [], []
+    at = 0
+    while at < len(nodes):
+        k, todo = nodes[at]
+        kid.append(len(nodes) if todo else 0)
+        if todo:
+            nodes.append([k, todo[1:]])
+            nodes += [[j, sorted(children[j].items())] for j in todo[0][1]]
+        kids.append(len(nodes) - kid[-1] if todo else 0)
+        at += 1
+    first, size, below = np.full(len(nodes), -1, np.int64), np.zeros(len(nodes), np.int64), [None] * len(nodes)
+    radius = np.zeros(len(nodes))
+    for x in range(len(nodes) - 1, -1, -1):
+        k = nodes[x][0]
+        below[x] = np.concatenate([below[y] for y in range(kid[x], kid[x] + kids[x])]) if kids[x] else members[k]
+        size[x] = len(below[x])
+        radius[x] = np.sqrt(((p[below[x]] - c[k]) ** 2).sum(1).max(initial=0.0))
+    order, filled = [], 0
+    for x in range(len(nodes)):
+        if not kids[x]:
+            first[x] = filled
+            filled += len(below[x])
+            order.append(below[x])
     return {
-        "order": np.concatenate(order) if order else np.empty(0, np.int64),
-        "first": np.array([n[0] for n in nodes], np.int64), "size": np.array([n[1] for n in nodes], np.int64),
-        "center": np.array([n[2] for n in nodes]).reshape(len(nodes), -1), "radius": np.array([n[3] for n in nodes]),
-        "kid": np.array([n[4] for n in nodes], np.int64), "kids": np.array([n[5] for n in nodes], np.int64),
+        "order": np.concatenate(order), "first": first, "size": size, "center": np.array([c[n[0]] for n in nodes]), "radius": radius, "kid": np.array(kid, np.int64), "kids": np.array(kids, np.int64),
+        "level": np.array([level[n[0]] if not n[1] else n[1][0][0] - 1 for n in nodes], np.int64), "point": np.array([centres[n[0]] for n in nodes], np.int64),
     }
 
 
@@ -84,6 +118,8 @@ def pack(ids: np.ndarray, vectors: list) -> bytes:
     m = np.zeros((len(vectors), width), np.int64)
     for i, v in enumerate(vectors):
         m[i, : len(v)] = v
+    if m.size and float(np.abs(m).max()) ** 2 * width >= 2**53:
+        raise ValueError("components too large for exact sums of doubles")
     tree = build(m)
     o = tree.pop("order")
     buf = io.BytesIO()

@@ -28,7 +28,6 @@ piece each. Extra columns are ignored; an empty table gives no row.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,9 +38,9 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import Table, U, documents, lowered, ragged, slices, word_hashes
 from tidewatch.session import cut, stored
 
-DEPTH = 6
+DEPTH = 5
 SPLIT = 3
-HEAD = 4_000_000
+HEAD = 2_000_000
 #: The end token's hash, and kinds of counted items.
 END, GRAM, TOKEN = U(0x5F3759DF00000001), 0, 1
 
@@ -68,7 +67,7 @@ def tokens(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Counts:
     """Keys counted with bounded memory: ``add`` gives what has to leave."""
 
-    def __init__(self, kind: int, most: int = 1_500_000) -> None:
+    def __init__(self, kind: int, most: int = 600_000) -> None:
         self.kind, self.most, self.held, self.size = kind, most, [], 0
 
     def add(self, keys: np.ndarray, weight: int) -> list[pd.DataFrame]:
@@ -109,7 +108,8 @@ def counted(texts: DataFrame, depth: int) -> DataFrame:
         for h in held:
             yield from h.flush()
 
-    return texts.mapInPandas(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    # the tasks have summed up already: first the exchange, then one aggregation
+    return texts.mapInPandas(run, "kind int, key long, n long").repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def log_gamma(x):
@@ -221,7 +221,7 @@ class Tree:
         return back
 
 
-def _groups(rows: int = 200_000):
+def _groups(rows: int = 60_000):
     """Batches sorted by ``group``, cut so that no group is parted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,8 +294,8 @@ def tree(counts: DataFrame, depth: int, split: int = SPLIT) -> DataFrame:
     return both.mapInPandas(down, "key long, s double")
 
 
-def _head(values: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, values) of the most frequent items, ``most`` at most: all above a count that a histogram of counts gives."""
+def _head(values: DataFrame, most: int) -> Table:
+    """The most frequent items, ``most`` at most: all above a count that a histogram of counts gives."""
     step = F.floor(F.log2(F.greatest("n", F.lit(1))) * 16).cast("int")
     sizes = dict(values.groupBy(step.alias("b")).count().collect())
     least, have = 10**9, 0
@@ -305,19 +305,7 @@ def _head(values: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
             break
         least = b
     t = values.where(step >= least).select("key", "v").toArrow()
-    return t.column("key").to_numpy().astype(np.int64), t.column("v").to_numpy().astype(float)
-
-
-_models: dict[str, tuple[Table, Table]] = {}
-
-
-def _tables(name: str, shared) -> tuple[Table, Table]:
-    """The worker's tables of one model, named by a UUID."""
-    if name not in _models:
-        _models.clear()
-        g, t = shared.value
-        _models[name] = Table(g[0].view(U), g[1]), Table(t[0].view(U), t[1])
-    return _models[name]
+    return Table(t.column("key").to_numpy().astype(np.int64).view(U), t.column("v").to_numpy().astype(float))
 
 
 def score(docs: DataFrame, held_out: int = 2, folds: int = 7, depth: int = DEPTH, head: int = HEAD) -> DataFrame:
@@ -325,7 +313,7 @@ def score(docs: DataFrame, held_out: int = 2, folds: int = 7, depth: int = DEPTH
 
     A document is held out of training if crc32(doc_id as text) mod ``folds`` is
     ``held_out``; depth: context bytes, 6 at most; head: most grams that are broadcast,
-    and an eighth of it the most tokens.
+    and a quarter of it the most tokens.
     """
     if not 1 <= depth <= 6:
         raise ValueError("depth must be 1 to 6")
@@ -337,11 +325,10 @@ def score(docs: DataFrame, held_out: int = 2, folds: int = 7, depth: int = DEPTH
     scale = float(np.log10(total + kinds + 1))
     pairs = counts.where(F.col("kind") == GRAM).select("key", "n")
     values = stored(tree(pairs, depth).join(pairs, "key").select(F.lit(GRAM).alias("kind"), "key", "n", F.col("s").alias("v")).union(words.select("kind", "key", "n", F.log10(F.col("n") + 1.0).alias("v"))), "values")
-    name = uuid.uuid4().hex
-    shared = spark.sparkContext.broadcast(tuple(_head(values.where(F.col("kind") == k), m) for k, m in ((GRAM, head), (TOKEN, head // 8))))
+    shared = spark.sparkContext.broadcast(tuple(_head(values.where(F.col("kind") == k), m) for k, m in ((GRAM, head), (TOKEN, head // 4))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of_grams, of_tokens = _tables(name, shared)
+        of_grams, of_tokens = shared.value
         for pdf in slices(batches):
             raw = [lowered(t) for t in pdf["text"]]
             out = pdf[["rid", "doc_id", "held_out"]].assign(bytes=[len(r) + 1 for r in raw])

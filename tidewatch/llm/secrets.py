@@ -4,9 +4,10 @@ Base spans come from three patterns, leftmost and non-overlapping per kind. The
 adds spans: long runs of token characters are scored by two first-order character models,
 one of random strings and one of ordinary identifiers, and a run is a secret if its
 log-likelihood ratio is high in total and per character. Labelled samples, each distinct
-value once: random are the values of all base spans and generated digests (one per
-sixteenth document); ordinary are the long runs that no base span touches and that are
-built like names (``NAME``: words, numbers and their separators). Of a run that meets
+value once and none as more than ``VALUE_PAIRS`` pairs: random are the values of all base
+spans that are neither hexadecimal nor built like names, and generated digests (of one in
+sixteen documents); ordinary are the long runs that no base span touches and that are built like names
+(``NAME``: words, numbers and their separators). Of a run that meets
 base spans, each uncovered piece is scored by itself, however short.
 
 Positions are code points, end exclusive: the lengths of what lies between matches
@@ -103,23 +104,51 @@ def _codes(value: Column) -> Column:
     return F.get(F.transform(F.array(at), pairs), F.lit(0))
 
 
-def ratios(found: DataFrame, docs: DataFrame) -> list[float]:
-    """ln P(b|a; random) - ln P(b|a; ordinary) for each pair of alphabet characters, with half-count smoothing."""
-    labelled = found.where("not covered").select(F.col("kind") != "random", "value").toDF("random", "value")
-    labelled = labelled.where(F.col("random") | F.col("value").rlike(NAME))
-    digest = F.sha2(F.concat(F.lit("random"), F.col("doc_id").cast("string")), 256)
+#: A value counts as so many pairs at most, however long; and the weight of single characters in a pair's estimate.
+VALUE_PAIRS, BACKOFF = 64, 8.0
+
+
+def chains(counts: dict[bool, list[float]]) -> list[float]:
+    """ln P(b|a; random) - ln P(b|a; ordinary) of each pair of alphabet characters, from weighted pair counts.
+
+    P(b|a) is estimated from the pairs and, with the weight of ``BACKOFF`` pairs, from how
+    often b follows at all (half a count added), so that few samples already tell classes apart.
+    """
+    n = len(ALPHABET)
+    rows = {}
+    for kind, c in counts.items():
+        single = [0.5 + sum(c[a * n + b] for a in range(n)) for b in range(n)]
+        whole = sum(single)
+        rows[kind] = [math.log((c[a * n + b] + BACKOFF * single[b] / whole) / (sum(c[a * n : a * n + n]) + BACKOFF)) for a in range(n) for b in range(n)]
+    return [x - y for x, y in zip(rows[True], rows[False])]
+
+
+def samples(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """(random, value): the distinct labelled strings of both classes.
+
+    Hexadecimal values have a pattern of their own; among the samples they would only hide
+    what follows a digit in other random strings.
+    """
+    like_name = F.col("value").rlike(NAME)
+    base = F.col("kind") != "random"
+    random = base & (F.col("kind") != "hex") & ~like_name & ~F.col("value").rlike("^[0-9a-f]+$")
+    labelled = found.where(~F.col("covered") & (random | (~base & like_name))).select(base.alias("random"), "value")
     made = docs.where(F.crc32(F.col("doc_id").cast("string")) % 16 == 0)
-    made = made.select(F.lit(True).alias("random"), F.explode(F.array(F.base64(F.unhex(digest)), F.substring(digest, 1, 40))).alias("value"))
-    pairs = labelled.union(made).distinct().select("random", F.explode(_codes(F.col("value"))).alias("pair")).groupBy("random", "pair").count()
+    digest = lambda salt: F.base64(F.unhex(F.sha2(F.concat(F.lit(salt), F.col("doc_id").cast("string")), 256)))
+    made = made.select(F.lit(True).alias("random"), F.explode(F.array(*map(digest, ("random", "string", "sample")))).alias("value"))
+    return labelled.union(made).distinct()
+
+
+def ratios(found: DataFrame, docs: DataFrame) -> list[float]:
+    """Log-likelihood ratio of each character pair, both chains trained on the labelled samples."""
+    codes = samples(found, docs).select("random", _codes(F.col("value")).alias("codes"))
+    weight = F.least(F.lit(1.0), VALUE_PAIRS / F.greatest(F.size("codes"), F.lit(1)))
+    pairs = codes.select("random", F.explode("codes").alias("pair"), weight.alias("w")).groupBy("random", "pair").agg(F.sum("w").alias("w"))
     n = len(ALPHABET)
-    counts = {True: [0.5] * (n * n), False: [0.5] * (n * n)}
+    counts = {True: [0.0] * (n * n), False: [0.0] * (n * n)}
     for r in pairs.collect():
-        counts[r["random"]][r["pair"]] += r["count"]
-    out = []
-    for a in range(n):
-        rows = [counts[kind][a * n : a * n + n] for kind in (True, False)]
-        out += [math.log(x / sum(rows[0])) - math.log(y / sum(rows[1])) for x, y in zip(*rows)]
-    return out
+        counts[r["random"]][r["pair"]] += r["w"]
+    return chains(counts)
 
 
 def secret_spans(docs: DataFrame, total: float = 12.0, per_character: float = 0.6) -> DataFrame:
@@ -162,18 +191,23 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every span's text replaced by ``mark`` (spans that meet are replaced together) and n_chars renewed."""
-    rows = docs.withColumns({"_text": F.coalesce("text", F.lit("")), "doc_id": F.col("doc_id").cast("long")}).withColumn("th", F.xxhash64("_text"))
+    """``docs`` with every span's text replaced by ``mark`` (spans that meet are replaced together) and n_chars renewed.
+
+    All columns stay as they are, whatever their names; a null text stays null and an
+    empty table gives no row.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text.alias("text"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("th"))
     found = _listed(keyed(docs)).select("doc_id", "th", "items")
     # spans that meet are folded into one, in order of start
     folded = F.aggregate(
         "items", F.expr("cast(array() as array<struct<a: bigint, b: bigint>>)"),
         lambda done, i: F.when((F.size(done) > 0) & (F.element_at(done, -1)["b"] > i["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["a"].alias("a"), F.greatest(F.element_at(done, -1)["b"], i["stop"]).alias("b"))))).otherwise(F.concat(done, F.array(F.struct(i["start"].alias("a"), i["stop"].alias("b"))))),
     )
-    found = found.withColumn("cuts", folded)
-    out = rows.join(found, _met(rows, found), "left")
-    n = F.size("cuts")
-    piece = F.expr("transform(sequence(0, size(cuts)), i -> substring(_text, cast(if(i = 0, 0, cuts[i - 1].b) as int) + 1, cast(if(i = size(cuts), length(_text), get(cuts, i).a) - if(i = 0, 0, cuts[i - 1].b) as int)))")
-    fresh = F.when(F.col("cuts").isNull() | (n == 0), F.col("text")).otherwise(F.array_join(piece, mark))
-    columns = [F.when(F.col("cuts").isNotNull(), F.length(fresh).cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else (fresh.alias("text") if c == "text" else rows[c]) for c in docs.columns]
-    return out.select(*columns)
+    found = found.select("doc_id", "th", folded.alias("cuts"))
+    out = rows.join(found, _met(rows, found), "left").select("row", "text", "cuts")
+    piece = F.expr("transform(sequence(0, size(cuts)), i -> substring(text, cast(if(i = 0, 0, cuts[i - 1].b) as int) + 1, cast(if(i = size(cuts), length(text), get(cuts, i).a) - if(i = 0, 0, cuts[i - 1].b) as int)))")
+    hit = F.col("cuts").isNotNull()
+    fresh = F.when(hit, F.array_join(piece, mark)).otherwise(F.col("row.text"))
+    new = {"text": fresh, "n_chars": F.when(hit, F.length(fresh).cast("long")).otherwise(F.col("row")["n_chars"])} if "n_chars" in docs.columns else {"text": fresh}
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
