@@ -54,6 +54,29 @@ def test_out_of_fold_probabilities_feed_later_models():
     assert toxicity.fit_linear(x, np.zeros(200))[0] == -30
 
 
+def test_linear_models_are_at_the_optimum(labelled):
+    """Newton by conjugate gradients against plain Newton on the dense matrix; the chain's probabilities from its weights by hand."""
+    rnd = np.random.default_rng(5)
+    x = np.column_stack([np.ones(300), rnd.poisson(0.3, (300, 12))]).astype(float)
+    y = (x[:, 1] + x[:, 2] - x[:, 3] + rnd.normal(size=300) > 0.4).astype(float)
+    use = rnd.random(300) < 0.8
+    w, ridge = np.zeros(13), np.r_[1e-9, np.full(12, 2.0)]
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x[use] @ w))
+        w += np.linalg.solve((x[use] * (p * (1 - p))[:, None]).T @ x[use] + np.diag(ridge), x[use].T @ (y[use] - p) - ridge * w)
+    assert toxicity.fit_linear(x, y, use) == pytest.approx(w, abs=1e-4)
+    docs, labels, rows = labelled
+    chain = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs, chain).collect()}
+    for i, text in rows[:40]:
+        f = Counter(t for word in toxicity.words(text) for t in toxicity.traits(word) if t in chain.at)
+        p = []
+        for v in chain.weights:
+            z = v[0] + sum(v[chain.at[t] + 1] * math.log1p(n) for t, n in f.items()) + sum(a * b for a, b in zip(p, v[len(chain.at) + 1 :]))
+            p.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+        assert list(got[i][1:5]) == pytest.approx(p, abs=1e-9) and got[i].rejected == (p[-1] >= 0.5)
+
+
 def brute_base(text):
     found = []
     for o, (kind, p, group, least) in enumerate([("assign", secrets.KINDS["assign"][0], 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16)]):

@@ -60,3 +60,35 @@ def test_near_copies_beyond_the_radius_go(spark):
     kept = simhash.keep_one(df).collect()
     assert not any(jaccard(a.text, b.text) >= 0.8 for i, a in enumerate(kept) for b in kept[:i])
     assert all(any(jaccard(t, k.text) >= 0.8 for k in kept) for _, t in rows)
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "one two three four five six seven", 7, 8, "x"), (2, "one two three four five six seven", 9, 10, "y"), (None, "", 1, 2, "z"), (3, None, 3, 4, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _th long, th long, component string")
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]
+
+
+def test_long_chains_of_near_copies(spark):
+    # each text is close to the next, none to those further on: components far longer than the rounds
+    word = lambda i: f"w{i}"
+    rows = [(i, " ".join(word(j) for j in range(6 * i, 6 * i + 100))) for i in range(25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.keep_one(df).collect()
+    assert not any(jaccard(a.text, b.text) >= 0.8 for i, a in enumerate(kept) for b in kept[:i])
+    assert all(any(jaccard(t, k.text) >= 0.8 for k in kept) for _, t in rows)
+
+
+def run_stages(spark, docs, folder):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    return corpus_pipeline.run(spark, str(folder))
+
+
+def test_pipeline_of_nothing_and_of_odd_rows(spark, no_docs, odd_docs, odd_rows, tmp_path):
+    assert run_stages(spark, no_docs, tmp_path / "none").count() == 0
+    pieces = run_stages(spark, odd_docs.select("doc_id", "text", "lang", "source", "n_chars"), tmp_path / "odd").collect()
+    ids = {r.doc_id for r in pieces}
+    assert ids <= {i for i, _ in odd_rows} and len(ids) > 20
+    assert all(r.offset == 0 and r.length & (r.length - 1) == 0 for r in pieces)

@@ -8,8 +8,9 @@
    Every shard builds a BK-tree whose children are keyed by their integer Hamming
    distance to the parent; queries follow only edges within the radius. A shard tree is
    sent to query blocks only within its own shard: trees over the whole corpus would
-   grow with the data and so are never broadcast to all tasks. A shard beyond
-   ``tree_rows`` is cut into several trees and its queries visit each of them.
+   grow with the data and so are never broadcast to all tasks. A crowded shard is dealt
+   anew by further bit blocks; only what stays crowded is cut into several trees, which
+   its queries all visit.
 3. ``components``: the shard's links are reduced to a spanning forest before they leave
    the task, then contracted to components.
 
@@ -195,14 +196,41 @@ def _link_shards(radius: int, rows: int = 200_000):
     return run
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _split_masks(mask: int, radius: int, agree: int = 2) -> list[int]:
+    """``mask`` widened by each choice of ``agree`` of ``radius + agree`` blocks of the bits that it leaves: fingerprints that
+    agree on ``mask`` and are within the radius agree on one of these too."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    m = radius + agree
+    blocks = [sum(1 << b for b in rest[len(rest) * i // m : len(rest) * (i + 1) // m]) for i in range(m)]
+    return [mask | sum(c) for c in combinations(blocks, agree)]
+
+
+def _crowded(sent: DataFrame, tree_rows: int) -> DataFrame:
+    return cut(sent.groupBy("shard", "value").count().where(F.col("count") > tree_rows))
+
+
 def links(distinct: DataFrame, n: int, radius: int = 4, shard_rows: int = 256, tree_rows: int = 16_384) -> DataFrame:
-    """(a, b): links that connect every pair of distinct fingerprints ``fp`` within ``radius``."""
+    """(a, b): links that connect every pair of distinct fingerprints ``fp`` within ``radius``.
+
+    A shard beyond ``tree_rows`` is dealt anew by further bit blocks, which again loses no
+    link; only what is still crowded then is cut into trees that all its rows visit.
+    """
     spark = distinct.sparkSession
     masks, agree = choose_blocks(n, radius, shard_rows)
     choices = [sum(c) for c in combinations(masks, agree)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in choices]
-    sent = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("shard", "value"))
-    crowded = cut(sent.groupBy("shard", "value").count().where(F.col("count") > tree_rows))
+    sent = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in choices])).alias("shard", "value"))
+    crowded = _crowded(sent, tree_rows)
+    if not crowded.isEmpty():
+        finer = [_split_masks(m, radius) for m in choices]
+        table = F.array(*[F.array(*[F.lit(_signed(m)) for m in ms]) for ms in finer])
+        again = sent.join(crowded.select("shard", "value"), ["shard", "value"], "left_semi").select("fp", "shard", F.posexplode(F.get(table, F.col("shard"))).alias("sub", "mask"))
+        again = again.select("fp", ((F.col("shard") + 1) * 1000 + F.col("sub")).alias("shard"), F.col("fp").bitwiseAND(F.col("mask")).alias("value"))
+        sent = sent.join(crowded.select("shard", "value"), ["shard", "value"], "left_anti").select("fp", "shard", "value").union(again)
+        crowded = _crowded(sent.where("shard >= 1000"), tree_rows)
     sent = sent.withColumns({"tree": F.lit(0), "member": F.lit(True)})
     if not crowded.isEmpty():
         trees = crowded.select("shard", "value", F.ceil(F.col("count") / tree_rows).cast("int").alias("trees"))
@@ -312,17 +340,19 @@ def _losers(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return cut(gone)
 
 
-def _one_of_each_component(first: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def _one_of_each_component(first: DataFrame, texts: DataFrame, words: int, similarity: float, rounds: int = 4) -> DataFrame:
     """(th, by): texts of ``first`` that are similar to one of their component that stays, ``by``.
 
-    Rounds take the first remaining text of each component as the one that stays, until
-    no component has two texts left to compare.
+    Each of at most ``rounds`` rounds takes the first remaining text of each component as one
+    that stays; whatever a component still holds then is left to the exact join.
     """
     many = stored(first.join(first.groupBy("component").count().where("count > 1"), "component").select("component", F.col("doc_id").alias("_id"), F.col("th").alias("_th")), "many")
     wanted = texts.join(many, texts["doc_id"].eqNullSafe(many["_id"]) & (texts["th"] == many["_th"])).select("component", "doc_id", "th", "text")
     rest = cut(wanted.mapInPandas(_shingle_sets(words), "component long, doc_id long, th long, shingles array<long>").dropDuplicates(["component", "th"]))
     gone = rest.select("th", F.col("th").alias("by")).where("false")
-    while not rest.isEmpty():
+    for _ in range(rounds):
+        if rest.isEmpty():
+            break
         stays = rest.groupBy("component").agg(F.min_by(F.struct("doc_id", "th", "shingles"), _rank()).alias("s"))
         both = F.size(F.array_intersect("shingles", "s.shingles"))
         either = F.size("shingles") + F.size("s.shingles") - both
@@ -372,5 +402,6 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 8, similarity: float
         gone = cut(gone.join(back, "th", "left_anti"))
         pending = cut(first.join(back, "th", "left_semi"))
     gone = cut(member.join(first, met(member, first), "left_anti").select("doc_id", "th").union(first.join(gone, "th", "left_semi").select("doc_id", "th")))
-    rows = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).dropDuplicates(["doc_id", "_th"])
-    return rows.join(gone, rows["doc_id"].eqNullSafe(gone["doc_id"]) & (rows["_th"] == gone["th"]), "left_anti").drop("_th")
+    # the rows travel in a struct, so that their columns may have any names
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("th")).dropDuplicates(["doc_id", "th"])
+    return rows.join(gone, met(rows, gone), "left_anti").select("row.*")

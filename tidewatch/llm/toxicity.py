@@ -67,6 +67,36 @@ class Known(dict):
         return found
 
 
+class Rows:
+    """A sparse matrix by entries, with dense columns behind it; column 0 is the intercept."""
+
+    def __init__(self, n: int, width: int, row: np.ndarray, col: np.ndarray, value: np.ndarray, extra: tuple = ()) -> None:
+        self.n, self.width, self.row, self.col, self.value, self.extra = n, width, row, col, value, extra
+
+    @staticmethod
+    def of(x: np.ndarray) -> Rows:
+        row, col = np.nonzero(x)
+        return Rows(*x.shape, row, col, x[row, col])
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return sum((e * v for e, v in zip(self.extra, w[self.width :])), np.bincount(self.row, self.value * w[self.col], self.n))
+
+    def tdot(self, r: np.ndarray) -> np.ndarray:
+        return np.r_[np.bincount(self.col, self.value * r[self.row], self.width), [e @ r for e in self.extra]]
+
+    def and_column(self, e: np.ndarray) -> Rows:
+        return Rows(self.n, self.width, self.row, self.col, self.value, (*self.extra, e))
+
+    def dense(self, at: np.ndarray) -> np.ndarray:
+        """Rows ``at`` without the intercept."""
+        place = np.full(self.n, -1)
+        place[at] = np.arange(len(at))
+        own = (place[self.row] >= 0) & (self.col > 0)
+        out = np.zeros((len(at), self.width - 1))
+        out[place[self.row[own]], self.col[own] - 1] = self.value[own]
+        return out
+
+
 class Chain:
     """Fitted models: a vocabulary and per category a weight vector over [1, words, earlier probabilities]."""
 
@@ -74,13 +104,10 @@ class Chain:
         self.at, self.names, self.weights = {w: i for i, w in enumerate(vocab)}, names, weights
         self.known = Known(self.at)
 
-    def matrix(self, counts: list[dict]) -> np.ndarray:
-        x = np.zeros((len(counts), len(self.at) + 1))
-        x[:, 0] = 1
-        for i, c in enumerate(counts):
-            for w, n in c.items():
-                x[i, self.at[w] + 1] = np.log1p(n)
-        return x
+    def matrix(self, counts: list[dict]) -> Rows:
+        cells = [(i, self.at[w] + 1, n) for i, c in enumerate(counts) for w, n in c.items()]
+        row, col, n = (np.array(x, np.int64) for x in zip(*cells)) if cells else (np.empty(0, np.int64),) * 3
+        return Rows(len(counts), len(self.at) + 1, np.r_[np.arange(len(counts)), row], np.r_[np.zeros(len(counts), np.int64), col], np.r_[np.ones(len(counts)), np.log1p(n)])
 
     def predict(self, texts: list[str], rows: int = 500) -> np.ndarray:
         """Probabilities, one column per category."""
@@ -88,44 +115,56 @@ class Chain:
             return np.vstack([self.predict(texts[i : i + rows], rows) for i in range(0, len(texts), rows)])
         of = self.known.__getitem__
         x = self.matrix([Counter([f for found in map(of, words(t)) if found for f in found]) for t in texts])
-        out = np.empty((len(texts), 0))
         for w in self.weights:
-            out = np.column_stack([out, sigmoid(np.column_stack([x, out]) @ w)])
-        return out
+            x = x.and_column(sigmoid(x.dot(w)))
+        return np.column_stack(x.extra) if x.extra else np.empty((len(texts), 0))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 2.0, rounds: int = 12) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; column 0 is the unpenalised intercept."""
-    w = np.zeros(x.shape[1])
-    if not len(y) or y.min() == y.max():
-        share = y.mean() if len(y) else 0.0
-        w[0] = -30.0 if share == 0 else 30.0
+def fit_linear(x: Rows | np.ndarray, y: np.ndarray, use: np.ndarray | None = None, ridge: float = 2.0, rounds: int = 12) -> np.ndarray:
+    """Ridge logistic regression over the rows in ``use`` by Newton steps, each solved by conjugate gradients; the intercept is unpenalised."""
+    x = Rows.of(x) if isinstance(x, np.ndarray) else x
+    use = np.ones(x.n) if use is None else use.astype(float)
+    w = np.zeros(x.width + len(x.extra))
+    told = y[use > 0]
+    if not len(told) or told.min() == told.max():
+        w[0] = -30.0 if not len(told) or told.mean() == 0 else 30.0
         return w
-    penalty = np.full(x.shape[1], ridge)
+    penalty = np.full(len(w), ridge)
     penalty[0] = 1e-9
     for _ in range(rounds):
-        p = sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        p = sigmoid(x.dot(w))
+        curve = use * (p * (1 - p) + 1e-9)
+        r = x.tdot(use * (y - p)) - penalty * w
+        step, way, size = np.zeros(len(w)), r.copy(), r @ r
+        least = 1e-10 * size
+        for _ in range(60):
+            turn = x.tdot(curve * x.dot(way)) + penalty * way
+            a = size / (way @ turn)
+            step += a * way
+            r -= a * turn
+            now = r @ r
+            if now <= least:
+                break
+            way, size = r + now / size * way, now
         w = w + step
-        if np.abs(step).max() < 1e-5:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
 
-def fit_chain(x: np.ndarray, ys: list[np.ndarray], fold: np.ndarray, folds: int) -> list[np.ndarray]:
+def fit_chain(x: Rows | np.ndarray, ys: list[np.ndarray], fold: np.ndarray, folds: int) -> list[np.ndarray]:
     """Weights per category; later ones see the out-of-fold probabilities of the earlier ones."""
-    weights, earlier = [], np.empty((len(x), 0))
+    full, weights = Rows.of(x) if isinstance(x, np.ndarray) else x, []
     for y in ys:
-        full = np.column_stack([x, earlier])
         weights.append(fit_linear(full, y))
-        out = np.zeros(len(x))
+        out = np.zeros(len(y))
         for k in range(folds):
-            out[fold == k] = sigmoid(full[fold == k] @ fit_linear(full[fold != k], y[fold != k]))
-        earlier = np.column_stack([earlier, out])
+            out[fold == k] = sigmoid(full.dot(fit_linear(full, y, fold != k)))[fold == k]
+        full = full.and_column(out)
     return weights
 
 
@@ -158,15 +197,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, kinds: int = 3,
     x = chain.matrix([counts.get(d, {}) for d in rows["doc_id"]])
     y = (rows["y"].to_numpy() == 1).astype(float)
     fold = (rows["doc_id"].to_numpy(np.int64) * 2654435761 >> 16) % folds
-    chain.weights = fit_chain(x, categories(x[:, 1:], y, kinds) + [y], fold, folds)
+    chain.weights = fit_chain(x, categories(x, y, kinds) + [y], fold, folds)
     return chain
 
 
-def categories(x: np.ndarray, y: np.ndarray, kinds: int) -> list[np.ndarray]:
+def categories(x: Rows, y: np.ndarray, kinds: int) -> list[np.ndarray]:
     """Per kind which rows are toxic and nearest to its centre; a row without features is of no kind."""
-    norm = np.linalg.norm(x, axis=1)
-    own = np.flatnonzero((y == 1) & (norm > 0))
-    unit = x[own] / norm[own][:, None]
+    own = np.flatnonzero(y == 1)
+    unit = x.dense(own)
+    norm = np.linalg.norm(unit, axis=1)
+    own, unit = own[norm > 0], unit[norm > 0] / norm[norm > 0][:, None]
     nearest = (unit @ spherical_k_means(unit, kinds).T).argmax(1) if len(own) else np.empty(0, int)
     out = []
     for k in range(kinds):
