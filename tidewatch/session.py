@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,15 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor shares: ``spark.checkpoint.dir`` of the session.
 
-    Where the cluster names none (a local session, a test) a temporary folder is
-    taken and set as the checkpoint directory.
+    Where none is named a local session (a test) takes a temporary folder and sets it as
+    the checkpoint directory; on a cluster that is an error, as executors don't share one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(named)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
