@@ -87,3 +87,52 @@ def test_search_union_keeps_the_first_and_counts_the_rest(spark):
     plan = spark.createDataFrame([("t", 1, 2, 40), ("t", 2, 1, 2), ("u", 1, 1, 0)], "topic string, request int, planned int, reported int")
     assert rows(feeds.search_union(pages)) == [("t", 1, 1, False, False), ("t", 1, 2, True, False), ("t", 2, 3, False, False)]
     assert rows(feeds.search_coverage(plan, pages)) == [("t", 3, 2, 42, 4, 1, 1, 2), ("u", 1, 0, 0, 0, 0, 0, 0)]
+
+
+def test_folds_in_batches_equal_one_replay(spark):
+    rows = [(i % 5, f"2024-01-01 00:{i:02d}:00", i, ["read", "save", "unsave", "dismiss"][(i * 7 // 3) % 4], i % 3 == 0) for i in range(60)]
+    log = spark.createDataFrame(rows, "item_key long, t string, seq long, action string, ok boolean").withColumn("ts", F.col("t").cast("timestamp_ntz")).withColumn("source_id", F.col("item_key"))
+    items = sources = None
+    for lo in range(0, 60, 7):
+        batch = log.where((F.col("seq") >= lo) & (F.col("seq") < lo + 7))
+        items, sources = state.fold_items(batch, items), state.fold_sources(batch.select("source_id", "ts", "seq", "ok"), sources)
+    assert rows_of(state.item_states(items)) == rows_of(versions.replay_state(log))
+    assert rows_of(state.next_polls(sources)) == rows_of(state.replay_sources(log.select("source_id", "ts", "seq", "ok")))
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_anchored_counter_starts_anew_after_seven_days(spark):
+    from tidewatch.operators import monitor
+
+    at = [("a", "2024-01-01 12:00:00", 3), ("a", "2024-01-08 11:59:59", 4), ("a", "2024-01-08 12:00:00", 5), ("a", "2024-01-20 00:00:00", 6), ("a", "2024-01-21 00:00:00", 1), ("b", "2024-01-01 00:00:00", 2)]
+    df = spark.createDataFrame(at, "source_id string, t string, items long").withColumn("ts", F.col("t").cast("timestamp_ntz"))
+    got = {r.source_id: (r.window_started_at.isoformat(), r.yielded) for r in monitor.anchored_yield(df).collect()}
+    assert got == {"a": ("2024-01-20T00:00:00", 7), "b": ("2024-01-01T00:00:00", 2)}
+
+
+def test_publication_dates_and_half_lives(spark):
+    from tidewatch.functions.dates import publication_date
+    from tidewatch.plans.detail import half_life
+
+    cases = {
+        "2024-02-29T10:00:00.1239+02:00": "2024-02-29T08:00:00.123000", "2023-02-29T10:00:00Z": None, "2024-01-01T24:00:00Z": None, "2024-01-01T00:00:00": None, "2024-01-01T00:00:00+14:00": "2023-12-31T10:00:00",
+        "2024-01-01T00:00:00+14:30": None, " 2024-03-04 ": "2024-03-04T00:00:00", "Tue, 5 Mar 49 01:02:03 GMT": "2049-03-05T01:02:03", "5 Mar 50 01:02:03 GMT": None, "05 mar 2024 01:02:03 -0130": "2024-03-05T02:32:03",
+        "05 Mar 2024 01:02:03 EST": None, "05 Foo 2024 01:02:03 Z": None, "1700000000": "2023-11-14T22:13:20", "1": None, "soon": None, "": None, None: None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "s string").select("s", publication_date(F.col("s")).cast("timestamp_ntz").alias("d"))
+    assert {r.s: r.d and r.d.isoformat() for r in df.collect()} == cases
+    good = spark.createDataFrame([("markets", "press"), ("1-URGENT", "x")], "b string, t string")
+    assert [r[0] for r in good.select(half_life(F.col("b"), F.col("t"))).collect()] == [24.0, 2000.0]
+    with pytest.raises(Exception, match="no half-life"):
+        spark.createDataFrame([("other", "press")], "b string, t string").select(half_life(F.col("b"), F.col("t"))).collect()
+
+
+def test_feeds_that_leave_entries_open(spark):
+    from tidewatch.sources import xml
+
+    body = "<rss><channel><item><link>a</link><title>A &amp; b</title><item><link>c</link><title>C</title><description>d</description></item><item><title>no link</title></item></channel></rss>"
+    got = xml.rss_items(spark.createDataFrame([(1, body), (2, None), (3, "no feed")], "k int, body string"), "body").collect()
+    assert [(r.k, r.url, r.title, r.summary) for r in got] == [(1, "a", "A & b", None), (1, "c", "C", "d")]

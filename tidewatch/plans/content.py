@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from tidewatch.functions import text as T
 from tidewatch.functions.scoring import log_odds_z
 from tidewatch.operators.versions import newest
 from tidewatch.plans import query
 from tidewatch.sources import feeds
-from tidewatch.session import table
+from tidewatch.session import stored, table
 
 
 @query("SELECT user_id, event_id, value FROM events WHERE event_type = 'purchase' AND user_id % 10 <> 0")
@@ -103,15 +106,32 @@ def search_index(spark, d):
       SELECT q.item_key, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS rank FROM q JOIN l ON q.item_key = l.item_key CROSS JOIN g
       GROUP BY 1 HAVING count(*) = 3 ORDER BY rank DESC, item_key LIMIT 100""")
 def search_hits(spark, d):
-    wanted = ["the", "and", "for"]
-    i = index(spark, d)
+    """The index is written once, in order of terms, so that a query reads the row groups of its terms only."""
+    i = stored(index(spark, d).repartitionByRange("term").sortWithinPartitions("term"), "search-index")
+    return search(i, "the and for", 100)
+
+
+def search(i, text: str, most: int):
+    """(item_key, rank): items that hold every word of the query, best first; a blank query is no search and gives no row."""
+    wanted = sorted({w for w in re.split(r"[\W_]+", text.lower()) if w})
     sizes = i.groupBy("item_key").agg(F.sum("tf").alias("n"))
-    docs, mean = sizes.agg(F.count("*"), F.avg("n")).first()
-    hits = i.where(F.col("term").isin(*wanted))
-    df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))  # one row a query term
-    bm = F.log(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("n") / F.lit(mean)))
+    every = sizes.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
+    hits = i.where(F.col("term").isin(*wanted) if wanted else F.lit(False))
+    df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")).join(every, F.lit(True)))  # one row a query term
+    bm = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("n") / F.col("mean")))
     ranked = hits.join(df, "term").join(sizes, "item_key").groupBy("item_key").agg(F.round(F.sum(bm), 6).alias("rank"), F.count("*").alias("k"))
-    return ranked.where(F.col("k") == len(wanted)).orderBy(F.desc("rank"), "item_key").limit(100).drop("k")
+    return ranked.where(F.col("k") == len(wanted)).orderBy(F.desc("rank"), "item_key").limit(most).drop("k")
+
+
+@query("""WITH t AS (SELECT doc_id, regexp_split_to_array(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, w, list_position(list_transform(w, lambda x: lower(regexp_replace(x, '[^\p{L}\p{N}]+', '', 'g'))), 'the') AS at_ FROM t)
+          SELECT doc_id AS item_key, array_to_string(w[greatest(1, at_ - 5):greatest(1, at_ - 5) + 11], ' ') AS snippet FROM p WHERE at_ > 0""")
+def search_snippets(spark, d):
+    """Twelve words about the first hit of a term in each text that has it."""
+    w = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    plain = F.transform("w", lambda x: F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}]+", "")))
+    hit = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("item_key"), w.alias("w")).withColumn("at", F.array_position(plain, "the")).where("at > 0")
+    first = F.greatest(F.lit(1), F.col("at") - 5).cast("int")
+    return hit.select("item_key", F.array_join(F.slice("w", first, F.lit(12)), " ").alias("snippet"))
 
 
 @query("""WITH w AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 2 AND NOT regexp_matches(x, '^[0-9]{4}$'))) AS term FROM documents),
@@ -128,15 +148,23 @@ def mined_terms(spark, d):
     return c.withColumn("z", F.round(log_odds_z(F.col("x"), F.lit(a), F.col("y"), F.lit(b)), 6)).where("z >= 1.96").orderBy(F.desc("z"), "term").limit(20)
 
 
-@query("""SELECT b.item_id, count(d.doc_id) AS documents, min(d.doc_id) AS first_document FROM benchmark b LEFT JOIN documents d ON contains(d.text, left(b.text, 40)) GROUP BY 1""")
+TOKENS = "' ' || array_to_string(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: w <> ''), ' ') || ' '"
+
+
+@query(f"""WITH b AS (SELECT item_id, {TOKENS.format("text")} AS run FROM benchmark), d AS (SELECT doc_id, {TOKENS.format("text")} AS words FROM documents WHERE text IS NOT NULL)
+           SELECT item_id, count(doc_id) AS documents, min(doc_id) AS first_document FROM b LEFT JOIN d ON length(run) > 2 AND contains(words, run) GROUP BY 1""")
 def mentions(spark, d):
-    """Equi-join on the first word of each name, then the exact test; the benchmark side is the query set."""
-    key = F.col("text").substr(1, 40)
-    named = table(spark, d, "benchmark").select("item_id", key.alias("name")).withColumn("w", F.element_at(F.split(F.trim("name"), " "), 2))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w")).join(F.broadcast(named.select("w").distinct()), "w")
-    pairs = words.join(named, "w").select("doc_id", "item_id", "name").join(docs, "doc_id").where(F.contains("text", "name"))
-    hits = pairs.groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_document"))
+    """Documents that hold a whole passage as a run of tokens, wherever it stands: an equi-join on the passage's rarest word, then the test of the run."""
+    named = table(spark, d, "benchmark").select("item_id", T.slug_tokens(F.col("text")).alias("run"))
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", T.slug_tokens(F.col("text")).alias("words"))
+    wanted = named.select("item_id", "run", F.explode(F.array_distinct("run")).alias("w"))
+    words = docs.select("doc_id", F.explode(F.array_distinct("words")).alias("w")).join(wanted.select("w").distinct(), "w")
+    # written once: it gives both the frequencies and the candidates
+    words = stored(words, "passage-words")
+    df = words.groupBy("w").agg(F.count("*").alias("df"))
+    rarest = wanted.join(df, "w", "left").groupBy("item_id").agg(F.min_by("w", F.struct(F.coalesce("df", F.lit(0)), "w")).alias("w"))
+    pairs = words.join(rarest, "w").select("doc_id", "item_id").join(named, "item_id").join(docs, "doc_id")
+    hits = pairs.where(T.has_token_run(F.col("words"), F.col("run"))).groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_document"))
     return named.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), "first_document")
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators import versions as V
 from tidewatch.plans import NOW, query
 from tidewatch.plans.versions import STATE_SQL, state_log
 from tidewatch.session import table
@@ -42,14 +41,19 @@ def token_ceiling(spark, d):
 @query("""WITH r AS (SELECT event_id, sha256(octet_length(event_type::BLOB) || ':' || event_type || '|' || octet_length(user_id::VARCHAR::BLOB) || ':' || user_id) AS k, value, ts::DATE AS day FROM events WHERE event_id % 2 = 1),
       c AS (SELECT DISTINCT sha256(octet_length(event_type::BLOB) || ':' || event_type || '|' || octet_length(user_id::VARCHAR::BLOB) || ':' || user_id) AS k FROM events WHERE event_id % 2 = 0 AND user_id % 3 <> 0),
       m AS (SELECT r.event_id, r.k, c.k IS NOT NULL AS hit, sum(CASE WHEN c.k IS NULL THEN value ELSE 0 END) OVER (PARTITION BY day ORDER BY event_id) AS used FROM r LEFT JOIN c ON r.k = c.k)
-      SELECT event_id, k AS cache_key, CASE WHEN hit THEN 'hit' WHEN used <= 1000 THEN 'admitted' ELSE 'deferred' END AS outcome FROM m""")
+      SELECT event_id, k AS cache_key, CASE WHEN hit THEN 'hit' WHEN round(used, 9) <= 1000 THEN 'admitted' ELSE 'deferred' END AS outcome FROM m""")
 def cache_split(spark, d):
     part = lambda c: F.concat(F.octet_length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string"))
     e = table(spark, d, "events").withColumn("k", F.sha2(F.concat_ws("|", part(F.col("event_type")), part(F.col("user_id"))), 256))
     known = e.where("event_id % 2 = 0 and user_id % 3 <> 0").select("k").distinct().withColumn("hit", F.lit(True))
     m = e.where("event_id % 2 = 1").join(known, "k", "left").withColumn("day", F.to_date("ts"))
-    w = Window.partitionBy("day").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    used = F.sum(F.when(F.col("hit").isNull(), F.col("value")).otherwise(0.0)).over(w)
+    # running sums by block of ids, then what the blocks before hold: no task has a whole day
+    m = m.withColumns({"block": F.floor(F.col("event_id") / 1000), "cost": F.when(F.col("hit").isNull(), F.col("value")).otherwise(0.0)})
+    upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    blocks = m.groupBy("day", "block").agg(F.sum("cost").alias("all"))
+    blocks = blocks.withColumn("before", F.sum("all").over(upto("day").orderBy("block")) - F.col("all")).drop("all")
+    m = m.join(blocks, ["day", "block"])
+    used = F.round(F.col("before") + F.sum("cost").over(upto("day", "block").orderBy("event_id")), 9)
     return m.withColumn("used", used).select("event_id", F.col("k").alias("cache_key"), F.when(F.col("hit"), "hit").when(F.col("used") <= 1000, "admitted").otherwise("deferred").alias("outcome"))
 
 
@@ -138,18 +142,17 @@ def stream_latest(spark, d):
 
 @query(SOURCE_SQL)
 def stream_source_state(spark, d):
-    schema = "source_id long, ts timestamp_ntz, seq long, ok boolean"
-    keep = lambda b, s: b if s is None else s.unionByName(b)
-    return S.replay_sources(S.drained(spark, attempts(stream(spark, d)), keep, schema))
+    """One row a source as state: last success, last failure, failures since."""
+    return S.next_polls(S.drained(spark, attempts(stream(spark, d)), S.fold_sources, S.SOURCE_STATE))
 
 
 @query(STATE_SQL)
 def stream_item_state(spark, d):
+    """One row an item as state: first read, first save since it was cleared, first dismissal."""
     events = stream(spark, d)
     kind = F.create_map(*[F.lit(x) for x in ("view", "read", "purchase", "save", "signup", "unsave", "error", "dismiss")])[F.col("event_type")]
     log = events.select(F.col("user_id").alias("item_key"), "ts", F.col("event_id").alias("seq"), kind.alias("action")).where("action is not null")
-    keep = lambda b, s: b if s is None else s.unionByName(b)
-    return V.replay_state(S.drained(spark, log, keep, "item_key long, ts timestamp_ntz, seq long, action string"))
+    return S.item_states(S.drained(spark, log, S.fold_items, S.ITEM_STATE))
 
 
 __all__ = ["state_log"]

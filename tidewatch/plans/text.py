@@ -47,7 +47,7 @@ def near_dup_clusters(spark, d):
 
 @query("""WITH runs AS (SELECT DISTINCT date_trunc('week', ts) AS run_at FROM events),
       m AS (SELECT date_trunc('week', ts) AS run_at, event_type AS cluster_id, user_id AS item_key FROM events WHERE value > 100 GROUP BY ALL),
-      s AS (SELECT event_id, user_id AS item_key, ts AS computed_at, (SELECT max(run_at) FROM runs WHERE run_at <= ts) AS run_at FROM events WHERE event_id % 10 = 0),
+      s AS (SELECT event_id, user_id AS item_key, ts AS computed_at, run_at FROM events ASOF JOIN runs ON ts >= run_at),
       z AS (SELECT run_at, cluster_id, count(*) AS n FROM m GROUP BY ALL),
       i AS (SELECT m.run_at, m.item_key, max(n) AS n FROM m JOIN z ON m.run_at = z.run_at AND m.cluster_id = z.cluster_id GROUP BY ALL)
       SELECT s.event_id, s.item_key, coalesce(i.n, 1) AS cluster_size FROM s LEFT JOIN i ON s.run_at = i.run_at AND s.item_key = i.item_key""")
@@ -63,7 +63,7 @@ def cluster_size_as_of(spark, d):
     # few runs: their intervals are a small side for the range join
     runs = e.select(run.alias("run_at")).distinct()
     runs = runs.withColumn("until", F.lead("run_at").over(Window.orderBy("run_at")))
-    s = e.where("event_id % 10 = 0").select("event_id", F.col("user_id").alias("item_key"), "ts")
+    s = e.select("event_id", F.col("user_id").alias("item_key"), "ts")
     s = s.join(F.broadcast(runs), (F.col("ts") >= F.col("run_at")) & (F.col("until").isNull() | (F.col("ts") < F.col("until"))))
     return s.join(of, ["run_at", "item_key"], "left").select("event_id", "item_key", F.coalesce("n", F.lit(1)).alias("cluster_size"))
 
@@ -163,11 +163,11 @@ def text_evidence(spark, d):
 
 @query("""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
        ok AS (SELECT * FROM p WHERE NOT regexp_matches(line, '^\\s*(#|>|\\||```|---|!\\[)') AND NOT contains(line, ' | ') AND len(list_filter(regexp_split_to_array(line, '\\s+'), lambda w: w <> '')) >= 4 AND length(trim(line)) >= 20)
-       SELECT doc_id AS item_key, arg_min(left(trim(line), 120), pos) AS paragraph FROM ok GROUP BY 1""")
+       SELECT doc_id AS item_key, arg_min(trim(line), pos) AS paragraph FROM ok GROUP BY 1""")
 def first_paragraph(spark, d):
     p = table(spark, d, "documents").select(F.col("doc_id").alias("item_key"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     prose = ~F.col("line").rlike(r"^\s*(#|>|\||```|---|!\[)") & ~F.col("line").contains(" | ") & (F.size(T.words(F.col("line"))) >= 4) & (F.length(F.trim("line")) >= 20)
-    return p.where(prose).groupBy("item_key").agg(F.min_by(F.substring(F.trim("line"), 1, 120), "at").alias("paragraph"))
+    return p.where(prose).groupBy("item_key").agg(F.min_by(F.trim("line"), "at").alias("paragraph"))
 
 
 @query("""SELECT page_id, CASE WHEN contains(url, '.gov') OR contains(url, 'official') THEN 'event' WHEN contains(lower(html), 'announces') OR contains(lower(html), 'press release') THEN 'press' ELSE 'analysis' END AS item_type FROM pages""")

@@ -10,21 +10,65 @@ from pyspark.sql import functions as F
 INTERVAL_H, LEAST_CAP_H = 1.0, 6.0
 
 
-def replay_sources(log: DataFrame) -> DataFrame:
-    """(source_id, last_success_at, last_failure_at, consecutive_failures, next_eligible_at) of an attempt log.
+SOURCE_STATE = "source_id long, s struct<ts: timestamp_ntz, seq: bigint>, f struct<ts: timestamp_ntz, seq: bigint>, n long"
+ITEM_STATE = "item_key long, read_at timestamp_ntz, dismissed_at timestamp_ntz, saved struct<ts: timestamp_ntz, seq: bigint>, cleared struct<ts: timestamp_ntz, seq: bigint>"
 
-    ``log``: source_id, ts, seq, ok. A success resets the failures; after n of them the
-    next attempt waits min(interval * 2**n, max(6 h, interval)). Everything follows from
-    the last success and the failures after it, so one aggregation replays the log.
-    """
+
+def summed_sources(log: DataFrame) -> DataFrame:
+    """(source_id, s, f, n) of an attempt log: places of the last success and failure, failures after that success."""
     place = F.struct("ts", "seq")
     last = log.groupBy("source_id").agg(F.max(F.when(F.col("ok"), place)).alias("s"), F.max(F.when(~F.col("ok"), place)).alias("f"))
     since = log.where(~F.col("ok")).join(last.select("source_id", "s"), "source_id")
     fails = since.where(F.col("s").isNull() | (place > F.col("s"))).groupBy("source_id").agg(F.count("*").alias("n"))
-    out = last.join(fails, "source_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return last.join(fails, "source_id", "left").select("source_id", "s", "f", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def next_polls(states: DataFrame) -> DataFrame:
+    """(source_id, last_success_at, last_failure_at, consecutive_failures, next_eligible_at) of source states."""
     wait = F.when(F.col("n") > 0, F.least(INTERVAL_H * F.pow(F.lit(2.0), F.col("n")), F.lit(max(LEAST_CAP_H, INTERVAL_H)))).otherwise(F.lit(INTERVAL_H))
     at = F.greatest(F.col("s.ts"), F.col("f.ts"))
-    return out.select("source_id", F.col("s.ts").alias("last_success_at"), F.col("f.ts").alias("last_failure_at"), F.col("n").alias("consecutive_failures"), F.timestamp_micros(F.unix_micros(at.cast("timestamp")) + (wait * 3600e6).cast("long")).cast("timestamp_ntz").alias("next_eligible_at"))
+    return states.select("source_id", F.col("s.ts").alias("last_success_at"), F.col("f.ts").alias("last_failure_at"), F.col("n").alias("consecutive_failures"), F.timestamp_micros(F.unix_micros(at.cast("timestamp")) + (wait * 3600e6).cast("long")).cast("timestamp_ntz").alias("next_eligible_at"))
+
+
+def replay_sources(log: DataFrame) -> DataFrame:
+    """Source states of an attempt log (source_id, ts, seq, ok), with the time of the next poll.
+
+    A success resets the failures; after n of them the next attempt waits
+    min(interval * 2**n, max(6 h, interval)). Everything follows from the last success and
+    the failures after it, so one aggregation replays the log.
+    """
+    return next_polls(summed_sources(log))
+
+
+def fold_sources(batch: DataFrame, state: DataFrame | None) -> DataFrame:
+    """Source states after a batch of later attempts: a success in it makes its own failures the count, else they add up."""
+    new = summed_sources(batch)
+    if state is None:
+        return new
+    both = state.select("source_id", F.struct("s", "f", "n").alias("o")).join(new.select("source_id", F.struct("s", "f", "n").alias("b")), "source_id", "full_outer")
+    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    n = F.when(F.col("b.s").isNotNull(), count("b.n")).otherwise(count("o.n") + count("b.n"))
+    return both.select("source_id", F.coalesce("b.s", "o.s").alias("s"), F.coalesce("b.f", "o.f").alias("f"), n.alias("n"))
+
+
+def fold_items(batch: DataFrame, state: DataFrame | None) -> DataFrame:
+    """Item states after a batch of later actions: first read, save and dismissal win; unsave clears the save."""
+    at = lambda kind, what: F.when(F.col("action") == kind, what)
+    place = F.struct("ts", "seq")
+    new = batch.groupBy("item_key").agg(F.min(at("read", F.col("ts"))).alias("read_at"), F.min(at("dismiss", F.col("ts"))).alias("dismissed_at"), F.max(at("unsave", place)).alias("cleared"))
+    saves = batch.where("action = 'save'").join(new.select("item_key", "cleared"), "item_key").where(F.col("cleared").isNull() | (place > F.col("cleared")))
+    new = new.join(saves.groupBy("item_key").agg(F.min(place).alias("saved")), "item_key", "left").select("item_key", "read_at", "dismissed_at", "saved", "cleared")
+    if state is None:
+        return new
+    fields = ("read_at", "dismissed_at", "saved", "cleared")
+    both = state.select("item_key", F.struct(*fields).alias("o")).join(new.select("item_key", F.struct(*fields).alias("b")), "item_key", "full_outer")
+    saved = F.when(F.col("b.cleared").isNotNull(), F.col("b.saved")).otherwise(F.coalesce("o.saved", "b.saved"))
+    return both.select("item_key", F.coalesce("o.read_at", "b.read_at").alias("read_at"), F.coalesce("o.dismissed_at", "b.dismissed_at").alias("dismissed_at"), saved.alias("saved"), F.coalesce("b.cleared", "o.cleared").alias("cleared"))
+
+
+def item_states(states: DataFrame) -> DataFrame:
+    """(item_key, read_at, saved_at, dismissed_at, signals) of item states; a dismissal emits one signal."""
+    return states.select("item_key", "read_at", F.col("saved.ts").alias("saved_at"), "dismissed_at", F.col("dismissed_at").isNotNull().cast("int").alias("signals"))
 
 
 def drained(spark: SparkSession, stream: DataFrame, fold: Callable[[DataFrame, DataFrame | None], DataFrame], schema: str) -> DataFrame:
