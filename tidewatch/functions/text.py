@@ -21,7 +21,7 @@ NO_OWNERS = ["about", "account", "apps", "blog", "codespaces", "collections", "c
 
 
 @F.pandas_udf(StringType())
-def _composed(text: pd.Series) -> pd.Series:
+def composed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
@@ -34,7 +34,7 @@ def normal_title(title: Column) -> Column:
 
     No built-in function composes characters, so one Arrow function does; it passes ASCII on as it is.
     """
-    plain = F.regexp_replace(F.lower(_composed(title)), "['’]", "")
+    plain = F.regexp_replace(F.lower(composed(title)), "['’]", "")
     return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
 
 

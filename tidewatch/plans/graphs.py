@@ -97,14 +97,19 @@ def supply_arcs(spark, d):
 
 
 @query(f"""WITH {ARC_SQL}, t AS (SELECT *, 2 * asin(sqrt(pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2))) AS g FROM r),
-      u AS (SELECT *, unnest(range(0, 5)) AS step FROM t WHERE g > 0), v AS (SELECT *, sin((1 - step / 4.0) * g) / sin(g) AS p, sin(step / 4.0 * g) / sin(g) AS q FROM u),
+      u AS (SELECT *, unnest(CASE WHEN sin(g) = 0 THEN [0, 48] ELSE range(0, 49) END) AS step FROM t), v AS (SELECT *, CASE WHEN sin(g) = 0 THEN 1 - step / 48.0 ELSE sin((1 - step / 48.0) * g) / sin(g) END AS p, CASE WHEN sin(g) = 0 THEN step / 48.0 ELSE sin(step / 48.0 * g) / sin(g) END AS q FROM u),
       w AS (SELECT source, target, step, p * cos(radians(lat1)) * cos(radians(lon1)) + q * cos(radians(lat2)) * cos(radians(lon2)) AS x, p * cos(radians(lat1)) * sin(radians(lon1)) + q * cos(radians(lat2)) * sin(radians(lon2)) AS y, p * sin(radians(lat1)) + q * sin(radians(lat2)) AS z FROM v)
       SELECT source, target, step::INTEGER AS step, round(degrees(atan2(z, sqrt(x * x + y * y))), 4) AS lat, round(degrees(atan2(y, x)), 4) AS lon FROM w""")
 def arc_paths(spark, d):
     rad = lambda c: F.radians(F.col(c))
     half = F.pow(F.sin((rad("lat2") - rad("lat1")) / 2), 2) + F.cos(rad("lat1")) * F.cos(rad("lat2")) * F.pow(F.sin((rad("lon2") - rad("lon1")) / 2), 2)
-    t = arcs(spark, d).withColumn("g", 2 * F.asin(F.sqrt(half))).where("g > 0").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    p, q = F.sin((1 - F.col("step") / 4) * F.col("g")) / F.sin("g"), F.sin(F.col("step") / 4 * F.col("g")) / F.sin("g")
+    t = arcs(spark, d).withColumn("g", 2 * F.asin(F.sqrt(half)))
+    # equal or opposite ends have no single path: the ends alone
+    flat = F.sin("g") == 0
+    t = t.withColumn("step", F.explode(F.when(flat, F.array(F.lit(0), F.lit(48))).otherwise(F.sequence(F.lit(0), F.lit(48)))))
+    along = F.col("step") / 48
+    p = F.when(flat, 1 - along).otherwise(F.try_divide(F.sin((1 - along) * F.col("g")), F.sin("g")))
+    q = F.when(flat, along).otherwise(F.try_divide(F.sin(along * F.col("g")), F.sin("g")))
     x = p * F.cos(rad("lat1")) * F.cos(rad("lon1")) + q * F.cos(rad("lat2")) * F.cos(rad("lon2"))
     y = p * F.cos(rad("lat1")) * F.sin(rad("lon1")) + q * F.cos(rad("lat2")) * F.sin(rad("lon2"))
     z = p * F.sin(rad("lat1")) + q * F.sin(rad("lat2"))
