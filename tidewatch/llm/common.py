@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,8 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 U = np.uint64
-#: Characters of text that a worker looks at together; Arrow batches may be larger.
+#: Characters of text that a worker looks at together.
 SLICE = 1 << 20
+#: Most bytes of an Arrow batch, so that a worker and its task hold few texts at once.
+BATCH = 4 << 20
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: The bytes that part words: space and 9 to 13.
 BREAKS = np.isin(np.arange(256), [32, *range(9, 14)])
@@ -43,9 +46,18 @@ def slices(batches: Iterator[pd.DataFrame], column: str = "text", size: int = SL
             yield pdf.iloc[a:b].reset_index(drop=True)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to ``BATCH`` bytes: one value for all operators, and never raised."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    size = re.fullmatch(r"(\d+)([kmg]?)b?", conf.get(name).lower())
+    if not size or int(size[1]) * 1024 ** "_kmg".index(size[2] or "_") > BATCH:
+        conf.set(name, f"{BATCH}b")
+    return df
+
+
 def documents(df: DataFrame) -> DataFrame:
     """(doc_id, text) of a documents table; a null text counts as empty."""
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return bounded(df).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -271,15 +271,17 @@ def _shingle_sets(words: int):
 HOT_SAMPLE, HOT_LEAST, HOT_KEPT = 8, 3, 500_000
 
 
-def _prefixes(words: int, similarity: float, hot):
-    """For mapInPandas: the first shingles of each text, the hot ones last, of which two texts that are similar enough share one."""
+def _described(words: int, similarity: float, hot):
+    """For mapInPandas: each text's fingerprint and its first shingles, the hot ones last, of which two texts that are similar enough share one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often = hot.value
         for pdf in slices(batches):
+            each = [np.array(shingle_hashes(t, words), np.uint64) for t in pdf["text"]]
+            fp = simhash(np.concatenate(each), np.array([len(x) for x in each], np.int64))
             heads, rest, size = [], [], []
-            for t in pdf["text"]:
-                x = np.unique(np.array(shingle_hashes(t, words), np.uint64)).view(np.int64)
+            for x in each:
+                x = np.unique(x).view(np.int64)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, x), len(often) - 1)
                     x = x[np.argsort(often[at] == x, kind="stable")]
@@ -287,7 +289,7 @@ def _prefixes(words: int, similarity: float, hot):
                 heads.append(x[: len(x) - left])
                 rest.append(left)
                 size.append(len(x))
-            yield pd.DataFrame({"th": pdf["th"], "size": np.array(size, np.int32), "rest": np.array(rest, np.int32), "head": heads})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "th": pdf["th"], "fp": fp.view(np.int64), "size": np.array(size, np.int32), "rest": np.array(rest, np.int32), "head": heads})
 
     return run
 
@@ -376,13 +378,12 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 8, similarity: float
     none, gone through again.
     """
     keyed = documents(docs).withColumn("th", F.xxhash64("text"))
-    prints = cut(fingerprints(docs, words))
-    member = cut(prints.join(components(prints, radius), "fp").select("doc_id", "th", "component").distinct())
+    hot = docs.sparkSession.sparkContext.broadcast(_hot_shingles(keyed, words))
+    seen = stored(keyed.mapInPandas(_described(words, similarity, hot), "doc_id long, th long, fp long, size int, rest int, head array<long>"), "described")
+    member = cut(seen.select("doc_id", "th", "fp").join(components(seen.select("doc_id", "th", "fp"), radius), "fp").select("doc_id", "th", "component").distinct())
     first = cut(member.groupBy("component", "th").agg(F.min("doc_id").alias("doc_id")))
     met = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
-    hot = docs.sparkSession.sparkContext.broadcast(_hot_shingles(keyed, words))
-    heads = stored(keyed.mapInPandas(_prefixes(words, similarity, hot), "th long, size int, rest int, head array<long>"), "heads")
-    prefixes = lambda some: stored(heads.join(some.select("th"), "th", "left_semi").dropDuplicates(["th"]), "prefixes")
+    prefixes = lambda some: stored(seen.select("th", "size", "rest", "head").join(some.select("th"), "th", "left_semi").dropDuplicates(["th"]), "prefixes")
     pending, kept, gone = first, None, first.select("th").where("false")
     while True:
         went = _one_of_each_component(pending, keyed, words, similarity)
@@ -401,7 +402,20 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 8, similarity: float
             break
         gone = cut(gone.join(back, "th", "left_anti"))
         pending = cut(first.join(back, "th", "left_semi"))
-    gone = cut(member.join(first, met(member, first), "left_anti").select("doc_id", "th").union(first.join(gone, "th", "left_semi").select("doc_id", "th")))
+    gone = cut(member.join(first, met(member, first), "left_anti").select("doc_id", "th").union(first.join(gone, "th", "left_semi").select("doc_id", "th")).distinct())
+    again = cut(seen.groupBy("doc_id", "th").count().where("count > 1").select("doc_id", "th"))
     # the rows travel in a struct, so that their columns may have any names
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("th")).dropDuplicates(["doc_id", "th"])
-    return rows.join(gone, met(rows, gone), "left_anti").select("row.*")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("th"))
+    out = _by_keys(rows, gone, "left_anti")
+    if not again.isEmpty():
+        out = _by_keys(out, again, "left_anti").unionByName(_by_keys(out, again, "left_semi").dropDuplicates(["doc_id", "th"]))
+    return out.select("row.*")
+
+
+#: Keys of documents that are broadcast, so that their texts need no shuffle; more are joined by one.
+NAMED = 1_000_000
+
+
+def _by_keys(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    named = F.broadcast(keys) if keys.count() <= NAMED else keys
+    return rows.join(named, rows["doc_id"].eqNullSafe(keys["doc_id"]) & (rows["th"] == keys["th"]), how)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import slices
+from tidewatch.llm.common import bounded, slices
 
 SOURCE_RATE = 8000
 BLOCK = 64
@@ -131,7 +131,7 @@ def store(df: DataFrame, payload: str = "payload", codec: str = "codec") -> Data
             media = [wav(bytes(p or b""), c) for p, c in zip(pdf[payload], pdf[codec])]
             yield pdf[[f.name for f in keep]].assign(media=media)
 
-    return df.mapInPandas(run, schema)
+    return bounded(df).mapInPandas(run, schema)
 
 
 def decode(df: DataFrame, rate: int = 16_000, pcm: bool = False) -> DataFrame:
@@ -159,7 +159,7 @@ def decode(df: DataFrame, rate: int = 16_000, pcm: bool = False) -> DataFrame:
             names = [x.split()[0] for x in added.split(", ")]
             yield pd.concat([pdf[[f.name for f in keep]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
 
-    return df.mapInPandas(run, schema)
+    return bounded(df).mapInPandas(run, schema)
 
 
 def text_payload(docs: DataFrame, unit: int = BLOCK) -> DataFrame:

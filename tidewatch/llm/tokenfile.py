@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import before, documents, slices
+from tidewatch.llm.common import before, bounded, documents, slices
 from tidewatch.llm.tokens import encoder
 from tidewatch.session import scratch
 
@@ -170,7 +170,7 @@ def _read(shards: DataFrame, wanted, ids: bool) -> DataFrame:
                 out = pd.DataFrame(_answers(row, wanted(row)), columns=["doc_id", "start", "n_tokens", "ids_crc32", "ids"]).astype({"doc_id": "Int64"})
                 yield out if ids else out.drop(columns="ids")
 
-    return shards.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
+    return bounded(shards).mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
 
 
 def read_all(shards: DataFrame, ids: bool = False) -> DataFrame:

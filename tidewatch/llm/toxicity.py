@@ -31,10 +31,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import documents, slices, spherical_k_means
+from tidewatch.llm.common import bounded, documents, slices, spherical_k_means
 
 LABEL = "toxic"
-PUNCTUATION = str.maketrans({c: " " for c in string.punctuation})
+PUNCTUATION = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
 
 #: Lengths of word beginnings.
@@ -43,14 +43,15 @@ STEMS = range(4, 9)
 CACHE = 100_000
 
 
-def words(text: str) -> list[str]:
-    """Lower-cased words; punctuation parts words."""
-    return text.lower().translate(PUNCTUATION).split()
+def words(text: str) -> list[bytes]:
+    """Lower-cased words as UTF-8; ASCII punctuation and white space part words (bytes are parted many times faster than characters)."""
+    return text.lower().encode().translate(PUNCTUATION).split()
 
 
-def traits(word: str) -> list[str]:
+def traits(word: bytes) -> list[str]:
     """A word's features: itself and its beginnings."""
-    return [word, *(word[:k] + "*" for k in STEMS if len(word) >= k)]
+    w = word.decode()
+    return [w, *(w[:k] + "*" for k in STEMS if len(w) >= k)]
 
 
 class Known(dict):
@@ -60,7 +61,7 @@ class Known(dict):
         super().__init__()
         self.vocab = vocab
 
-    def __missing__(self, word: str) -> tuple[str, ...]:
+    def __missing__(self, word: bytes) -> tuple[str, ...]:
         if len(self) > CACHE:
             self.clear()
         self[word] = found = tuple(t for t in traits(word) if t in self.vocab)
@@ -103,6 +104,12 @@ class Chain:
     def __init__(self, vocab: list[str], names: list[str], weights: list[np.ndarray]) -> None:
         self.at, self.names, self.weights = {w: i for i, w in enumerate(vocab)}, names, weights
         self.known = Known(self.at)
+        # stems have four letters or more, so a word with a feature begins like one
+        self.heads = {f.rstrip("*").encode()[:4] for f in vocab}
+
+    def features(self, text: str) -> Counter:
+        heads, of = self.heads, self.known.__getitem__
+        return Counter([f for w in words(text) if w[:4] in heads for f in of(w)])
 
     def matrix(self, counts: list[dict]) -> Rows:
         cells = [(i, self.at[w] + 1, n) for i, c in enumerate(counts) for w, n in c.items()]
@@ -113,8 +120,7 @@ class Chain:
         """Probabilities, one column per category."""
         if len(texts) > rows:
             return np.vstack([self.predict(texts[i : i + rows], rows) for i in range(0, len(texts), rows)])
-        of = self.known.__getitem__
-        x = self.matrix([Counter([f for found in map(of, words(t)) if found for f in found]) for t in texts])
+        x = self.matrix([self.features(t) for t in texts])
         for w in self.weights:
             x = x.and_column(sigmoid(x.dot(w)))
         return np.column_stack(x.extra) if x.extra else np.empty((len(texts), 0))
@@ -237,4 +243,4 @@ def keep_clean(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFra
     def rejected(text: pd.Series) -> pd.Series:
         return pd.Series(shared.value.predict(list(text))[:, -1] >= threshold)
 
-    return docs.where(~rejected(F.coalesce(F.col("text"), F.lit(""))))
+    return bounded(docs).where(~rejected(F.coalesce(F.col("text"), F.lit(""))))
