@@ -67,7 +67,7 @@ def tokens(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Counts:
     """Keys counted with bounded memory: ``add`` gives what has to leave."""
 
-    def __init__(self, kind: int, most: int = 600_000) -> None:
+    def __init__(self, kind: int, most: int = 1_200_000) -> None:
         self.kind, self.most, self.held, self.size = kind, most, [], 0
 
     def add(self, keys: np.ndarray, weight: int) -> list[pd.DataFrame]:
@@ -77,7 +77,7 @@ class Counts:
         if self.size <= self.most:
             return []
         self.merge()
-        return self.flush() if self.size > self.most // 2 else []
+        return self.flush() if self.size > 3 * self.most // 4 else []
 
     def merge(self) -> None:
         k, back = np.unique(np.concatenate([k for k, _ in self.held]), return_inverse=True)
