@@ -136,3 +136,17 @@ def test_feeds_that_leave_entries_open(spark):
     body = "<rss><channel><item><link>a</link><title>A &amp; b</title><item><link>c</link><title>C</title><description>d</description></item><item><title>no link</title></item></channel></rss>"
     got = xml.rss_items(spark.createDataFrame([(1, body), (2, None), (3, "no feed")], "k int, body string"), "body").collect()
     assert [(r.k, r.url, r.title, r.summary) for r in got] == [(1, "a", "A & b", None), (1, "c", "C", "d")]
+
+
+def test_first_paragraph_of_prose(spark):
+    from tidewatch.functions.prose import first_paragraph
+
+    cases = {
+        "---\ntitle: x\n---\n# Head\n\n```\ncode that looks like a sentence of prose\n```\n\nThis tool reads **feeds** and `files`.\nIt is fast &amp; small.\n- item": "This tool reads feeds and files. It is fast & small.",
+        "[![badge](a)](b) ![x](y)\n\n[one link label here](u) | [another link label](v)\n\nA paragraph with [one link](u) in it, after all.": "A paragraph with one link in it, after all.",
+        "<!-- a comment of many words -->\n> quoted words that go on and on\n\n    indented code line of words\n\nToo short.\n\nEnough words to be prose now.": "Enough words to be prose now.",
+        "~~~\nnever closed, words words words words": None, "": None, None: None, "a " * 200: ("a " * 150).strip(),
+        "One two three four five six seven\n## Next": "One two three four five six seven",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "s string")
+    assert {r.s: r.p for r in df.select("s", first_paragraph(F.col("s")).alias("p")).collect()} == cases

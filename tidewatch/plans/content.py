@@ -123,7 +123,7 @@ def search(i, text: str, most: int):
     return ranked.where(F.col("k") == len(wanted)).orderBy(F.desc("rank"), "item_key").limit(most).drop("k")
 
 
-@query("""WITH t AS (SELECT doc_id, regexp_split_to_array(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, w, list_position(list_transform(w, lambda x: lower(regexp_replace(x, '[^\p{L}\p{N}]+', '', 'g'))), 'the') AS at_ FROM t)
+@query(r"""WITH t AS (SELECT doc_id, regexp_split_to_array(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, w, list_position(list_transform(w, lambda x: lower(regexp_replace(x, '[^\p{L}\p{N}]+', '', 'g'))), 'the') AS at_ FROM t)
           SELECT doc_id AS item_key, array_to_string(w[greatest(1, at_ - 5):greatest(1, at_ - 5) + 11], ' ') AS snippet FROM p WHERE at_ > 0""")
 def search_snippets(spark, d):
     """Twelve words about the first hit of a term in each text that has it."""

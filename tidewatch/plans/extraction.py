@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scoring as S
 from tidewatch.functions import text as T
 from tidewatch.functions.names import name_reason
+from tidewatch.functions.prose import blocks, first_paragraph
 from tidewatch.operators import versions as V
 from tidewatch.plans import NOW, query
 from tidewatch.plans.operations import stream
@@ -248,3 +250,71 @@ def stream_hours(spark, d):
         return new if held is None else held.unionByName(new).groupBy("hour").agg(F.sum("n").alias("n"), F.max("latest").alias("latest"))
 
     return state.drained(spark, rows, fold, "hour timestamp_ntz, n long, latest timestamp_ntz")
+
+
+@query(r"""WITH b AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\n([ \t]*\n)+'), lambda x: trim(x) <> '')[1] AS p FROM documents WHERE text IS NOT NULL), t AS (SELECT doc_id, trim(regexp_replace(p, '\s+', ' ', 'g')) AS p FROM b WHERE regexp_matches(p, '^[A-Za-zÀ-ÿ ,.;:?!''\n]+$') AND NOT starts_with(p, '    '))
+      SELECT doc_id AS item_key, CASE WHEN length(p) <= 300 THEN p ELSE regexp_replace(left(p, 300), '\s+\S*$', '') END AS paragraph FROM t WHERE length(p) >= 20 AND len(list_filter(string_split(p, ' '), lambda w: regexp_matches(w, '[A-Za-z]'))) >= 4""")
+def prose_paragraphs(spark, d):
+    """The first paragraph of prose of the texts whose first block is plain (the tests hold the rest of the markup)."""
+    rows = table(spark, d, "documents").where("text is not null")
+    plain = F.get(blocks(F.col("text")), F.lit(0)).rlike(r"^[A-Za-zÀ-ÿ ,.;:?!'\n]+$") & ~F.col("text").startswith("    ")
+    enough = F.trim(F.regexp_replace(F.get(blocks(F.col("text")), F.lit(0)), r"\s+", " "))
+    told = F.size(F.filter(F.split(enough, " "), lambda w: w.rlike("[A-Za-z]"))) >= 4
+    return rows.where(plain & told & (F.length(enough) >= 20)).select(F.col("doc_id").alias("item_key"), first_paragraph(F.col("text")).alias("paragraph"))
+
+
+SAVED_SQL = """SELECT c_custkey AS item_key, '# ' || c_name AS line, 1 AS n FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT c_custkey, 'Source: ' || c_mktsegment, 2 FROM customer WHERE c_custkey % 5 = 0
+    UNION ALL SELECT c_custkey, 'Orders: ' || string_agg(o_orderkey::VARCHAR, ', ' ORDER BY o_orderkey), 3 FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 5 = 0 GROUP BY 1"""
+
+
+@query(SAVED_SQL)
+def saved_note_lines(spark, d):
+    """Lines of the note of each saved item, in order: title, source, what belongs to it."""
+    c = table(spark, d, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("item_key"), "c_name", "c_mktsegment")
+    keys = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("item_key")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ", ").alias("keys"))
+    lines = F.array_compact(F.array(F.concat(F.lit("# "), "c_name"), F.concat(F.lit("Source: "), "c_mktsegment"), F.concat(F.lit("Orders: "), "keys")))
+    return c.join(keys, "item_key", "left").select("item_key", F.posexplode(lines).alias("p", "line")).select("item_key", "line", (F.col("p") + 1).alias("n"))
+
+
+@query("""WITH v AS (SELECT user_id AS item_key, event_id, ts, event_type || ' ' || (event_id % 9) AS title FROM events), c AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY item_key ORDER BY ts DESC, event_id DESC) = 1)
+      SELECT item_key, unnest(list_distinct(string_split(title, ' '))) AS term FROM c""")
+def index_upkeep(spark, d):
+    """The search index after revisions: each batch of versions replaces what the index had of its items, so only current versions are in it."""
+    rows = table(spark, d, "events").select(F.col("user_id").alias("item_key"), F.col("ts").alias("fetched_at"), F.col("event_id").alias("ingest_seq"), F.concat_ws(" ", "event_type", (F.col("event_id") % 9).cast("string")).alias("title"))
+    held = None
+    for part in (0, 1, 2):
+        held = replaced(held, rows.where(F.col("ingest_seq") % 3 == part))
+    return held.select("item_key", F.explode("terms").alias("term"))
+
+
+def replaced(index, batch):
+    """Index rows (item_key, fetched_at, ingest_seq, terms) after a batch of versions: newer versions replace, older ones are ignored."""
+    new = V.current(batch, ["item_key"]).select("item_key", "fetched_at", "ingest_seq", F.array_distinct(F.split("title", " ")).alias("terms"))
+    return new if index is None else V.newest(index.unionByName(new), ["item_key"], "fetched_at", "ingest_seq")
+
+
+LOOKUP_SQL = """v AS (SELECT user_id AS item_key, min(ts) AS first_seen, arg_max(event_type, (ts, event_id)) AS source, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS beats FROM events WHERE ts <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY 1),
+    s AS (SELECT user_id AS item_key, arg_max(value, (ts, event_id)) AS score, max(ts) AS scored_at FROM events WHERE ts <= TIMESTAMP '2024-01-15 12:00:00' AND event_id % 3 <> 0 GROUP BY 1),
+    k AS (SELECT v.*, score, score * pow(0.5, (epoch(TIMESTAMP '2024-01-15 12:00:00') - epoch(scored_at)) / 3600 / 48) AS decayed FROM v LEFT JOIN s ON s.item_key = v.item_key WHERE v.item_key % 2 = 0 AND source IN ('view', 'signup') AND first_seen >= TIMESTAMP '2024-01-01 06:00:00')"""
+
+
+@query(f"""WITH {LOOKUP_SQL}, c AS (SELECT (SELECT count(*) FROM v WHERE item_key % 2 = 0) AS candidates, count(*) FILTER (decayed >= 5) AS matched, count(*) FILTER (score IS NULL) AS unscored_excluded FROM k)
+      SELECT row_number() OVER (ORDER BY decayed DESC, item_key)::INTEGER AS place, item_key, source, beats, round(score, 6) AS score, round(decayed, 6) AS decayed, candidates, matched, unscored_excluded FROM k, c WHERE decayed >= 5 ORDER BY place LIMIT 25""")
+def entity_lookup(spark, d):
+    """Items of an entity as of an instant: versions, beats and scores of then, kinds news and advisory by default, first-seen bound, score floor, with what each of these left."""
+    at = F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")
+    e = table(spark, d, "events").where(F.col("ts") <= at)
+    order = F.struct("ts", "event_id")
+    v = e.groupBy(F.col("user_id").alias("item_key")).agg(F.min("ts").alias("first_seen"), F.max_by("event_type", order).alias("source"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("beats"))
+    s = e.where("event_id % 3 <> 0").groupBy(F.col("user_id").alias("item_key")).agg(F.max_by("value", order).alias("score"), F.max("ts").alias("scored_at"))
+    mine = v.where("item_key % 2 = 0").join(s, "item_key", "left")
+    kinds = F.create_map(F.lit("view"), F.lit("news"), F.lit("signup"), F.lit("advisory"), F.lit("purchase"), F.lit("blog"))
+    kept = F.coalesce(kinds[F.col("source")].isin("news", "advisory"), F.lit(False)) & (F.col("first_seen") >= F.lit("2024-01-01 06:00:00").cast("timestamp_ntz"))
+    hours = (F.unix_micros(at.cast("timestamp")) - F.unix_micros(F.col("scored_at").cast("timestamp"))) / 3600e6
+    rows = mine.withColumn("decayed", F.col("score") * F.pow(F.lit(0.5), hours / 48)).withColumn("kept", kept)
+    good = F.col("kept") & (F.col("decayed") >= 5)
+    counts = rows.agg(F.count("*").alias("candidates"), F.count_if(good).alias("matched"), F.count_if(F.col("kept") & F.col("score").isNull()).alias("unscored_excluded")).withColumn("one", F.lit(1))
+    by = [F.desc("decayed"), F.col("item_key")]
+    page = rows.where(good).orderBy(*by).limit(25)  # a bounded page, then numbered
+    page = page.withColumn("place", F.row_number().over(Window.orderBy(*by))).withColumn("one", F.lit(1))
+    return page.join(F.broadcast(counts), "one").select("place", "item_key", "source", "beats", F.round("score", 6).alias("score"), F.round("decayed", 6).alias("decayed"), "candidates", "matched", "unscored_excluded")
