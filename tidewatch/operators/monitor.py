@@ -199,4 +199,5 @@ def scanned(ranked: DataFrame, order: list[Column], limits: dict[str, int]) -> D
         full = full | ((F.col("list") == name) & (F.col("_n") == most))
     ends = taken.where(F.col("list").isNotNull()).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max(limits.values())).where(full)
     last = ends.agg(F.when(F.count("*") == len(limits), F.max("_k")).alias("_end"))
-    return taken.join(F.broadcast(last), F.col("_end").isNull() | (F.col("_k") <= F.col("_end"))).drop("_k", "_end")
+    taken = taken.withColumn("_end", last.scalar())
+    return taken.where(F.col("_end").isNull() | (F.col("_k") <= F.col("_end"))).drop("_k", "_end")

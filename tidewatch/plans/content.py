@@ -115,9 +115,9 @@ def search(i, text: str, most: int):
     """(item_key, rank): items that hold every word of the query, best first; a blank query is no search and gives no row."""
     wanted = sorted({w for w in re.split(r"[\W_]+", text.lower()) if w})
     sizes = i.groupBy("item_key").agg(F.sum("tf").alias("n"))
-    every = sizes.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
+    docs, mean = sizes.agg(F.count("*")).scalar(), sizes.agg(F.avg("n")).scalar()
     hits = i.where(F.col("term").isin(*wanted) if wanted else F.lit(False))
-    df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")).join(every, F.lit(True)))  # one row a query term
+    df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")).withColumns({"docs": docs, "mean": mean}))  # one row a query term
     bm = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("n") / F.col("mean")))
     ranked = hits.join(df, "term").join(sizes, "item_key").groupBy("item_key").agg(F.round(F.sum(bm), 6).alias("rank"), F.count("*").alias("k"))
     return ranked.where(F.col("k") == len(wanted)).orderBy(F.desc("rank"), "item_key").limit(most).drop("k")

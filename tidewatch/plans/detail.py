@@ -119,7 +119,7 @@ def version_coverage(spark, d):
     wanted = spark.createDataFrame([("text",), ("next",)], "v string")
     total = docs.agg(F.count("*").alias("total"))
     done = wanted.join(ledger.groupBy("v").agg(F.count("*").alias("done")), "v", "left")
-    return done.join(F.broadcast(total), F.lit(True)).select(F.col("v").alias("ruleset_version"), "total", F.coalesce("done", F.lit(0)).alias("done"), (F.col("total") - F.coalesce("done", F.lit(0))).alias("remaining"))
+    return done.withColumn("total", total.scalar()).select(F.col("v").alias("ruleset_version"), "total", F.coalesce("done", F.lit(0)).alias("done"), (F.col("total") - F.coalesce("done", F.lit(0))).alias("remaining"))
 
 
 @query(f"""WITH s AS (SELECT DISTINCT user_id AS repo_id, ts::DATE AS day FROM events WHERE ts::DATE BETWEEN DATE '2024-01-22' AND DATE '2024-01-28'), r AS (SELECT DISTINCT user_id AS repo_id FROM events), e AS (SELECT repo_id, unnest(generate_series(DATE '2024-01-22', DATE '2024-01-28', INTERVAL 1 DAY))::DATE AS day FROM r)
@@ -181,7 +181,8 @@ def proposed_terms(spark, d):
     n = k.groupBy().agg(F.count("*").alias("all"), F.count_if(F.col("side") == "boost").alias("nb"), F.count_if(F.col("side") == "suppress").alias("ns"))
     t = table(spark, d, "documents").select("doc_id", F.explode(candidate_terms(F.substring_index("text", "\n", 1))).alias("term")).join(k, "doc_id")
     c = t.groupBy("term").agg(F.count("*").alias("df"), F.count_if(F.col("side") == "boost").alias("xb"), F.count_if(F.col("side") == "suppress").alias("xs")).where("df >= 3 and term <> 'ha'")
-    both = c.join(F.broadcast(n), F.lit(True)).select("term", "df", "all", F.explode(F.array(F.struct(F.lit("boost").alias("side"), F.col("xb").alias("x"), F.col("nb").alias("n")), F.struct(F.lit("suppress").alias("side"), F.col("xs").alias("x"), F.col("ns").alias("n")))).alias("s")).select("term", "df", "all", "s.*").where("n >= 5 and x >= 1")
+    figures = {name: n.select(name).scalar() for name in ("all", "nb", "ns")}
+    both = c.withColumns(figures).select("term", "df", "all", F.explode(F.array(F.struct(F.lit("boost").alias("side"), F.col("xb").alias("x"), F.col("nb").alias("n")), F.struct(F.lit("suppress").alias("side"), F.col("xs").alias("x"), F.col("ns").alias("n")))).alias("s")).select("term", "df", "all", "s.*").where("n >= 5 and x >= 1")
     z = both.withColumn("z", F.round(log_odds_z(F.col("x"), F.col("n"), F.col("df") - F.col("x"), F.col("all") - F.col("n")), 6)).where("z >= 1.96")
     w = Window.partitionBy("side").orderBy(F.desc("z"), "term")
     return z.withColumn("_n", F.row_number().over(w)).where("_n <= 20").select("side", "term", F.col("x").alias("in_class"), (F.col("df") - F.col("x")).alias("in_rest"), "z")
