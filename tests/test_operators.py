@@ -150,3 +150,12 @@ def test_first_paragraph_of_prose(spark):
     }
     df = spark.createDataFrame([(k,) for k in cases], "s string")
     assert {r.s: r.p for r in df.select("s", first_paragraph(F.col("s")).alias("p")).collect()} == cases
+
+
+def test_overlap_takes_no_short_or_generic_names_and_the_earliest_match(spark):
+    from tidewatch.operators import monitor
+
+    repos = spark.createDataFrame([("a/big-tool", "Big-Tool"), ("a/cli", "cli"), ("b/awesome-list", "awesome-list")], "repo_key string, name string")
+    stories = spark.createDataFrame([("s1", "About the big tool", "https://x.org/", 3), ("s1", "About the big tool", "https://github.com/A/Big-Tool.git", 5), ("s2", "a tool that is big", "https://x.org/", 1), ("s3", "cli and awesome list", "https://github.com/a/CLI/issues", 2)], "story_key string, title string, url string, fetched_at int")
+    got = {r.repo_key: (r.mentions, r.strength, r.first_at) for r in monitor.discussion_overlap(repos, stories, 6, ("awesomelist",)).collect()}
+    assert got == {"a/big-tool": (1, 0.6, 3), "a/cli": (1, 1.0, 2)}
