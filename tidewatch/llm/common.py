@@ -180,7 +180,9 @@ def spherical_k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     centres = x[at]
     for _ in range(rounds):
         own = (x @ centres.T).argmax(1)
-        sums = np.array([x[own == j].sum(0) if (own == j).any() else centres[j] for j in range(len(centres))])
+        one = (own[:, None] == np.arange(len(centres))).astype(x.dtype)
+        sums = one.T @ x
+        sums = np.where(one.any(0)[:, None], sums, centres)
         centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     return np.vstack([centres, np.zeros((k - len(centres), x.shape[1]))])
 

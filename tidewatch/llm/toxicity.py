@@ -93,7 +93,7 @@ class Rows:
         place = np.full(self.n, -1)
         place[at] = np.arange(len(at))
         own = (place[self.row] >= 0) & (self.col > 0)
-        out = np.zeros((len(at), self.width - 1))
+        out = np.zeros((len(at), self.width - 1), np.float32)
         out[place[self.row[own]], self.col[own] - 1] = self.value[own]
         return out
 
@@ -212,7 +212,8 @@ def categories(x: Rows, y: np.ndarray, kinds: int) -> list[np.ndarray]:
     own = np.flatnonzero(y == 1)
     unit = x.dense(own)
     norm = np.linalg.norm(unit, axis=1)
-    own, unit = own[norm > 0], unit[norm > 0] / norm[norm > 0][:, None]
+    own, unit = own[norm > 0], unit[norm > 0]
+    unit /= norm[norm > 0][:, None]
     nearest = (unit @ spherical_k_means(unit, kinds).T).argmax(1) if len(own) else np.empty(0, int)
     out = []
     for k in range(kinds):
