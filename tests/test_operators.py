@@ -92,12 +92,14 @@ def test_search_union_keeps_the_first_and_counts_the_rest(spark):
 def test_folds_in_batches_equal_one_replay(spark):
     rows = [(i % 5, f"2024-01-01 00:{i:02d}:00", i, ["read", "save", "unsave", "dismiss"][(i * 7 // 3) % 4], i % 3 == 0) for i in range(60)]
     log = spark.createDataFrame(rows, "item_key long, t string, seq long, action string, ok boolean").withColumn("ts", F.col("t").cast("timestamp_ntz")).withColumn("source_id", F.col("item_key"))
-    items = sources = None
-    for lo in range(0, 60, 7):
-        batch = log.where((F.col("seq") >= lo) & (F.col("seq") < lo + 7))
-        items, sources = state.fold_items(batch, items), state.fold_sources(batch.select("source_id", "ts", "seq", "ok"), sources)
-    assert rows_of(state.item_states(items)) == rows_of(versions.replay_state(log))
-    assert rows_of(state.next_polls(sources)) == rows_of(state.replay_sources(log.select("source_id", "ts", "seq", "ok")))
+    want = rows_of(versions.replay_state(log)), rows_of(state.replay_sources(log.select("source_id", "ts", "seq", "ok")))
+    # batches in order of time, and shuffled: what comes late counts by its own time
+    for order in (range(0, 60, 12), (36, 0, 48, 24, 12)):
+        items = sources = None
+        for lo in order:
+            batch = log.where((F.col("seq") >= lo) & (F.col("seq") < lo + 12))
+            items, sources = state.fold_items(batch, items), state.fold_sources(batch.select("source_id", "ts", "seq", "ok"), sources)
+        assert (rows_of(state.item_states(items)), rows_of(state.next_polls(sources.withColumn("n", F.size("after"))))) == want
 
 
 def rows_of(df):
@@ -159,3 +161,107 @@ def test_overlap_takes_no_short_or_generic_names_and_the_earliest_match(spark):
     stories = spark.createDataFrame([("s1", "About the big tool", "https://x.org/", 3), ("s1", "About the big tool", "https://github.com/A/Big-Tool.git", 5), ("s2", "a tool that is big", "https://x.org/", 1), ("s3", "cli and awesome list", "https://github.com/a/CLI/issues", 2)], "story_key string, title string, url string, fetched_at int")
     got = {r.repo_key: (r.mentions, r.strength, r.first_at) for r in monitor.discussion_overlap(repos, stories, 6, ("awesomelist",)).collect()}
     assert got == {"a/big-tool": (1, 0.6, 3), "a/cli": (1, 1.0, 2)}
+
+
+def plain_paragraph(text):
+    """The rules of ``first_paragraph`` on one text, line by line."""
+    import html
+    import re
+
+    from tidewatch.functions import prose
+
+    if text is None:
+        return None
+    for pattern, by in prose.MARKUP:
+        text = re.sub(pattern.replace("\\z", "\\Z"), by.replace("@", "\\1"), text)
+    skip, held = None, []
+    for n, line in enumerate([*html.unescape(text).split("\n"), ""]):
+        t = line.strip(prose.WHITE)
+        if skip:
+            if n and t.startswith(skip) and not t.strip("`~-"):
+                skip = None
+            continue
+        if n == 0 and t == "---":
+            skip, held = "---", []
+            continue
+        rule = bool(t) and not t.strip(prose.RULES) and not t.startswith("~~~")
+        block = t[:1] in ("|", ">") or t[:2] == ".." or re.match(r"(#{1,6}|[-+*]|\d{1,9}[.)])([ \t]|$)|\[[^\]]+\]:", t)
+        if t and not rule and not block and not t.startswith(("```", "~~~")) and (held or not line.startswith(("    ", "\t"))):
+            held.append(t)
+            continue
+        if held and not rule:
+            joined = " ".join(held)
+            joined = re.sub(r"(^|[^\w*])[*_]+|(?<![\w*])_+", lambda m: m[1] or "", joined)
+            joined = re.sub(r"[*_]+(?=[^\w*]|$)|_+(?=\W|$)", "", joined).replace("`", "").replace("~~", "")
+            joined = " ".join(joined.split())
+            labels = re.findall(f"{prose.OPEN}([^{prose.CLOSE}]*){prose.CLOSE}", joined)
+            bare = joined.replace(prose.OPEN, "").replace(prose.CLOSE, "")
+            share = sum(map(len, labels)) / max(1, len(bare))
+            told = [w for w in bare.split(" ") if re.search("[A-Za-z]", w)]
+            if len(bare) >= 20 and len(told) >= 4 and not (labels and share >= 0.9) and not (len(labels) >= 2 and share > 0.6):
+                return bare if len(bare) <= 300 else re.sub(r" [^ ]*$", "", bare[:300]).strip()
+        held = []
+        if t.startswith(("```", "~~~")):
+            skip = t[:3]
+    return None
+
+
+def test_first_paragraph_against_a_plain_version(spark):
+    import random
+
+    from tidewatch.functions.prose import first_paragraph
+
+    rnd = random.Random(8)
+    parts = ["Words of a sentence that is long enough to be prose.", "short", "# Head of it", "- an item with many words in it", "> quoted words in a row here", "```", "~~~", "---", "===", "", "", "", "    indented words of code in a row", "| a | b |", "[label one](u) [label two](v)", "See [the label](u) for words about **bold** and `code` &amp; more &#8212; of it.", "![x](y)", "<p align=center>Words in a paragraph of HTML, enough of them.</p>", "<ul><li><a href=x>many words in a link here</a></li></ul>", "<h2>A heading of several words here</h2>", "<a href='u'>one link with many words in it</a>", "<!-- hidden words", "-->", "<script>var words = many;</script>", "1. numbered item of words here", "[ref]: https://x.org", "&copy; words &nosuch; and words &lt;b&gt; again", "word " * 90]
+    texts = [None, "", "---\nx: y words of front matter here\n---\nAfter the matter come words."] + ["\n".join(rnd.choices(parts, k=rnd.randint(1, 9))) for _ in range(600)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
+    got = {r.i: r.p for r in df.select("i", first_paragraph(F.col("s")).alias("p")).collect()}
+    assert [(texts[i], p) for i, p in got.items() if p != plain_paragraph(texts[i])] == []
+    assert sum(p is not None for p in got.values()) > 200
+
+
+def test_character_references(spark):
+    import html
+
+    from tidewatch.functions.prose import unescaped
+
+    cases = ["", "a & b", "&amp;amp;", "&lt;b&gt; &eacute;&Eacute; &hellip;", "&#65;&#x41;&#128512;&#x1F600;", "&nosuch; &;", "a&amp;"]
+    df = spark.createDataFrame([(c,) for c in cases], "s string")
+    assert {r.s: r.u for r in df.select("s", unescaped(F.col("s")).alias("u")).collect()} == {c: html.unescape(c) for c in cases}
+
+
+def written_stream(spark, path, files):
+    """A stream of one file after the other; ``files`` are lists of rows."""
+    for i, rows_ in enumerate(files):
+        spark.createDataFrame(rows_, "k long, t string, n long").select("k", F.col("t").cast("timestamp_ntz").alias("ts"), "n").coalesce(1).write.parquet(f"{path}/part={i:02d}")
+    return spark.readStream.schema("k long, ts timestamp_ntz, n long").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{path}/*")
+
+
+def test_stream_of_anchored_counters_in_any_order_of_files(spark, tmp_path):
+    import random
+
+    from tidewatch.operators import monitor
+    from tidewatch.streaming import keyed
+
+    rnd = random.Random(9)
+    events = [(rnd.randint(1, 6), f"2024-01-{rnd.randint(1, 28):02d} {rnd.randint(0, 23):02d}:00:00", rnd.randint(1, 9)) for _ in range(120)]
+    batch = spark.createDataFrame(events, "source_id long, t string, items long").withColumn("ts", F.col("t").cast("timestamp_ntz"))
+    want = {r.source_id: (r.window_started_at, r.yielded) for r in monitor.anchored_yield(batch).collect()}
+    for name, order in (("sorted", sorted(events, key=lambda e: e[1])), ("shuffled", events)):
+        rows_ = written_stream(spark, str(tmp_path / name), [order[i : i + 30] for i in range(0, 120, 30)])
+        last, late = keyed.last_rows(keyed.anchored_counts(rows_.select(F.col("k").alias("source_id"), "ts", F.col("n").alias("items")), "31 days"), "source_id")
+        got = {r.source_id: (r.at, r.yielded) for r in last.select("source_id", F.timestamp_micros("window_us").cast("timestamp_ntz").alias("at"), "yielded").collect()}
+        assert (got, late) == (want, 0)
+
+
+def test_rows_behind_the_watermark_are_late(spark, tmp_path):
+    from tidewatch.streaming import keyed
+
+    files = [[(1, "2024-01-20 10:30:00", 1), (1, "2024-01-19 09:10:00", 1)], [(1, "2024-01-20 08:59:00", 1), (1, "2024-01-19 23:00:00", 1)], [(2, "2024-01-10 00:00:00", 1), (1, "2024-01-20 08:30:00", 1)]]
+    rows_ = written_stream(spark, str(tmp_path / "a"), files)
+    last, late = keyed.last_rows(keyed.hourly(rows_, "3 hours"), "hour")
+    # after the first file the mark stands at 7:30 of the 20th; rows are late to it from the batch after next
+    assert late == 1
+    assert {(r.hour.isoformat(), r.n) for r in last.collect()} == {("2024-01-20T10:00:00", 1), ("2024-01-19T09:00:00", 1), ("2024-01-19T23:00:00", 1), ("2024-01-20T08:00:00", 2)}
+    counts, late = keyed.last_rows(keyed.anchored_counts(rows_.select(F.col("k").alias("source_id"), "ts", F.col("n").alias("items")), "3 hours"), "source_id")
+    assert late == 1 and [tuple(r)[::2] for r in counts.collect()] == [(1, 5)]

@@ -5,43 +5,52 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+#: Zone names that stand for no offset, the years that count, and the widest offset in hours (fixed values).
+NO_OFFSET, YEARS, WIDEST_H = ("UT", "UTC", "GMT", "Z"), (1990, 2200), 14
+#: Spark's formats of an instant with its zone: an ISO one, and that of mail.
+ISO, MAIL = "yyyy-MM-dd'T'HH:mm:ss[.SSS][XXX][XX]", "d MMM yyyy HH:mm:ss [XXX][XX]"
 
 
-def _instant(date: Column, time: Column, offset: Column, millis: Column) -> Column:
-    """The instant of a local date and time with its offset in minutes; null where the calendar has no such time."""
-    local = F.unix_millis(F.try_to_timestamp(F.concat(date, F.lit(" "), time, F.lit("Z")), F.lit("yyyy-MM-dd HH:mm:ssX")))
-    return F.timestamp_millis(local + millis - offset * 60_000)
+def _zoned(text: Column, pattern: str) -> Column:
+    """The instant of a text in a format with a zone; null where the zone is missing or lies over 14 hours from UTC."""
+    at = lambda t: F.unix_millis(F.try_to_timestamp(t, F.lit(pattern)))
+    zone = F.regexp_extract(text, r"(Z|[+-]\d\d:?\d\d)$", 0)
+    instant, wall = at(text), at(F.concat(F.substring(text, F.lit(1), F.length(text) - F.length(zone)), F.lit("Z")))
+    return F.when((zone != "") & (F.abs(wall - instant) <= WIDEST_H * 3_600_000), F.timestamp_millis(instant))
 
 
-def _offset(zone: Column) -> Column:
-    """Minutes of a zone: UT, UTC, GMT, Z, or a signed hhmm of at most 14:00; null for others."""
-    digits = F.regexp_extract(zone, r"^[+-](\d{2}):?(\d{2})$", 1)
-    hours, minutes = digits.try_cast("int"), F.regexp_extract(zone, r"^[+-](\d{2}):?(\d{2})$", 2).try_cast("int")
-    size = hours * 60 + minutes
-    return F.when(F.upper(zone).isin("UT", "UTC", "GMT", "Z"), F.lit(0)).when((minutes <= 59) & (size <= 14 * 60), F.when(zone.startswith("-"), -size).otherwise(size))
+def _from_iso(text: Column) -> Column:
+    # capitals alone: Spark's formats would take a small t or z too; digits beyond milliseconds go
+    return F.when(text == F.upper(text), _zoned(F.regexp_replace(text, r"(\.\d{3})\d+", "$1"), ISO))
+
+
+def _from_day(text: Column) -> Column:
+    return F.when(F.length(text) == 10, _zoned(F.concat(text, F.lit("T00:00:00Z")), ISO))
+
+
+def _from_mail(text: Column) -> Column:
+    """Words: perhaps a weekday and a comma, then day, month, year, time and zone."""
+    comma = F.substring(text, 4, 1) == ","
+    words = F.split(F.when(comma & F.substring(text, 1, 3).rlike("^[A-Za-z]+$"), F.ltrim(F.substring(text, 5, 99))).otherwise(text), r"\s+")
+    day, month, year, time, zone = (F.get(words, F.lit(i)) for i in range(5))
+    century = F.when(F.length(year) == 2, F.when(year <= "49", "20").otherwise("19")).otherwise("")
+    sizes = (F.size(words) == 5) & (F.length(day) <= 2) & F.length(year).isin(2, 4)
+    plain = F.when(F.upper(zone).isin(*NO_OFFSET), "Z").otherwise(zone)
+    return F.when(sizes & ~zone.contains(":"), _zoned(F.concat_ws(" ", day, month, F.concat(century, year), time, plain), MAIL))
+
+
+def _from_epoch(text: Column) -> Column:
+    digits = (F.translate(text, "0123456789", "") == "") & F.length(text).between(1, 11)
+    return F.when(digits, F.timestamp_seconds(text.try_cast("bigint")))
 
 
 def publication_date(text: Column) -> Column:
-    """Instant of a publication date, first form that matches: ISO 8601 with a zone (milliseconds cut),
-    date only (midnight UTC), RFC 822 (two-digit years up to 49 are 20xx; numeric and UTC zones),
-    epoch seconds. No such calendar time, an offset over 14:00 or a year outside 1990 to 2200: null."""
+    """Instant of a publication date, first form that fits: ISO 8601 with a zone (milliseconds cut),
+    date only (midnight UTC), the form of mail (two-digit years up to 49 are 20xx; numeric and UTC
+    zones), epoch seconds. No such calendar time, an offset over 14:00 or a year outside 1990 to 2200: null."""
     s = F.trim(text)
-    iso = r"^(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2}:\d{2})(?:\.(\d+))?(Z|[+-]\d{2}:?\d{2})$"
-    part = lambda p, i: F.regexp_extract(s, p, i)
-    millis = F.rpad(F.substring(part(iso, 3), 1, 3), 3, "0").try_cast("int")
-    as_iso = F.when(s.rlike(iso), _instant(part(iso, 1), part(iso, 2), _offset(part(iso, 4)), F.coalesce(millis, F.lit(0))))
-    day = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), _instant(s, F.lit("00:00:00"), F.lit(0), F.lit(0)))
-    rfc = r"^(?:[A-Za-z]{3},\s+)?(\d{1,2})\s+([A-Za-z]{3})\s+(\d{4}|\d{2})\s+(\d{2}:\d{2}:\d{2})\s+([+-]\d{4}|[A-Za-z]{1,5})$"
-    at = F.instr(F.lit(MONTHS), F.lower(part(rfc, 2)))
-    month = F.when((at > 0) & ((at - 1) % 3 == 0), F.lpad(((at + 2) / 3).cast("int").cast("string"), 2, "0"))
-    y = part(rfc, 3)
-    year = F.when(F.length(y) == 4, y).when(y.try_cast("int") <= 49, F.concat(F.lit("20"), y)).otherwise(F.concat(F.lit("19"), y))
-    as_rfc = F.when(s.rlike(rfc), _instant(F.concat_ws("-", year, F.coalesce(month, F.lit("00")), F.lpad(part(rfc, 1), 2, "0")), part(rfc, 4), _offset(part(rfc, 5)), F.lit(0)))
-    epoch = F.when(s.rlike(r"^\d{1,11}$"), F.timestamp_seconds(s.try_cast("bigint")))
-    found = F.coalesce(as_iso, day, as_rfc, epoch)
-    low, high = F.lit("1990-01-01T00:00:00Z").cast("timestamp"), F.lit("2201-01-01T00:00:00Z").cast("timestamp")
-    return F.when((found >= low) & (found < high), found)
+    found = F.coalesce(_from_iso(s), _from_day(s), _from_mail(s), _from_epoch(s))
+    return F.when(F.year(found).between(*YEARS), found)
 
 
 def duration_ms(text: Column) -> Column:

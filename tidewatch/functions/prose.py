@@ -1,51 +1,167 @@
-"""The first paragraph of prose of a document in light markup."""
+"""The first paragraph of prose of a document in light markup or HTML.
+
+HTML is rewritten to light markup first: headings, list items and table cells begin lines of
+their own, other blocks are set apart by blank lines. Then one fold over the lines keeps three
+things: what is being skipped (a fence or front matter, by the mark that ends it), the lines of
+the paragraph that is open, and the first paragraph that was good enough.
+"""
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Limits of prose (fixed values).
+#: Limits of prose (fixed values): words and characters at least, characters at most.
 LEAST_WORDS, LEAST_CHARS, MOST_CHARS = 4, 20, 300
+#: Shares of linked characters (fixed values): of any paragraph, and of one with several links.
 ALL_LINK, ROW_OF_LINKS = 0.9, 0.6
-#: Beginnings of blocks that are no paragraphs: heading, list, quotation, link definition, directive, code, rule, table.
-NO_PARAGRAPH = r"^(?: {0,3}#{1,6}(?:\s|$)| {0,3}(?:[-*+]|\d{1,9}[.)])(?:\s|$)| {0,3}>| {0,3}\[[^\]]{1,200}\]:\s|\.\.(?:\s|$)| {4}|\t| {0,3}(?:[-*_] *){3,}$| {0,3}[=~^]{3,}\s*$| {0,3}\|)"
-#: Lines that end a paragraph though no blank line stands before them.
-ENDS = r"(?m)\n(?= {0,3}#{1,6}(?:\s|$)| {0,3}(?:[-*+]|\d{1,9}[.)])(?:\s|$)| {0,3}>| {0,3}(?:[-*_] *){3,}$)"
-LINK = r"\[((?:[^\[\]]){0,300})\]\([^)]{0,2000}\)|\[((?:[^\[\]]){0,300})\]\[[^\]]{0,200}\]|<a\b[^>]*>((?s:.{0,2000}?))</a\s*>"
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&amp;": "&"}
-
-
-def blocks(text: Column) -> Column:
-    """Blocks between blank lines, without comments, front matter and fenced code (to its end, or that of the text)."""
-    t = F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "^﻿", "")
-    t = F.regexp_replace(t, r"(?s)<!--.*?-->", "")
-    t = F.regexp_replace(t, r"(?s)^---\n.*?\n?---[ \t]*\n", "")
-    t = F.regexp_replace(t, r"(?ms)^ {0,3}(```|~~~)[^\n]*(?:\n.*?)??(?:^ {0,3}\1[^\n]*$|\z)", "\n\n")
-    return F.filter(F.split(t, r"\n(?:[ \t]*\n)+"), lambda b: F.trim(b) != "")
-
-
-def _plain(block: Column) -> Column:
-    """struct(text, links, linked): the block as text, its links and the characters of their labels."""
-    t = F.regexp_replace(block, r"(?is)<(script|style|svg|h[1-6]|sub|sup|small)\b[^>]*>.*?</\1\s*>", " ")
-    t = F.regexp_replace(F.regexp_replace(t, r"!\[[^\]]{0,300}\]\([^)]{0,2000}\)", " "), r"(?i)<img\b[^>]*>", " ")
-    labels = F.array_compact(F.concat(*[F.transform(F.regexp_extract_all(t, F.lit(LINK), F.lit(i)), lambda x: F.when(F.trim(x) != "", F.trim(F.regexp_replace(x, r"\s+", " ")))) for i in (1, 2, 3)]))
-    size = F.aggregate(labels, F.lit(0), lambda s, x: s + F.length(x))
-    out = F.regexp_replace(t, LINK, "$1$2$3")
-    out = F.regexp_replace(F.regexp_replace(out, r"<https?://[^>\s]*>|(?<!\w)https?://[^\s<>()\[\]]+", " "), r"<[^>]+>", " ")
-    for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    out = F.regexp_replace(F.regexp_replace(out, r"&#\d{1,6};", " "), r"`|\*\*|__|~~", "")
-    out = F.regexp_replace(out, r"(?<![\w\\])[*_](?=\S)|(?<=\S)[*_](?!\w)", "")
-    return F.struct(F.trim(F.regexp_replace(out, r"\s+", " ")).alias("text"), F.size(labels).alias("links"), size.alias("linked"))
+
+WHITE = " \t\x0b\f\r"
+#: Marks before and behind a link's label.
+OPEN, CLOSE = "\x01", "\x02"
+#: What is rewritten before lines are read: (pattern, what stands in its place; ``@`` for the group).
+MARKUP = [
+    ("\r\n", "\n"),
+    ("(?s)<!--.*?(?:-->|\\z)", ""),
+    (r"(?is)<(?:script|style|head|svg)\b.*?</(?:script|style|head|svg)[ \n]*>", "\n\n"),
+    (r"!\[[^\]]*\]\([^)]*\)|(?i:<img\b[^>]*>)", ""),
+    (r"(?is)<a\b[^>]*>(.*?)</a[ \n]*>", f"{OPEN}@{CLOSE}"),
+    (r"\[([^\[\]]*)\](?:\([^()]*\)|\[[^\[\]]*\])", f"{OPEN}@{CLOSE}"),
+    (r"<?https?://[^\s<>()]+>?", ""),
+    (r"(?i)</?pre\b[^>]*>", "\n```\n"),
+    (r"(?i)<br\b[^>]*>", "\n"),
+    (r"(?i)<h[1-6]\b[^>]*>", "\n\n# "),
+    (r"(?i)<li\b[^>]*>", "\n- "),
+    (r"(?i)<t[dh]\b[^>]*>", "\n| "),
+    (r"(?i)<(?:blockquote|dt|title)\b[^>]*>", "\n> "),
+    (r"(?i)</?(?:p|div|ul|ol|dl|table|tr|section|article|main|header|footer|body|html|figure|center|details|nav|hr)\b[^>]*>|</(?:h[1-6]|li|t[dh]|blockquote|dt|dd|title)[^>]*>", "\n\n"),
+    (r"</?[A-Za-z][^<>]*>", ""),
+]
+#: Beginnings of lines that belong to no paragraph: headings, list items, definitions of links.
+STRUCTURE = r"^(?:#{1,6}|[-+*]|[0-9]{1,9}[.)])(?:[ \t]|$)|^\[[^\]]+\]:"
+#: Characters of which rules, underlines and the second lines of tables are made.
+RULES = "-=|:*_~^ "
+#: Emphasis at the edge of a word.
+EMPHASIS = [(r"(^|[^\p{L}\p{N}*_])[*_]+", "@"), (r"[*_]+([^\p{L}\p{N}*_]|$)", "@"), (r"`|~~", ""), (r"[ \t\n\x0b\f\r]+", " ")]
+
+
+def _rewritten(text: Column, rules: list[tuple[str, str]]) -> Column:
+    for pattern, by in rules:
+        text = F.regexp_replace(text, pattern, by.replace("@", "$1"))
+    return text
+
+
+def unescaped(text: Column) -> Column:
+    """The text with HTML's character references, named and numeric, as characters; unknown ones stay."""
+    names = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))])
+    code = lambda digits, base: F.conv(digits, base, 10).cast("int")
+    char = lambda n: F.when(n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+
+    def read(piece: Column) -> Column:
+        name = F.substring_index(piece, ";", 1)
+        number = F.when(name.rlike("^#[0-9]{1,7}$"), code(F.substring(name, 2, 9), 10)).when(name.rlike("^#[xX][0-9a-fA-F]{1,6}$"), code(F.substring(name, 3, 9), 16))
+        found = F.coalesce(char(number), F.when(name.rlike("^[A-Za-z0-9]{2,8}$"), F.try_element_at(names, name)))
+        known = F.instr(piece, ";").between(3, 10) & found.isNotNull()
+        return F.when(known, F.concat(found, F.substr(piece, F.instr(piece, ";") + 1))).otherwise(F.concat(F.lit("&"), piece))
+
+    pieces = F.split(text, "&")
+    rest = F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), read), "")
+    return F.when(F.instr(text, "&") > 0, F.concat(F.get(pieces, F.lit(0)), rest)).otherwise(text)
+
+
+def lines(text: Column) -> Column:
+    """array<struct<t, kind>>: the text's lines with what each is, and a blank one at the end.
+
+    Kinds: blank, fence, rule, block, code (indented) and text.
+    """
+
+    def known(line: Column) -> Column:
+        t = F.trim(line, F.lit(WHITE))
+        starts = lambda *marks: F.coalesce(*[F.when(t.startswith(m), True) for m in marks], F.lit(False))
+        kind = (
+            F.when(t == "", "blank").when(starts("```", "~~~"), "fence").when(F.translate(t, RULES, "") == "", "rule")
+            .when(starts("|", ">", "..") | t.rlike(STRUCTURE), "block").when(starts("\t") | line.startswith("    ") | line.startswith("\t"), "code").otherwise("text")
+        )
+        return F.struct(t.alias("t"), kind.alias("kind"))
+
+    marked = _rewritten(F.regexp_replace(text, "^﻿", ""), MARKUP)
+    return F.transform(F.concat(F.split(unescaped(marked), "\n"), F.array(F.lit(""))), known)
+
+
+def _good(paragraph: Column) -> Column:
+    """The paragraph's text, cut to the most characters; null if it is too short or mostly links."""
+    flat = F.trim(_rewritten(F.array_join(paragraph, " "), EMPHASIS))
+    one = F.transform(F.array(flat), lambda t: F.struct(F.translate(t, OPEN + CLOSE, "").alias("t"), F.length(F.regexp_replace(t, f"[^{OPEN}]", "")).alias("links"), F.length(F.translate(F.regexp_replace(t, f"{OPEN}[^{CLOSE}]*{CLOSE}", ""), OPEN + CLOSE, "")).alias("free")))
+
+    def prose(p: Column) -> Column:
+        linked = 1 - p["free"] / F.greatest(F.length(p["t"]), F.lit(1))
+        words = F.size(F.filter(F.split(p["t"], " "), lambda w: w.rlike("[A-Za-z]")))
+        return (F.length(p["t"]) >= LEAST_CHARS) & (words >= LEAST_WORDS) & ~((p["links"] >= 1) & (linked >= ALL_LINK)) & ~((p["links"] >= 2) & (linked > ROW_OF_LINKS))
+
+    text = F.get(F.filter(one, prose), F.lit(0))["t"]
+    short = F.substring(text, 1, MOST_CHARS)
+    return F.trim(F.when(F.length(text) > MOST_CHARS, F.substring(short, F.lit(1), F.length(short) - F.length(F.substring_index(short, " ", -1)))).otherwise(text))
 
 
 def first_paragraph(text: Column) -> Column:
-    """The first block that reads as prose: no structure, 4 words and 20 characters or more, not mostly links; at most 300 characters, cut before a word."""
-    paragraph = F.transform(F.filter(blocks(text), lambda b: ~b.rlike(NO_PARAGRAPH)), lambda b: F.get(F.split(b, ENDS, 2), F.lit(0)))
-    told = F.transform(paragraph, _plain)
-    enough = lambda p: (F.length(p["text"]) >= LEAST_CHARS) & (F.size(F.filter(F.split(p["text"], " "), lambda w: w.rlike("[A-Za-z]"))) >= LEAST_WORDS)
-    share = lambda p: p["linked"] / F.greatest(F.length(p["text"]), F.lit(1))
-    linked = lambda p: ((p["links"] >= 1) & (share(p) >= ALL_LINK)) | ((p["links"] >= 2) & (share(p) > ROW_OF_LINKS))
-    found = F.get(F.filter(told, lambda p: enough(p) & ~linked(p)), F.lit(0))["text"]
-    return F.when(F.length(found) <= MOST_CHARS, found).otherwise(F.regexp_replace(F.substring(found, 1, MOST_CHARS), r"\s+\S*$", ""))
+    """The first paragraph of prose: no structure, 4 words and 20 characters or more, not mostly links; at most 300 characters, cut before a word."""
+    rows = lines(text)
+    begun = F.struct(
+        F.when(F.get(rows, F.lit(0))["t"] == "---", F.lit("---")).otherwise(F.lit("")).alias("skip"),
+        F.array().cast("array<string>").alias("open"), F.lit(None).cast("string").alias("found"), F.lit(0).alias("at"),
+    )
+
+    def step(state: Column, row: Column) -> Column:
+        t, kind, skip = row["t"], row["kind"], state["skip"]
+        ends_skip = (skip != "") & (state["at"] > 0) & t.startswith(skip) & (F.length(F.translate(t, "`~-", "")) == 0)
+        goes_on = (kind == "text") | ((kind == "code") & (F.size(state["open"]) > 0))
+        ended = (skip == "") & ~goes_on & (kind != "rule") & (F.size(state["open"]) > 0)
+        return F.struct(
+            F.when(ends_skip, "").when((skip == "") & (kind == "fence"), F.substring(t, 1, 3)).otherwise(skip).alias("skip"),
+            F.when((skip == "") & goes_on, F.concat(state["open"], F.array(t))).otherwise(F.array().cast("array<string>")).alias("open"),
+            F.when(ended, _good(state["open"])).alias("found"),
+            (state["at"] + 1).alias("at"),
+        )
+
+    def merge(state: Column, row: Column) -> Column:
+        return F.when(state["found"].isNotNull(), state).otherwise(step(state, row))
+
+    return F.aggregate(rows, begun, merge, lambda s: s["found"])
+
+
+def first_paragraph_sql(text: str) -> str:
+    """DuckDB's expression of the same, but for character references beyond XML's five."""
+    quoted = lambda s: " || ".join(f"chr({ord(c)})" if c in "\r\n\x01\x02" else f"'{c}'" for c in s) if s else "''"
+    chain = lambda e, rules: _chain(e, [(p, by.replace("@", "\\1")) for p, by in rules], quoted)
+    marked = chain(f"regexp_replace({text}, '^﻿', '')", MARKUP)
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("amp", "&")):
+        marked = f"replace({marked}, '&{name};', '{char}')"
+    white = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
+    structure = STRUCTURE.replace("'", "''")
+    rows = f"""list_transform(list_append(string_split({marked}, chr(10)), ''), lambda l: {{'t': trim(l, {white}), 'kind': CASE WHEN trim(l, {white}) = '' THEN 'blank'
+        WHEN starts_with(trim(l, {white}), '```') OR starts_with(trim(l, {white}), '~~~') THEN 'fence' WHEN translate(trim(l, {white}), '{RULES}', '') = '' THEN 'rule'
+        WHEN starts_with(trim(l, {white}), '|') OR starts_with(trim(l, {white}), '>') OR starts_with(trim(l, {white}), '..') OR regexp_matches(trim(l, {white}), '{structure}') THEN 'block'
+        WHEN starts_with(l, '    ') OR starts_with(l, chr(9)) THEN 'code' ELSE 'text' END}})"""
+    flat = "trim(" + chain("array_to_string(s.open, ' ')", EMPHASIS) + ")"
+    bare = f"translate({flat}, chr(1) || chr(2), '')"
+    free = f"(1 - length(translate(regexp_replace({flat}, chr(1) || '[^' || chr(2) || ']*' || chr(2), '', 'g'), chr(1) || chr(2), ''))::DOUBLE / greatest(length({bare}), 1))"
+    links = f"(length({flat}) - length(replace({flat}, chr(1), '')))"
+    cut = f"left({bare}, {MOST_CHARS})"
+    good = f"""CASE WHEN length({bare}) >= {LEAST_CHARS} AND len(list_filter(string_split({bare}, ' '), lambda w: regexp_matches(w, '[A-Za-z]'))) >= {LEAST_WORDS}
+        AND NOT ({links} >= 1 AND {free} >= {ALL_LINK}) AND NOT ({links} >= 2 AND {free} > {ROW_OF_LINKS})
+        THEN trim(CASE WHEN length({bare}) > {MOST_CHARS} THEN left({cut}, length({cut}) - length(list_last(string_split({cut}, ' ')))) ELSE {bare} END) END"""
+    goes_on = "(r.kind = 'text' OR r.kind = 'code' AND len(s.open) > 0)"
+    return f"""list_reduce({rows}, lambda s, r: CASE WHEN s.found IS NOT NULL THEN s ELSE {{
+        'skip': CASE WHEN s.skip <> '' AND s.nth > 0 AND starts_with(r.t, s.skip) AND translate(r.t, '`~-', '') = '' THEN '' WHEN s.skip = '' AND r.kind = 'fence' THEN left(r.t, 3) ELSE s.skip END,
+        'open': CASE WHEN s.skip = '' AND {goes_on} THEN list_append(s.open, r.t) ELSE []::VARCHAR[] END,
+        'found': CASE WHEN s.skip = '' AND NOT {goes_on} AND r.kind <> 'rule' AND len(s.open) > 0 THEN {good} END,
+        'nth': s.nth + 1}} END,
+        {{'skip': CASE WHEN regexp_matches({text}, '^﻿?---[ \\t\\r]*(\\n|$)') THEN '---' ELSE '' END, 'open': []::VARCHAR[], 'found': NULL::VARCHAR, 'nth': 0}}).found"""
+
+
+def _chain(expression: str, rules: list[tuple[str, str]], quoted) -> str:
+    for pattern, by in rules:
+        expression = f"regexp_replace({expression}, {quoted(pattern)}, {quoted(by)}, 'g')" if any(c in pattern + by for c in "\r\n\x01\x02") else f"regexp_replace({expression}, '{pattern}', '{by}', 'g')"
+    return expression

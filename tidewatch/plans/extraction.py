@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from tidewatch.functions import scoring as S
 from tidewatch.functions import text as T
 from tidewatch.functions.names import name_reason
-from tidewatch.functions.prose import blocks, first_paragraph
+from tidewatch.functions.prose import first_paragraph, first_paragraph_sql
 from tidewatch.operators import versions as V
 from tidewatch.plans import NOW, query
 from tidewatch.plans.operations import stream
 from tidewatch.plans.text import ZONE
 from tidewatch.session import table
-from tidewatch.streaming import state
+from tidewatch.streaming import keyed
 
 EDGE = "(^|[^\\p{L}\\p{N}_])", "($|[^\\p{L}\\p{N}_])"
 
@@ -241,26 +241,24 @@ def scores_by_beat(spark, d):
 
 @query(f"SELECT date_trunc('hour', ts) AS hour, count(*) AS n, max(ts) AS latest FROM events WHERE ts > TIMESTAMP '{NOW}' - INTERVAL 168 HOUR AND ts <= TIMESTAMP '{NOW}' GROUP BY 1")
 def stream_hours(spark, d):
-    """Activity of the trailing 168 hours by hour, as a stream: the state is one row an hour, and hours that leave the window go."""
+    """Activity of the trailing 168 hours by hour, as a stream: one row of state an hour, which goes when the watermark has left it behind."""
     now = F.lit(NOW).cast("timestamp_ntz")
-    rows = stream(spark, d).where((F.col("ts") > now - F.expr("interval 168 hours")) & (F.col("ts") <= now)).select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "ts")
+    rows = stream(spark, d).where((F.col("ts") > now - F.expr("interval 168 hours")) & (F.col("ts") <= now))
+    return keyed.last_rows(keyed.hourly(rows, "168 hours"), "hour")[0]
 
-    def fold(batch, held):
-        new = batch.groupBy("hour").agg(F.count("*").alias("n"), F.max("ts").alias("latest"))
-        return new if held is None else held.unionByName(new).groupBy("hour").agg(F.sum("n").alias("n"), F.max("latest").alias("latest"))
 
-    return state.drained(spark, rows, fold, "hour timestamp_ntz, n long, latest timestamp_ntz")
+@query(f"SELECT doc_id AS item_key, paragraph FROM (SELECT doc_id, {first_paragraph_sql('text')} AS paragraph FROM documents WHERE text IS NOT NULL) WHERE paragraph IS NOT NULL")
+def prose_paragraphs(spark, d):
+    """The first paragraph of prose of every document that has one."""
+    rows = table(spark, d, "documents")
+    return rows.select(F.col("doc_id").alias("item_key"), first_paragraph(F.col("text")).alias("paragraph")).where("paragraph IS NOT NULL")
 
 
-@query(r"""WITH b AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\n([ \t]*\n)+'), lambda x: trim(x) <> '')[1] AS p FROM documents WHERE text IS NOT NULL), t AS (SELECT doc_id, trim(regexp_replace(p, '\s+', ' ', 'g')) AS p FROM b WHERE regexp_matches(p, '^[A-Za-zÀ-ÿ ,.;:?!''\n]+$') AND NOT starts_with(p, '    '))
-      SELECT doc_id AS item_key, CASE WHEN length(p) <= 300 THEN p ELSE regexp_replace(left(p, 300), '\s+\S*$', '') END AS paragraph FROM t WHERE length(p) >= 20 AND len(list_filter(string_split(p, ' '), lambda w: regexp_matches(w, '[A-Za-z]'))) >= 4""")
-def prose_paragraphs(spark, d):
-    """The first paragraph of prose of the texts whose first block is plain (the tests hold the rest of the markup)."""
-    rows = table(spark, d, "documents").where("text is not null")
-    plain = F.get(blocks(F.col("text")), F.lit(0)).rlike(r"^[A-Za-zÀ-ÿ ,.;:?!'\n]+$") & ~F.col("text").startswith("    ")
-    enough = F.trim(F.regexp_replace(F.get(blocks(F.col("text")), F.lit(0)), r"\s+", " "))
-    told = F.size(F.filter(F.split(enough, " "), lambda w: w.rlike("[A-Za-z]"))) >= 4
-    return rows.where(plain & told & (F.length(enough) >= 20)).select(F.col("doc_id").alias("item_key"), first_paragraph(F.col("text")).alias("paragraph"))
+@query(f"SELECT page_id AS item_key, paragraph FROM (SELECT page_id, {first_paragraph_sql('html')} AS paragraph FROM pages WHERE html IS NOT NULL) WHERE paragraph IS NOT NULL")
+def page_paragraphs(spark, d):
+    """The first paragraph of prose of every web page that has one: navigation, headings and scripts are none."""
+    rows = table(spark, d, "pages")
+    return rows.select(F.col("page_id").alias("item_key"), first_paragraph(F.col("html")).alias("paragraph")).where("paragraph IS NOT NULL")
 
 
 SAVED_SQL = """SELECT c_custkey AS item_key, '# ' || c_name AS line, 1 AS n FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT c_custkey, 'Source: ' || c_mktsegment, 2 FROM customer WHERE c_custkey % 5 = 0

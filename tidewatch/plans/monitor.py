@@ -10,10 +10,11 @@ from tidewatch.functions.names import novel_words
 from tidewatch.operators import monitor as M
 from tidewatch.operators import versions as V
 from tidewatch.plans import NOW, query
-from tidewatch.plans.operations import SOURCE_SQL, attempts
+from tidewatch.plans.operations import SOURCE_SQL, attempts, stream
 from tidewatch.plans.ranking import BEST_SQL, best
 from tidewatch.plans.versions import STATE_SQL, state_log, versions
 from tidewatch.session import table
+from tidewatch.streaming import keyed
 from tidewatch.streaming import state as S
 
 HEALTH_SQL = f"""WITH st AS ({SOURCE_SQL}),
@@ -41,12 +42,23 @@ def source_health_summary(spark, d):
     return M.health_summary(health(spark, d))
 
 
-@query("""WITH RECURSIVE l AS (SELECT user_id AS s, ts, event_id % 5 AS n FROM events WHERE event_type <> 'error'), w AS (SELECT s, min(ts) AS st FROM l GROUP BY s UNION ALL SELECT w.s, min(l.ts) FROM w JOIN l ON l.s = w.s AND l.ts >= w.st + INTERVAL 7 DAY GROUP BY w.s, w.st),
-    f AS (SELECT s, max(st) AS st FROM w GROUP BY s) SELECT f.s AS source_id, st AS window_started_at, sum(n)::BIGINT AS yielded FROM f JOIN l ON l.s = f.s AND l.ts >= f.st GROUP BY ALL""")
+ANCHORED_SQL = """WITH RECURSIVE l AS (SELECT user_id AS s, ts, event_id % 5 AS n FROM events WHERE event_type <> 'error'), w AS (SELECT s, min(ts) AS st FROM l GROUP BY s UNION ALL SELECT w.s, min(l.ts) FROM w JOIN l ON l.s = w.s AND l.ts >= w.st + INTERVAL 7 DAY GROUP BY w.s, w.st),
+    f AS (SELECT s, max(st) AS st FROM w GROUP BY s) SELECT f.s AS source_id, st AS window_started_at, sum(n)::BIGINT AS yielded FROM f JOIN l ON l.s = f.s AND l.ts >= f.st GROUP BY ALL"""
+
+
+@query(ANCHORED_SQL)
 def anchored_yields(spark, d):
     return M.anchored_yield(table(spark, d, "events").where("event_type <> 'error'").select(F.col("user_id").alias("source_id"), "ts", (F.col("event_id") % 5).alias("items")))
 
 
+@query(ANCHORED_SQL)
+def stream_anchored_yields(spark, d):
+    """The same counters from the stream of events; rows may come 31 days late, and files in any order."""
+    ok = stream(spark, d).where("event_type <> 'error'").select(F.col("user_id").alias("source_id"), "ts", (F.col("event_id") % 5).alias("items"))
+    last, _ = keyed.last_rows(keyed.anchored_counts(ok, "31 days"), "source_id")
+    return last.select("source_id", F.timestamp_micros("window_us").cast("timestamp_ntz").alias("window_started_at"), "yielded")
+
+
 @query(f"SELECT user_id AS place, count(*) AS items, max(ts) AS latest FROM events WHERE value >= 20 AND ts > TIMESTAMP '{NOW}' - INTERVAL 168 HOUR AND ts <= TIMESTAMP '{NOW}' GROUP BY 1")
 def place_activity(spark, d):
     now = F.lit(NOW).cast("timestamp_ntz")

@@ -143,7 +143,7 @@ def stream_latest(spark, d):
 @query(SOURCE_SQL)
 def stream_source_state(spark, d):
     """One row a source as state: last success, last failure, failures since."""
-    return S.next_polls(S.drained(spark, attempts(stream(spark, d)), S.fold_sources, S.SOURCE_STATE))
+    return S.next_polls(S.drained(spark, attempts(stream(spark, d)), S.fold_sources, S.SOURCE_STATE).withColumn("n", F.size("after")))
 
 
 @query(STATE_SQL)

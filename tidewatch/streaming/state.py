@@ -4,30 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 INTERVAL_H, LEAST_CAP_H = 1.0, 6.0
 
 
-SOURCE_STATE = "source_id long, s struct<ts: timestamp_ntz, seq: bigint>, f struct<ts: timestamp_ntz, seq: bigint>, n long"
-ITEM_STATE = "item_key long, read_at timestamp_ntz, dismissed_at timestamp_ntz, saved struct<ts: timestamp_ntz, seq: bigint>, cleared struct<ts: timestamp_ntz, seq: bigint>"
+PLACE = "struct<ts: timestamp_ntz, seq: bigint>"
+SOURCE_STATE = f"source_id long, s {PLACE}, f {PLACE}, after array<{PLACE}>"
+ITEM_STATE = f"item_key long, read_at timestamp_ntz, dismissed_at timestamp_ntz, cleared {PLACE}, saves array<{PLACE}>"
 
 
-def summed_sources(log: DataFrame) -> DataFrame:
-    """(source_id, s, f, n) of an attempt log: places of the last success and failure, failures after that success."""
+def behind(places: Column, mark: Column) -> Column:
+    """The places that lie after ``mark``, or all where there is none."""
+    return F.filter(places, lambda p: mark.isNull() | (p > mark))
+
+
+def _sources(log: DataFrame, since: Column) -> DataFrame:
+    """(source_id, s, f, since) of an attempt log: places of the last success and failure, and ``since`` of the failures after that success."""
     place = F.struct("ts", "seq")
     last = log.groupBy("source_id").agg(F.max(F.when(F.col("ok"), place)).alias("s"), F.max(F.when(~F.col("ok"), place)).alias("f"))
-    since = log.where(~F.col("ok")).join(last.select("source_id", "s"), "source_id")
-    fails = since.where(F.col("s").isNull() | (place > F.col("s"))).groupBy("source_id").agg(F.count("*").alias("n"))
-    return last.join(fails, "source_id", "left").select("source_id", "s", "f", F.coalesce("n", F.lit(0)).alias("n"))
+    fails = log.where(~F.col("ok")).join(last.select("source_id", "s"), "source_id").where(F.col("s").isNull() | (place > F.col("s")))
+    return last.join(fails.groupBy("source_id").agg(since.alias("since")), "source_id", "left")
+
+
+def placed_sources(log: DataFrame) -> DataFrame:
+    """Source states that later and earlier batches can be folded into: they hold the places of the failures after the last success.
+
+    Such failures are few, as each doubles the wait for the next attempt.
+    """
+    rows = _sources(log, F.collect_list(F.struct("ts", "seq")))
+    return rows.select("source_id", "s", "f", F.coalesce("since", F.array().cast(f"array<{PLACE}>")).alias("after"))
 
 
 def next_polls(states: DataFrame) -> DataFrame:
-    """(source_id, last_success_at, last_failure_at, consecutive_failures, next_eligible_at) of source states."""
-    wait = F.when(F.col("n") > 0, F.least(INTERVAL_H * F.pow(F.lit(2.0), F.col("n")), F.lit(max(LEAST_CAP_H, INTERVAL_H)))).otherwise(F.lit(INTERVAL_H))
+    """(source_id, last_success_at, last_failure_at, consecutive_failures, next_eligible_at) of places ``s`` and ``f`` and the failures ``n`` between."""
+    n = F.col("n").cast("long")
+    wait = F.when(n > 0, F.least(INTERVAL_H * F.pow(F.lit(2.0), n), F.lit(max(LEAST_CAP_H, INTERVAL_H)))).otherwise(F.lit(INTERVAL_H))
     at = F.greatest(F.col("s.ts"), F.col("f.ts"))
-    return states.select("source_id", F.col("s.ts").alias("last_success_at"), F.col("f.ts").alias("last_failure_at"), F.col("n").alias("consecutive_failures"), F.timestamp_micros(F.unix_micros(at.cast("timestamp")) + (wait * 3600e6).cast("long")).cast("timestamp_ntz").alias("next_eligible_at"))
+    return states.select("source_id", F.col("s.ts").alias("last_success_at"), F.col("f.ts").alias("last_failure_at"), n.alias("consecutive_failures"), F.timestamp_micros(F.unix_micros(at.cast("timestamp")) + (wait * 3600e6).cast("long")).cast("timestamp_ntz").alias("next_eligible_at"))
 
 
 def replay_sources(log: DataFrame) -> DataFrame:
@@ -37,38 +52,51 @@ def replay_sources(log: DataFrame) -> DataFrame:
     min(interval * 2**n, max(6 h, interval)). Everything follows from the last success and
     the failures after it, so one aggregation replays the log.
     """
-    return next_polls(summed_sources(log))
+    return next_polls(_sources(log, F.count("*")).withColumn("n", F.coalesce("since", F.lit(0))))
 
 
 def fold_sources(batch: DataFrame, state: DataFrame | None) -> DataFrame:
-    """Source states after a batch of later attempts: a success in it makes its own failures the count, else they add up."""
-    new = summed_sources(batch)
+    """Source states after a batch of attempts, which may be later or earlier than those before.
+
+    Places tell what came last, not batches: the later success stands, and of the failures
+    of both sides those behind it count.
+    """
+    new = placed_sources(batch)
     if state is None:
         return new
-    both = state.select("source_id", F.struct("s", "f", "n").alias("o")).join(new.select("source_id", F.struct("s", "f", "n").alias("b")), "source_id", "full_outer")
-    count = lambda c: F.coalesce(F.col(c), F.lit(0))
-    n = F.when(F.col("b.s").isNotNull(), count("b.n")).otherwise(count("o.n") + count("b.n"))
-    return both.select("source_id", F.coalesce("b.s", "o.s").alias("s"), F.coalesce("b.f", "o.f").alias("f"), n.alias("n"))
+    both = _sides(state, new, "source_id")
+    s = F.greatest("o.s", "b.s")
+    return both.select("source_id", s.alias("s"), F.greatest("o.f", "b.f").alias("f"), behind(_joined("after"), s).alias("after"))
 
 
 def fold_items(batch: DataFrame, state: DataFrame | None) -> DataFrame:
-    """Item states after a batch of later actions: first read, save and dismissal win; unsave clears the save."""
+    """Item states after a batch of actions in any order: first read, save and dismissal win; unsave clears the saves before it."""
     at = lambda kind, what: F.when(F.col("action") == kind, what)
     place = F.struct("ts", "seq")
     new = batch.groupBy("item_key").agg(F.min(at("read", F.col("ts"))).alias("read_at"), F.min(at("dismiss", F.col("ts"))).alias("dismissed_at"), F.max(at("unsave", place)).alias("cleared"))
     saves = batch.where("action = 'save'").join(new.select("item_key", "cleared"), "item_key").where(F.col("cleared").isNull() | (place > F.col("cleared")))
-    new = new.join(saves.groupBy("item_key").agg(F.min(place).alias("saved")), "item_key", "left").select("item_key", "read_at", "dismissed_at", "saved", "cleared")
+    saves = saves.groupBy("item_key").agg(F.collect_list(place).alias("saves"))
+    new = new.join(saves, "item_key", "left").select("item_key", "read_at", "dismissed_at", "cleared", F.coalesce("saves", F.array().cast(f"array<{PLACE}>")).alias("saves"))
     if state is None:
         return new
-    fields = ("read_at", "dismissed_at", "saved", "cleared")
-    both = state.select("item_key", F.struct(*fields).alias("o")).join(new.select("item_key", F.struct(*fields).alias("b")), "item_key", "full_outer")
-    saved = F.when(F.col("b.cleared").isNotNull(), F.col("b.saved")).otherwise(F.coalesce("o.saved", "b.saved"))
-    return both.select("item_key", F.coalesce("o.read_at", "b.read_at").alias("read_at"), F.coalesce("o.dismissed_at", "b.dismissed_at").alias("dismissed_at"), saved.alias("saved"), F.coalesce("b.cleared", "o.cleared").alias("cleared"))
+    both, cleared = _sides(state, new, "item_key"), F.greatest("o.cleared", "b.cleared")
+    return both.select("item_key", F.least("o.read_at", "b.read_at").alias("read_at"), F.least("o.dismissed_at", "b.dismissed_at").alias("dismissed_at"), cleared.alias("cleared"), behind(_joined("saves"), cleared).alias("saves"))
+
+
+def _sides(state: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Old and new rows of each key side by side, as structs ``o`` and ``b``."""
+    fields = [c for c in new.columns if c != key]
+    return state.select(key, F.struct(*fields).alias("o")).join(new.select(key, F.struct(*fields).alias("b")), key, "full_outer")
+
+
+def _joined(field: str) -> Column:
+    none = F.array().cast(f"array<{PLACE}>")
+    return F.concat(F.coalesce(F.col(f"o.{field}"), none), F.coalesce(F.col(f"b.{field}"), none))
 
 
 def item_states(states: DataFrame) -> DataFrame:
     """(item_key, read_at, saved_at, dismissed_at, signals) of item states; a dismissal emits one signal."""
-    return states.select("item_key", "read_at", F.col("saved.ts").alias("saved_at"), "dismissed_at", F.col("dismissed_at").isNotNull().cast("int").alias("signals"))
+    return states.select("item_key", "read_at", F.array_min("saves")["ts"].alias("saved_at"), "dismissed_at", F.col("dismissed_at").isNotNull().cast("int").alias("signals"))
 
 
 def drained(spark: SparkSession, stream: DataFrame, fold: Callable[[DataFrame, DataFrame | None], DataFrame], schema: str) -> DataFrame:
