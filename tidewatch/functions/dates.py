@@ -15,17 +15,19 @@ def _zoned(text: Column, pattern: str) -> Column:
     """The instant of a text in a format with a zone; null where the zone is missing or lies over 14 hours from UTC."""
     at = lambda t: F.unix_millis(F.try_to_timestamp(t, F.lit(pattern)))
     zone = F.regexp_extract(text, r"(Z|[+-]\d\d:?\d\d)$", 0)
-    instant, wall = at(text), at(F.concat(F.substring(text, F.lit(1), F.length(text) - F.length(zone)), F.lit("Z")))
-    return F.when((zone != "") & (F.abs(wall - instant) <= WIDEST_H * 3_600_000), F.timestamp_millis(instant))
+    wall = F.concat(F.substring(text, F.lit(1), F.length(text) - F.length(zone)), F.lit("Z"))
+    both = F.array(F.struct(at(text).alias("instant"), at(wall).alias("wall")))  # an array holds what is used more than once
+    near = F.filter(both, lambda x: F.abs(x["wall"] - x["instant"]) <= WIDEST_H * 3_600_000)
+    return F.when(zone != "", F.timestamp_millis(F.get(near, F.lit(0))["instant"]))
 
 
 def _from_iso(text: Column) -> Column:
     # capitals alone: Spark's formats would take a small t or z too; digits beyond milliseconds go
-    return F.when(text == F.upper(text), _zoned(F.regexp_replace(text, r"(\.\d{3})\d+", "$1"), ISO))
+    return F.when(text.like("____-__-__T%") & (text == F.upper(text)), _zoned(F.regexp_replace(text, r"(\.\d{3})\d+", "$1"), ISO))
 
 
 def _from_day(text: Column) -> Column:
-    return F.when(F.length(text) == 10, _zoned(F.concat(text, F.lit("T00:00:00Z")), ISO))
+    return F.when((F.length(text) == 10) & text.like("____-__-__"), _zoned(F.concat(text, F.lit("T00:00:00Z")), ISO))
 
 
 def _from_mail(text: Column) -> Column:
@@ -49,8 +51,8 @@ def publication_date(text: Column) -> Column:
     date only (midnight UTC), the form of mail (two-digit years up to 49 are 20xx; numeric and UTC
     zones), epoch seconds. No such calendar time, an offset over 14:00 or a year outside 1990 to 2200: null."""
     s = F.trim(text)
-    found = F.coalesce(_from_iso(s), _from_day(s), _from_mail(s), _from_epoch(s))
-    return F.when(F.year(found).between(*YEARS), found)
+    found = F.array(F.coalesce(_from_iso(s), _from_day(s), _from_mail(s), _from_epoch(s)))
+    return F.get(F.filter(found, lambda at: F.year(at).between(*YEARS)), F.lit(0))
 
 
 def duration_ms(text: Column) -> Column:

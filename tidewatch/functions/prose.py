@@ -8,6 +8,7 @@ the paragraph that is open, and the first paragraph that was good enough.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -47,6 +48,11 @@ RULES = "-=|:*_~^ "
 EMPHASIS = [(r"(^|[^\p{L}\p{N}*_])[*_]+", "@"), (r"[*_]+([^\p{L}\p{N}*_]|$)", "@"), (r"`|~~", ""), (r"[ \t\n\x0b\f\r]+", " ")]
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _rewritten(text: Column, rules: list[tuple[str, str]]) -> Column:
     for pattern, by in rules:
         text = F.regexp_replace(text, pattern, by.replace("@", "$1"))
@@ -66,9 +72,8 @@ def unescaped(text: Column) -> Column:
         known = F.instr(piece, ";").between(3, 10) & found.isNotNull()
         return F.when(known, F.concat(found, F.substr(piece, F.instr(piece, ";") + 1))).otherwise(F.concat(F.lit("&"), piece))
 
-    pieces = F.split(text, "&")
-    rest = F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), read), "")
-    return F.when(F.instr(text, "&") > 0, F.concat(F.get(pieces, F.lit(0)), rest)).otherwise(text)
+    joined = lambda pieces: F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), read), ""))
+    return bound(text, lambda t: F.when(F.instr(t, "&") > 0, bound(F.split(t, "&"), joined)).otherwise(t))
 
 
 def lines(text: Column) -> Column:
@@ -77,17 +82,18 @@ def lines(text: Column) -> Column:
     Kinds: blank, fence, rule, block, code (indented) and text.
     """
 
-    def known(line: Column) -> Column:
-        t = F.trim(line, F.lit(WHITE))
+    def known(pair: Column) -> Column:
+        line, t = pair["line"], pair["t"]
         starts = lambda *marks: F.coalesce(*[F.when(t.startswith(m), True) for m in marks], F.lit(False))
         kind = (
             F.when(t == "", "blank").when(starts("```", "~~~"), "fence").when(F.translate(t, RULES, "") == "", "rule")
-            .when(starts("|", ">", "..") | t.rlike(STRUCTURE), "block").when(starts("\t") | line.startswith("    ") | line.startswith("\t"), "code").otherwise("text")
+            .when(starts("|", ">", "..") | t.rlike(STRUCTURE), "block").when(line.startswith("    ") | line.startswith("\t"), "code").otherwise("text")
         )
         return F.struct(t.alias("t"), kind.alias("kind"))
 
     marked = _rewritten(F.regexp_replace(text, "^﻿", ""), MARKUP)
-    return F.transform(F.concat(F.split(unescaped(marked), "\n"), F.array(F.lit(""))), known)
+    split = F.concat(F.split(unescaped(marked), "\n"), F.array(F.lit("")))
+    return F.transform(F.transform(split, lambda line: F.struct(line.alias("line"), F.trim(line, F.lit(WHITE)).alias("t"))), known)
 
 
 def _good(paragraph: Column) -> Column:
@@ -107,9 +113,8 @@ def _good(paragraph: Column) -> Column:
 
 def first_paragraph(text: Column) -> Column:
     """The first paragraph of prose: no structure, 4 words and 20 characters or more, not mostly links; at most 300 characters, cut before a word."""
-    rows = lines(text)
     begun = F.struct(
-        F.when(F.get(rows, F.lit(0))["t"] == "---", F.lit("---")).otherwise(F.lit("")).alias("skip"),
+        F.when(text.rlike("^﻿?---[ \\t\\r]*(\\n|$)"), F.lit("---")).otherwise(F.lit("")).alias("skip"),
         F.array().cast("array<string>").alias("open"), F.lit(None).cast("string").alias("found"), F.lit(0).alias("at"),
     )
 
@@ -128,7 +133,7 @@ def first_paragraph(text: Column) -> Column:
     def merge(state: Column, row: Column) -> Column:
         return F.when(state["found"].isNotNull(), state).otherwise(step(state, row))
 
-    return F.aggregate(rows, begun, merge, lambda s: s["found"])
+    return F.aggregate(lines(text), begun, merge, lambda s: s["found"])
 
 
 def first_paragraph_sql(text: str) -> str:

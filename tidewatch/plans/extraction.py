@@ -251,14 +251,14 @@ def stream_hours(spark, d):
 def prose_paragraphs(spark, d):
     """The first paragraph of prose of every document that has one."""
     rows = table(spark, d, "documents")
-    return rows.select(F.col("doc_id").alias("item_key"), first_paragraph(F.col("text")).alias("paragraph")).where("paragraph IS NOT NULL")
+    return rows.select(F.col("doc_id").alias("item_key"), F.explode(F.array_compact(F.array(first_paragraph(F.col("text"))))).alias("paragraph"))
 
 
 @query(f"SELECT page_id AS item_key, paragraph FROM (SELECT page_id, {first_paragraph_sql('html')} AS paragraph FROM pages WHERE html IS NOT NULL) WHERE paragraph IS NOT NULL")
 def page_paragraphs(spark, d):
     """The first paragraph of prose of every web page that has one: navigation, headings and scripts are none."""
     rows = table(spark, d, "pages")
-    return rows.select(F.col("page_id").alias("item_key"), first_paragraph(F.col("html")).alias("paragraph")).where("paragraph IS NOT NULL")
+    return rows.select(F.col("page_id").alias("item_key"), F.explode(F.array_compact(F.array(first_paragraph(F.col("html"))))).alias("paragraph"))
 
 
 SAVED_SQL = """SELECT c_custkey AS item_key, '# ' || c_name AS line, 1 AS n FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT c_custkey, 'Source: ' || c_mktsegment, 2 FROM customer WHERE c_custkey % 5 = 0
