@@ -5,7 +5,7 @@ before a line break. Pieces are counted once for each distinct pre-token of the
 counts are joined to each document's pre-token frequencies and summed, so no text is encoded
 and no id leaves the library.
 
-The join is dealt by frequency: the ``HEAD`` most frequent pre-tokens (a fixed number, at most
+The join is dealt by frequency: the most frequent pre-tokens (``HEAD`` at most, of at most
 ``SHORT`` characters each) are broadcast to where the frequencies are made, the others go
 through a shuffle join on the pre-token, one row for each document and rare pre-token. So a
 pre-token that every document holds is never a key of the shuffle.
@@ -99,12 +99,27 @@ def vocabulary(docs: DataFrame, model: str) -> DataFrame:
     return stored(distinct.mapInPandas(count, "part string, total long, n long"), "pieces")
 
 
+def frequent(words: DataFrame, most: int) -> dict[str, int]:
+    """Pieces of the most frequent short pre-tokens: those above the lowest step of frequency that leaves at most ``most``.
+
+    Steps are sixteenths of a power of two, so their counts are few, and no task sends more
+    than what is taken.
+    """
+    short = words.where(F.length("part") <= SHORT).withColumn("step", F.floor(F.log2("total") * 16).cast("int"))
+    taken, least = 0, None
+    for r in sorted(short.groupBy("step").count().collect(), reverse=True):
+        taken += r["count"]
+        if taken > most:
+            break
+        least = r.step
+    return {} if least is None else {r.part: r.n for r in short.where(F.col("step") >= least).select("part", "n").collect()}
+
+
 def count_tokens(docs: DataFrame, model: str, limit: int = 4096, head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row of a documents table."""
     texts = documents(docs)
     words = vocabulary(texts, model)
-    frequent = words.where(F.length("part") <= SHORT).orderBy(F.desc("total"), "part").limit(head)
-    shared = texts.sparkSession.sparkContext.broadcast({r.part: r.n for r in frequent.collect()})
+    shared = texts.sparkSession.sparkContext.broadcast(frequent(words, head))
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """One row a document: what the frequent pre-tokens sum to, and the frequencies of the others."""
