@@ -26,7 +26,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     The smallest doc_id stays, null last; of rows that repeat doc_id and text one stays; all empty texts are one group.
     """
-    return simhash.keep_one(docs, words=5, radius=8, similarity=0.8)
+    return simhash.keep_one(docs, words=5, radius=4, similarity=0.8)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
