@@ -265,3 +265,33 @@ def test_rows_behind_the_watermark_are_late(spark, tmp_path):
     assert {(r.hour.isoformat(), r.n) for r in last.collect()} == {("2024-01-20T10:00:00", 1), ("2024-01-19T09:00:00", 1), ("2024-01-19T23:00:00", 1), ("2024-01-20T08:00:00", 2)}
     counts, late = keyed.last_rows(keyed.anchored_counts(rows_.select(F.col("k").alias("source_id"), "ts", F.col("n").alias("items")), "3 hours"), "source_id")
     assert late == 1 and [tuple(r)[::2] for r in counts.collect()] == [(1, 5)]
+
+
+def test_term_index_against_each_terms_pattern(spark):
+    import random
+    import re
+
+    from tidewatch.operators import terms as X
+
+    rnd = random.Random(11)
+    vocab = [f"w{i}" for i in range(60)] + ["Alpha", "alpha", "BETA", "é", "ÉTÉ", "snake_case", "c"]
+    gaps = [" ", " ", " ", "-", ", ", "\n", ". ", "  ", " - ", "+", "++ ", "'"]
+    text = lambda n: "".join(w + rnd.choice(gaps) for w in rnd.choices(vocab, k=n))
+    rows_ = [(i, text(rnd.randint(0, 12)), rnd.choice([None, "", text(8), text(30)])) for i in range(150)] + [(900, None, None)]
+    df = spark.createDataFrame(rows_, "k long, title string, summary string")
+    terms = {(" ".join(rnd.choices(vocab, k=rnd.randint(1, 3))), rnd.random() < 0.4) for _ in range(400)}
+    terms |= {("w1-w2", False), ("alpha", True), ("Alpha", False), ("c++", False), ("w3, w4", False), ("w5.", True), ("", False), ("--", False), ("nowhere at all", False), ("été", False)}
+    terms |= {(f"none{i} w1", False) for i in range(3000)}
+    want = set()
+    for t, exact in terms:
+        words = re.split(r"[\s-]+", t.strip(" -\n"))
+        if not any(re.search(r"\w", w) for w in words):
+            continue
+        p = re.compile(r"(?<!\w)" + r"[\s-]+".join(map(re.escape, words)) + r"(?!\w)", 0 if exact else re.I)
+        for k, title, summary in rows_:
+            hit = lambda s: bool(s and p.search(s))
+            if hit(" ".join(s for s in (title, summary) if s is not None)):
+                want.add((k, t, exact, hit(title), hit(summary)))
+    got = [tuple(r) for r in X.find_terms(df, "k", ["title", "summary"], list(terms)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+    assert X.find_terms(df, "k", ["title"], []).count() == 0

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import dates as D
 from tidewatch.functions import text as T
+from tidewatch.operators.terms import BROADCAST, find_terms
+from tidewatch.session import local_rows, stored
 
 
 def source_states(sources: DataFrame, states: DataFrame, now: str) -> DataFrame:
@@ -148,26 +150,28 @@ def gazetteer(texts: DataFrame, aliases: list[tuple], sites: list[tuple], countr
     (site, country, city, operator terms); ``countries``: (code, term, confidence). A term in
     the summary alone counts ``SUMMARY_ONLY`` of its confidence; operator and city together,
     the city in the title, count ``OPERATOR_AND_PLACE``; a place implies its country. The
-    first of equally strong matches wins.
+    first of equally strong matches wins. All terms are found in one pass by the term index.
     """
-    title, summary = F.col("title"), F.coalesce("summary", F.lit(""))
-    full = F.concat_ws(" ", title, F.when(summary != "", summary))
-    hit = lambda text, term: text.rlike(T.term_pattern(term))
-    base = lambda term, c: F.when(hit(title, term), F.lit(float(c))).when(hit(summary, term), F.lit(c * SUMMARY_ONLY))
-    row = lambda kind, place, conf, why, n: F.when(conf.isNotNull(), F.struct(F.lit(kind).alias("kind"), F.lit(place).alias("place"), conf.alias("confidence"), F.lit(why).alias("evidence"), F.lit(n).alias("n")))
-    country_of = {s[0]: s[1] for s in sites}
-    placed = [(site, base(term, c), "site_alias") for site, term, c in aliases]
-    for site, _, city, operators in sites:
-        if city and operators:
-            any_of = F.lit(False)
-            for o in operators:
-                any_of = any_of | hit(full, o)
-            placed.append((site, F.when(hit(title, city) & any_of, F.lit(OPERATOR_AND_PLACE)), "operator_and_place"))
-    found = [row("site", s, c, why, i) for i, (s, c, why) in enumerate(placed)]
-    found += [row("country", code, base(term, c), "country_alias", i) for i, (code, term, c) in enumerate(countries)]
-    found += [row("country", country_of[s], c, "implied", len(countries) + i) for i, (s, c, _) in enumerate(placed) if country_of.get(s)]
-    rows = texts.select("item_key", F.explode(F.array_compact(F.array(*found))).alias("m")).select("item_key", "m.*")
-    return rows.groupBy("item_key", "kind", "place").agg(F.max_by(F.struct("confidence", "evidence"), F.struct("confidence", -F.col("n"))).alias("b")).select("item_key", "kind", "place", "b.confidence", "b.evidence")
+    spark = texts.sparkSession
+    rows = texts.select("item_key", F.coalesce("title", F.lit("")).alias("title"), F.when(F.col("summary") != "", F.col("summary")).alias("summary"))
+    cities = [(site, city, operators) for site, _, city, operators in sites if city and operators]
+    terms = [t for _, t, _ in aliases + countries] + [c for _, c, _ in cities] + [o for *_, ops in cities for o in ops]
+    found = stored(find_terms(rows, "item_key", ["title", "summary"], [(t, False) for t in terms]), "found")
+    of = lambda rows, schema: F.broadcast(local_rows(spark, rows, schema)) if len(rows) <= BROADCAST else local_rows(spark, rows, schema)
+    base = F.when(F.col("in_title"), F.col("c")).when(F.col("in_summary"), F.col("c") * SUMMARY_ONLY)
+    named = lambda names: found.join(of([(*x[:2], float(x[2]), n) for n, x in enumerate(names)], "place string, term string, c double, n int"), "term").select("item_key", "place", base.alias("confidence"), "n").where("confidence IS NOT NULL")
+    placed = named(aliases).withColumn("evidence", F.lit("site_alias"))
+    if cities:
+        n0 = len(aliases)
+        town = found.where("in_title").join(of([(s, c, n0 + n) for n, (s, c, _) in enumerate(cities)], "place string, term string, n int"), "term")
+        operator = found.join(of([(s, o) for s, _, ops in cities for o in ops], "place string, term string"), "term").select("item_key", "place").distinct()
+        both = town.join(operator, ["item_key", "place"]).select("item_key", "place", F.lit(OPERATOR_AND_PLACE).alias("confidence"), "n", F.lit("operator_and_place").alias("evidence"))
+        placed = placed.unionByName(both)
+    country_of = of([(s[0], s[1]) for s in sites if s[1]], "place string, country string")
+    implied = placed.join(country_of, "place").select("item_key", F.col("country").alias("place"), "confidence", (F.col("n") + len(countries)).alias("n"), F.lit("implied").alias("evidence"))
+    told = named(countries).withColumn("evidence", F.lit("country_alias")).unionByName(implied)
+    matches = placed.withColumn("kind", F.lit("site")).unionByName(told.withColumn("kind", F.lit("country")))
+    return matches.groupBy("item_key", "kind", "place").agg(F.max_by(F.struct("confidence", "evidence"), F.struct("confidence", -F.col("n"))).alias("b")).select("item_key", "kind", "place", "b.confidence", "b.evidence")
 
 
 def overlaid(base: DataFrame, overlay: DataFrame, key: str) -> DataFrame:

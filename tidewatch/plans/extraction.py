@@ -12,8 +12,9 @@ from tidewatch.functions.prose import first_paragraph, first_paragraph_sql
 from tidewatch.operators import versions as V
 from tidewatch.plans import NOW, query
 from tidewatch.plans.operations import stream
+from tidewatch.operators.terms import find_terms
 from tidewatch.plans.text import ZONE
-from tidewatch.session import table
+from tidewatch.session import local_rows, table
 from tidewatch.streaming import keyed
 
 EDGE = "(^|[^\\p{L}\\p{N}_])", "($|[^\\p{L}\\p{N}_])"
@@ -56,24 +57,33 @@ def profile_matches(spark, d):
 ALIASES = [("Apache", "apache license", False, None), ("License desk", "Licensed", True, ["src1", "src2", "src3"]), ("Mail", "mail", False, None)]
 
 
-def entities(title, summary, url, beats):
-    """Sorted names: CVE and CWE numbers of title, summary and URL, and aliases of the prose alone, within their beats."""
-    prose = F.concat_ws(" ", title, summary)
+def entities(texts):
+    """(item_key, names) of texts (item_key, title, summary, url, beats): sorted CVE and CWE numbers of title, summary and URL, and aliases of the prose alone, within their beats."""
+    prose = F.concat_ws(" ", "title", "summary")
     edge = r"(?iu)(?<![\p{L}\p{N}_])%s(?![\p{L}\p{N}_])"
-    ids = [F.transform(F.regexp_extract_all(F.concat_ws(" ", prose, url), F.lit(edge % p), F.lit(0)), F.upper) for p in (r"CVE-\d{4}-\d{4,10}", r"CWE-\d{1,5}")]
-    named = [F.when(hit(prose, term, x) & (F.arrays_overlap(beats, F.array(*map(F.lit, scope))) if scope else F.lit(True)), F.lit(name)) for name, term, x, scope in ALIASES]
-    return F.array_sort(F.array_distinct(F.concat(*ids, F.array_compact(F.array(*named)))))
+    ids = [F.transform(F.regexp_extract_all(F.concat_ws(" ", prose, "url"), F.lit(edge % p), F.lit(0)), F.upper) for p in (r"CVE-\d{4}-\d{4,10}", r"CWE-\d{1,5}")]
+    numbers = texts.select("item_key", F.explode(F.concat(*ids)).alias("name"))
+    found = find_terms(texts, "item_key", ["title", "summary"], [(t, x) for _, t, x, _ in ALIASES])
+    rows = local_rows(texts.sparkSession, ALIASES, "name string, term string, exact boolean, scope array<string>")
+    named = found.join(F.broadcast(rows), ["term", "exact"])
+    open_, scoped = named.where("scope IS NULL"), named.where("scope IS NOT NULL").join(texts.select("item_key", "beats"), "item_key").where(F.arrays_overlap("beats", "scope"))
+    every = numbers.union(open_.select("item_key", "name")).union(scoped.select("item_key", "name"))
+    return every.groupBy("item_key").agg(F.array_sort(F.collect_set("name")).alias("names"))
 
 
 ENTITY_SQL = f"""t AS (SELECT doc_id, source, coalesce(text, '') AS title, CASE WHEN doc_id % 3 = 0 THEN 'see cve-2024-' || (1000 + doc_id % 50) || ' and CVE-1-2' END AS summary, CASE WHEN doc_id % 5 = 0 THEN 'https://x.example/cwe-79/mail' ELSE 'https://x.example/' END AS url FROM documents),
     e AS (SELECT doc_id, list_sort(list_distinct(list_filter([CASE WHEN doc_id % 3 = 0 THEN 'CVE-2024-' || (1000 + doc_id % 50) END, CASE WHEN doc_id % 5 = 0 THEN 'CWE-79' END, {", ".join(f"CASE WHEN {sql_hit('title', term, x)}" + (f" AND source IN ({', '.join(repr(b) for b in scope)})" if scope else "") + f" THEN '{name}' END" for name, term, x, scope in ALIASES)}], lambda x: x IS NOT NULL))) AS names FROM t)"""
 
 
-def extracted(spark, d):
+def entity_texts(spark, d):
     k = F.col("doc_id")
     summary = F.when(k % 3 == 0, F.concat(F.lit("see cve-2024-"), 1000 + k % 50, F.lit(" and CVE-1-2")))
     url = F.when(k % 5 == 0, "https://x.example/cwe-79/mail").otherwise("https://x.example/")
-    return table(spark, d, "documents").select(k, entities(F.coalesce("text", F.lit("")), summary, url, F.array("source")).alias("names"))
+    return table(spark, d, "documents").select(k.alias("item_key"), F.coalesce("text", F.lit("")).alias("title"), summary.alias("summary"), url.alias("url"), F.array("source").alias("beats"))
+
+
+def extracted(spark, d):
+    return entities(entity_texts(spark, d)).withColumnRenamed("item_key", "doc_id")
 
 
 @query(f"WITH {ENTITY_SQL} SELECT doc_id AS item_key, array_to_string(names, ',') AS entities FROM e WHERE len(names) > 0")
@@ -85,10 +95,9 @@ def extracted_entities(spark, d):
            SELECT CASE WHEN name LIKE 'CVE-%' THEN 'cve' WHEN name LIKE 'CWE-%' THEN 'cwe' ELSE 'alias' END AS type, count(*) AS found, count(DISTINCT name) AS names, count(DISTINCT doc_id) AS items FROM n GROUP BY 1""")
 def entity_sweep_report(spark, d):
     """A sweep of 2,000 items that the ledger lacks at this version, newest first, by type of name."""
-    rows = extracted(spark, d)
-    ledger = table(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id")
-    due = rows.join(ledger, "doc_id", "left_anti").orderBy(F.desc("doc_id")).limit(2000)
-    n = due.select("doc_id", F.explode("names").alias("name"))
+    ledger = table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("item_key"))
+    due = entity_texts(spark, d).join(ledger, "item_key", "left_anti").orderBy(F.desc("item_key")).limit(2000)
+    n = entities(due).select(F.col("item_key").alias("doc_id"), F.explode("names").alias("name"))
     kind = F.when(F.col("name").startswith("CVE-"), "cve").when(F.col("name").startswith("CWE-"), "cwe").otherwise("alias")
     return n.groupBy(kind.alias("type")).agg(F.count("*").alias("found"), F.count_distinct("name").alias("names"), F.count_distinct("doc_id").alias("items"))
 

@@ -8,6 +8,7 @@ from tidewatch.functions import text as T
 from tidewatch.functions.dates import publication_date
 from tidewatch.operators import clusters as C
 from tidewatch.plans import query
+from tidewatch.operators.terms import find_terms
 from tidewatch.session import table
 
 STOP_SQL = ", ".join(f"'{w}'" for w in T.STOP)
@@ -125,10 +126,9 @@ TERM_SQL = " UNION ALL ".join(f"SELECT doc_id AS item_key, '{t}' AS term FROM do
 
 
 def matches(spark, d):
-    """(item_key, term): the small dictionary is a literal array, each pattern compiled once."""
-    docs = table(spark, d, "documents")
-    hit = F.array_compact(F.array(*[F.when(F.col("text").rlike(T.term_pattern(t)), F.lit(t)) for t in TERMS]))
-    return docs.select(F.col("doc_id").alias("item_key"), F.explode(hit).alias("term"))
+    """(item_key, term) of every text and the terms that it holds, by the term index."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("item_key"), "text")
+    return find_terms(docs, "item_key", ["text"], [(t, False) for t in TERMS]).select("item_key", "term")
 
 
 @query(TERM_SQL)

@@ -15,6 +15,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of the driver's rows that Spark knows the size of (it is sent as Arrow, so no Python worker reads it)."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+    columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=fields), StructType.fromDDL(schema))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out anew where its files make fewer partitions than there are cores; larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor shares: ``spark.checkpoint.dir`` of the session.
 
