@@ -295,3 +295,70 @@ def test_term_index_against_each_terms_pattern(spark):
     got = [tuple(r) for r in X.find_terms(df, "k", ["title", "summary"], list(terms)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
     assert X.find_terms(df, "k", ["title"], []).count() == 0
+
+
+def test_stored_search_index_and_its_upkeep(spark, tmp_path):
+    from tidewatch.operators.search import SearchIndex
+
+    def versions_of(rows_):
+        df = spark.createDataFrame(rows_, "item_key long, t string, ingest_seq long, title string, body string")
+        return df.withColumn("fetched_at", F.col("t").cast("timestamp")).drop("t")
+
+    index = SearchIndex(spark, str(tmp_path / "i"), ["title", "body"], buckets=4)
+    first = [(1, "2024-01-01", 1, "Red fox", "A quick red-fox, again: RED fox."), (2, "2024-01-01", 2, "Blue whale", "the fox is red"), (3, "2024-01-01", 3, None, ""), (4, "2024-01-01", 4, "Élan vital", "fox red fox")]
+    assert {r.action for r in index.upsert(versions_of(first)).collect()} == {"inserted"}
+    found = lambda q, **w: [(r.item_key, r.snippet) for r in index.search(q, **w).collect()]
+    assert found("red-fox") == [(1, "[Red] [fox]"), (4, "fox [red] [fox]")]
+    assert {k for k, _ in found("fox red")} == {1, 2, 4} and found("ÉLAN") == [(4, "[Élan] vital")] and found("fox nothing") == []
+    assert index.search(" \n ") is None and index.search("?!") is None
+    assert found("whale", weights=[9.0, 1.0]) == [(2, "[Blue] whale".replace("[Blue] whale", "Blue [whale]"))]
+    ranks = {r.item_key: r.rank for r in index.search("fox").collect()}
+    heavy = {r.item_key: r.rank for r in index.search("fox", weights=[5.0, 1.0]).collect()}
+    assert heavy[1] > ranks[1] and heavy[2] == ranks[2]
+    # a revision replaces, an older version and the same one again are ignored
+    second = [(1, "2024-01-03", 9, "Green fox", "no colour"), (2, "2023-12-31", 1, "Old whale", "stale"), (4, "2024-01-01", 4, "Élan vital", "fox red fox"), (5, "2024-01-02", 5, "New", "red fox")]
+    assert {r.item_key: r.action for r in index.upsert(versions_of(second)).collect()} == {1: "updated", 2: "ignored", 4: "ignored", 5: "inserted"}
+    want = [(4, "fox [red] [fox]"), (5, "[red] [fox]")]
+    assert sorted(found("red-fox")) == want and found("stale") == [] and found("quick") == [] and found("green") == [(1, "[Green] fox")]
+    before = [tuple(r) for r in index.search("fox").collect()]
+    n = spark.read.parquet(str(tmp_path / "i" / "postings")).count()
+    index.compact()
+    assert [tuple(r) for r in index.search("fox").collect()] == before
+    assert spark.read.parquet(str(tmp_path / "i" / "postings")).count() < n
+
+
+def test_upserts_write_only_what_moved(spark, tmp_path):
+    from tidewatch.operators import tables
+
+    path = str(tmp_path / "t")
+    df = lambda rows_: spark.createDataFrame(rows_, "k long, at long, v string")
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
+    act = lambda rows_: {r.k: r.action for r in tables.upsert_into(path, df(rows_), ["k"], "at", 8).collect()}
+    assert act([(i, 5, "a") for i in range(20)]) == {i: "inserted" for i in range(20)}
+    before = files()
+    assert act([(1, 6, "B"), (1, 4, "old"), (2, 5, "same"), (30, 1, "new")]) == {1: "updated", 2: "ignored", 30: "inserted"}
+    after = files()
+    assert 0 < len(set(before) & set(after)) < len(before)
+    assert act([(1, 6, "B"), (30, 1, "new")]) == {1: "ignored", 30: "ignored"} and files() == after
+    got = {r.k: (r.at, r.v) for r in spark.read.parquet(path).collect()}
+    assert got == {i: (5, "a") for i in range(20)} | {1: (6, "B"), 30: (1, "new")}
+
+
+def test_sweeps_cover_all_once_and_a_broken_one_is_redone(spark, tmp_path):
+    from tidewatch.operators import tables
+
+    base, items = str(tmp_path), spark.range(7).toDF("k")
+    work = lambda due: due.select("k", F.explode(F.sequence(F.lit(1), (F.col("k") % 3).cast("int") + 1)).alias("fact")).where("k <> 4")
+    run = lambda **w: {r.k: r.facts for r in tables.sweep(base, items, "k", "v1", [F.desc("k")], 3, w.pop("work", work), **w).collect()}
+    assert run() == {6: 1, 5: 3, 4: 0}
+
+    def breaks(due):
+        return work(due).withColumn("fact", F.when(F.col("k") == 2, F.raise_error(F.lit("broken"))).otherwise(F.col("fact")).cast("int"))
+
+    with pytest.raises(Exception, match="broken"):
+        run(work=breaks)
+    assert run() == {3: 1, 2: 3, 1: 2} and run() == {0: 1} and run() == {}
+    assert {r.k: r.n for r in tables.swept(spark, base, "k").groupBy("k").agg(F.count("*").alias("n")).collect()} == {6: 1, 5: 3, 3: 1, 2: 3, 1: 2, 0: 1}
+    assert {r.k for r in tables.sweep(base, items, "k", "v2", [F.desc("k")], 2, work).collect()} == {6, 5}
+    assert set(run(force=True)) == {6, 5, 4}
+    assert tables.swept(spark, base, "k").count() == 11

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text as T
 from tidewatch.functions.scoring import log_odds_z
+from tidewatch.operators.search import SearchIndex
 from tidewatch.operators.versions import newest
 from tidewatch.plans import query
 from tidewatch.sources import feeds
-from tidewatch.session import stored, table
+from tidewatch.session import scratch, spread, stored, table
 
 
 @query("SELECT user_id, event_id, value FROM events WHERE event_type = 'purchase' AND user_id % 10 <> 0")
@@ -106,21 +105,39 @@ def search_index(spark, d):
       SELECT q.item_key, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS rank FROM q JOIN l ON q.item_key = l.item_key CROSS JOIN g
       GROUP BY 1 HAVING count(*) = 3 ORDER BY rank DESC, item_key LIMIT 100""")
 def search_hits(spark, d):
-    """The index is written once, in order of terms, so that a query reads the row groups of its terms only."""
-    i = stored(index(spark, d).repartitionByRange("term").sortWithinPartitions("term"), "search-index")
-    return search(i, "the and for", 100)
-
-
-def search(i, text: str, most: int):
-    """(item_key, rank): items that hold every word of the query, best first; a blank query is no search and gives no row."""
-    wanted = sorted({w for w in re.split(r"[\W_]+", text.lower()) if w})
-    sizes = i.groupBy("item_key").agg(F.sum("tf").alias("n"))
-    docs, mean = sizes.agg(F.count("*")).scalar(), sizes.agg(F.avg("n")).scalar()
-    hits = i.where(F.col("term").isin(*wanted) if wanted else F.lit(False))
-    df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")).withColumns({"docs": docs, "mean": mean}))  # one row a query term
-    bm = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("n") / F.col("mean")))
-    ranked = hits.join(df, "term").join(sizes, "item_key").groupBy("item_key").agg(F.round(F.sum(bm), 6).alias("rank"), F.count("*").alias("k"))
-    return ranked.where(F.col("k") == len(wanted)).orderBy(F.desc("rank"), "item_key").limit(most).drop("k")
+    """A query of three words over the stored index; no text is read."""
+    return document_index(spark, d).search("the and for", 100).select("item_key", "rank")
+
+
+_indexes: dict[tuple[str, str], SearchIndex] = {}
+
+
+def document_index(spark, d) -> SearchIndex:
+    """The stored index of the documents, titles (first lines) apart from bodies: made by a session's first search, then read."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes:
+        body = F.regexp_extract("text", r"(?s)^[^\n]*\n(.*)$", 1)
+        rows = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("item_key"), F.lit("2024-01-01").cast("timestamp").alias("fetched_at"), F.lit(1).cast("long").alias("ingest_seq"), F.substring_index("text", "\n", 1).alias("title"), body.alias("body"))
+        made = SearchIndex(spark, scratch(spark, "search"), ["title", "body"])
+        made.upsert(spread(rows))
+        _indexes[key] = made
+    return _indexes[key]
+
+
+@query(r"""WITH f AS (SELECT doc_id, 0 AS field, 3.0 AS weight, split_part(text, chr(10), 1) AS t FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, 1, 1.0, regexp_extract(text, '^[^\n]*\n(.*)$', 1, 's') FROM documents WHERE text IS NOT NULL),
+      k AS (SELECT *, list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM f),
+      w AS (SELECT doc_id, field, weight, t, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS at_ FROM k),
+      l AS (SELECT doc_id, sum(len(ws)) AS n FROM k GROUP BY 1 HAVING sum(len(ws)) > 0), g AS (SELECT count(*) AS docs, avg(n) AS mean FROM l),
+      h AS (SELECT 0 AS phrase, a.doc_id, a.field, a.weight, a.t, a.at_ FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.field = b.field AND b.at_ = a.at_ + 1 WHERE a.word = 'of' AND b.word = 'the' UNION ALL SELECT 1, doc_id, field, weight, t, at_ FROM w WHERE word = 'and'),
+      e AS (SELECT phrase, doc_id, sum(weight) AS tf, min((field, at_)) AS place, arg_min(t, (field, at_)) AS t FROM h GROUP BY 1, 2),
+      q AS (SELECT *, count(*) OVER (PARTITION BY phrase) AS df FROM e),
+      r AS (SELECT doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6)::DOUBLE AS rank, arg_min(place[2], phrase) AS first_, arg_min(t, phrase) AS t
+            FROM q JOIN l USING (doc_id), g GROUP BY 1 HAVING count(*) = 2 ORDER BY rank DESC, doc_id LIMIT 50),
+      s AS (SELECT *, regexp_extract_all(t, '[\p{L}\p{N}]+[^\p{L}\p{N}]*') AS pieces, greatest(first_ - 6, 0) AS begin_ FROM r)
+      SELECT doc_id AS item_key, rank, trim(regexp_replace(array_to_string(list_transform(pieces[begin_ + 1:begin_ + 12], lambda p, i: CASE WHEN i - 1 + begin_ >= first_ AND i - 1 + begin_ < first_ + 2 THEN regexp_replace(p, '^([\p{L}\p{N}]+)', '[\1]') ELSE p END), ''), '[ \t\n\v\f\r]+', ' ', 'g')) AS snippet FROM s""")
+def ranked_search(spark, d):
+    """A phrase and a word over the stored index, titles counting three times, each hit with a snippet."""
+    return document_index(spark, d).search("of-the AND", 50, [3.0, 1.0])
 
 
 @query(r"""WITH t AS (SELECT doc_id, regexp_split_to_array(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, w, list_position(list_transform(w, lambda x: lower(regexp_replace(x, '[^\p{L}\p{N}]+', '', 'g'))), 'the') AS at_ FROM t)

@@ -9,12 +9,13 @@ from tidewatch.functions import scoring as S
 from tidewatch.functions import text as T
 from tidewatch.functions.names import name_reason
 from tidewatch.functions.prose import first_paragraph, first_paragraph_sql
+from tidewatch.operators import tables
 from tidewatch.operators import versions as V
 from tidewatch.plans import NOW, query
 from tidewatch.plans.operations import stream
 from tidewatch.operators.terms import find_terms
 from tidewatch.plans.text import ZONE
-from tidewatch.session import local_rows, table
+from tidewatch.session import local_rows, scratch, table
 from tidewatch.streaming import keyed
 
 EDGE = "(^|[^\\p{L}\\p{N}_])", "($|[^\\p{L}\\p{N}_])"
@@ -102,6 +103,29 @@ def entity_sweep_report(spark, d):
     return n.groupBy(kind.alias("type")).agg(F.count("*").alias("found"), F.count_distinct("name").alias("names"), F.count_distinct("doc_id").alias("items"))
 
 
+@query(f"""WITH {ENTITY_SQL}, due AS (SELECT *, row_number() OVER (ORDER BY doc_id DESC) AS r FROM e)
+           SELECT name, count(*) AS items, min(doc_id) AS first_item, count(*) FILTER (r <= 2000) AS in_first_sweep FROM (SELECT doc_id, r, unnest(names) AS name FROM due WHERE r <= 4000) GROUP BY 1""")
+def swept_entities(spark, d):
+    """Two sweeps of 2,000 items in a row, each with its facts and ledger written: the names that they found, as read back from finished sweeps."""
+    base, items = scratch(spark, "entity-sweeps"), entity_texts(spark, d)
+    for _ in range(2):
+        tables.sweep(base, items, "item_key", "v1", [F.desc("item_key")], 2000, lambda due: entities(due).select("item_key", F.explode("names").alias("name")))
+    facts = tables.swept(spark, base, "item_key")
+    return facts.groupBy("name").agg(F.count("*").alias("items"), F.min("item_key").alias("first_item"), F.count_if(F.col("sweep") == 1).alias("in_first_sweep"))
+
+
+@query("""WITH o AS (SELECT l_suppkey AS site_id, max(l_shipdate) FILTER (l_orderkey % 2 = 0) AS a, max(l_shipdate) FILTER (l_orderkey % 2 = 1) AS b FROM lineitem GROUP BY 1)
+          SELECT site_id, s_name AS name, greatest(a, b) AS seen_at, CASE WHEN a IS NULL THEN 'inserted' WHEN b IS NULL THEN NULL WHEN b > a THEN 'updated' ELSE 'ignored' END AS second FROM o JOIN supplier ON s_suppkey = site_id""")
+def site_upserts(spark, d):
+    """The stored site dimension after two batches of observations, as read back, with what the second batch did to each site."""
+    path, lines = scratch(spark, "sites"), table(spark, d, "lineitem")
+    names = table(spark, d, "supplier").select(F.col("s_suppkey").alias("site_id"), F.col("s_name").alias("name"))
+    batch = lambda k: lines.where(F.col("l_orderkey") % 2 == k).groupBy(F.col("l_suppkey").alias("site_id")).agg(F.max("l_shipdate").alias("seen_at")).join(names, "site_id")
+    tables.upsert_into(path, batch(0), ["site_id"], "seen_at")
+    second = tables.upsert_into(path, batch(1), ["site_id"], "seen_at")
+    return spark.read.parquet(path).drop("bucket").join(second.withColumnRenamed("action", "second"), "site_id", "left")
+
+
 @query("""WITH s AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_suppkey % 10 >= 5 GROUP BY 1)
           SELECT 'place' AS kind, n_name AS name, coalesce(n, 0) AS items, NULL::BOOLEAN AS has_policy_claim FROM nation LEFT JOIN s ON k = n_nationkey
           UNION ALL SELECT 'jurisdiction', r_name, coalesce(sum(n), 0)::BIGINT, r_regionkey % 2 = 0 FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN s ON k = n_nationkey GROUP BY r_name, r_regionkey""")
