@@ -120,3 +120,18 @@ def test_cover_tree_covers_separates_and_nests():
             q = p[sorted(centres)]
             d = np.linalg.norm(q[:, None] - q[None], axis=2) + np.eye(len(q)) * 1e9
             assert d.min() > whole / 2**i - 1e-6
+
+
+def test_top_k_of_large_components_is_exact(spark):
+    import random
+
+    from tidewatch.llm import covertree
+
+    rnd = random.Random(12)
+    rows = [(i, [rnd.choice([1.0, -1.0]) * rnd.random() * 3e6 for _ in range(64)]) for i in range(120)] + [(200 + i, [1e14 * rnd.random() for _ in range(64)]) for i in range(6)] + [(300, [1e300, -1e300] * 32), (301, [0.5] * 64)]
+    whole = {i: [max(-(2**58), min(2**58, int(x * 64 // 1) if abs(x) < 1e200 else (2**60 if x > 0 else -(2**60)))) for x in v] for i, v in rows}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in covertree.top_k(df.where("vec_id % 20 = 0"), df, k=5).collect()}
+    for q in (i for i in whole if i % 20 == 0):
+        scores = sorted(((-sum(a * b for a, b in zip(whole[q], w)), i) for i, w in whole.items() if i != q))[:5]
+        assert [got[q, n + 1] for n in range(5)] == [(i, -s if abs(s) < 2**63 else None) for s, i in scores]

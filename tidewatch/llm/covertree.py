@@ -13,13 +13,15 @@ group holds. The k best per query and block are merged by a window over
 Vectors that are null or hold null or non-finite components take no part; vectors of
 different length are compared over zero-padded components. Ties go to the smaller
 vec_id. Repeated vec_ids are separate candidates, but a row never answers a query with
-its own vec_id. Extra columns are ignored; empty tables give an empty result.
+its own vec_id. Scaled components beyond 2**58 count as that; a score that no long holds is
+ranked by its value and given as null. Extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAF = 96
+#: Greatest scaled component: the scores of vectors of up to a thousand of them fit a decimal.
+MOST = 2.0**58
 
 
 def farthest_first(p: np.ndarray, leaf: int = LEAF) -> tuple[list[int], list[float], np.ndarray]:
@@ -118,8 +122,6 @@ def pack(ids: np.ndarray, vectors: list) -> bytes:
     m = np.zeros((len(vectors), width), np.int64)
     for i, v in enumerate(vectors):
         m[i, : len(v)] = v
-    if m.size and float(np.abs(m).max()) ** 2 * width >= 2**53:
-        raise ValueError("components too large for exact sums of doubles")
     tree = build(m)
     o = tree.pop("order")
     buf = io.BytesIO()
@@ -141,14 +143,18 @@ def dual(q: dict, r: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     width = max(q["points"].shape[1], r["points"].shape[1])
     q, r = widen(q, width), widen(r, width)
     n = len(q["ids"])
-    best = np.full((n, k), -np.inf)
+    # doubles hold the scores of small components exactly; larger ones are summed as Python's integers
+    tops = [int(np.abs(x["points"]).max(initial=0)) for x in (q, r)]
+    exact = object if tops[0] * tops[1] * width >= 2**53 else np.float64
+    best = np.full((n, k), -np.inf, exact)
     who = np.full((n, k), np.iinfo(np.int64).max)
-    qp, rp = q["points"].astype(np.float64), r["points"].astype(np.float64)
+    qp, rp = q["points"].astype(exact), r["points"].astype(exact)
     qnorm, rnorm = np.linalg.norm(q["center"], axis=1), np.linalg.norm(r["center"], axis=1)
     lowest = np.full(len(q["first"]), -np.inf)
 
     def bounds(a: int, rs: np.ndarray) -> np.ndarray:
-        return r["center"][rs] @ q["center"][a] + q["radius"][a] * rnorm[rs] + r["radius"][rs] * qnorm[a] + q["radius"][a] * r["radius"][rs] + 1e-6
+        spare = q["radius"][a] * rnorm[rs] + r["radius"][rs] * qnorm[a] + q["radius"][a] * r["radius"][rs]
+        return r["center"][rs] @ q["center"][a] + spare + 1e-6 + 1e-9 * (spare + rnorm[rs] * qnorm[a])  # rounding loses no pair
 
     def leaves(a: int) -> Iterator[int]:
         stack = [a]
@@ -168,11 +174,14 @@ def dual(q: dict, r: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         score[q["ids"][s:e, None] == ids[None, :]] = -np.inf
         all_s = np.concatenate([best[s:e], score], 1)
         all_i = np.concatenate([who[s:e], np.broadcast_to(ids, score.shape)], 1)
-        all_i = np.where(np.isneginf(all_s), np.iinfo(np.int64).max, all_i)
-        top = np.lexsort((all_i, -all_s), axis=1)[:, :k]
+        all_i = np.where(all_s == -np.inf, np.iinfo(np.int64).max, all_i)
+        if exact is object:
+            top = np.array([sorted(range(len(x)), key=lambda j: (-x[j], y[j]))[:k] for x, y in zip(all_s, all_i)])
+        else:
+            top = np.lexsort((all_i, -all_s), axis=1)[:, :k]
         best[s:e] = np.take_along_axis(all_s, top, 1)
         who[s:e] = np.take_along_axis(all_i, top, 1)
-        lowest[a] = best[s:e, -1].min()
+        lowest[a] = float(best[s:e, -1].min())
 
     def floor(a: int) -> float:
         if not q["kids"][a]:
@@ -195,15 +204,15 @@ def dual(q: dict, r: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             stack += [(a, int(x)) for x in rs[np.argsort(up)]]  # the most promising comes off first
         else:
             scan(a, b)
-    i, j = np.nonzero(~np.isneginf(best))
-    return q["ids"][i], who[i, j], best[i, j].astype(np.int64)
+    i, j = np.nonzero(best != -np.inf)
+    return q["ids"][i], who[i, j], best[i, j].astype(np.int64 if exact is np.float64 else object)
 
 
 def clean(vectors: DataFrame, scale: float) -> DataFrame:
     """(vec_id, v): floor(scale * x) of each component as a double; without nulls, NaN and infinities."""
     x = F.transform("embedding", lambda c: c.cast("double"))
     ok = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return vectors.where(F.coalesce(ok, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v"))
+    return vectors.where(F.coalesce(ok, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(F.greatest(F.least(c * scale, F.lit(MOST)), F.lit(-MOST)))).alias("v"))
 
 
 def trees(rows: DataFrame, n: int, block: int) -> DataFrame:
@@ -229,8 +238,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, scale: float =
         for pdf in batches:
             for qblob, cblob in zip(pdf["qtree"], pdf["tree"]):
                 a, b, s = dual(unpack(qblob), unpack(cblob), k)
-                yield pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
+                wide = [Decimal(x) if abs(x) >= 2**63 else None for x in s.tolist()] if s.dtype == object else None
+                yield pd.DataFrame({"query_id": a, "vec_id": b, "score": pd.array([None if abs(x) >= 2**63 else x for x in s.tolist()], "Int64") if wide else s, "wide": wide})
 
-    found = pairs.mapInPandas(run, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = pairs.mapInPandas(run, "query_id long, vec_id long, score long, wide decimal(38,0)")
+    w = Window.partitionBy("query_id").orderBy(F.coalesce("wide", F.col("score").cast("decimal(38,0)")).desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
