@@ -23,6 +23,7 @@ by ``keep_clean``); an empty table gives no row.
 from __future__ import annotations
 
 import string
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import bounded, documents, slices, spherical_k_means
+from tidewatch.session import stored
 
 LABEL = "toxic"
 PUNCTUATION = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
@@ -41,6 +43,8 @@ PUNCTUATION = bytes.maketrans(string.punctuation.encode(), b" " * len(string.pun
 STEMS = range(4, 9)
 #: Words that a worker remembers.
 CACHE = 100_000
+#: Features, the most telling ones, by which toxic rows are grouped into kinds.
+STRONGEST = 2_000
 
 
 def words(text: str) -> list[bytes]:
@@ -88,13 +92,13 @@ class Rows:
     def and_column(self, e: np.ndarray) -> Rows:
         return Rows(self.n, self.width, self.row, self.col, self.value, (*self.extra, e))
 
-    def dense(self, at: np.ndarray) -> np.ndarray:
-        """Rows ``at`` without the intercept."""
-        place = np.full(self.n, -1)
-        place[at] = np.arange(len(at))
-        own = (place[self.row] >= 0) & (self.col > 0)
-        out = np.zeros((len(at), self.width - 1), np.float32)
-        out[place[self.row[own]], self.col[own] - 1] = self.value[own]
+    def dense(self, at: np.ndarray, features: np.ndarray) -> np.ndarray:
+        """Rows ``at`` of some features (column 0 is no feature)."""
+        place, order = np.full(self.n, -1), np.full(self.width, -1)
+        place[at], order[features + 1] = np.arange(len(at)), np.arange(len(features))
+        own = (place[self.row] >= 0) & (order[self.col] >= 0)
+        out = np.zeros((len(at), len(features)), np.float32)
+        out[place[self.row[own]], order[self.col[own]]] = self.value[own]
         return out
 
 
@@ -179,38 +183,49 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, kinds: int = 3,
     spark = docs.sparkSession
     told = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y"))
     chosen = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = documents(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"])
+    texts = stored(documents(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"]), "labelled")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in slices(batches):
-            c = [Counter(f for w in words(t) for f in traits(w)) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "word": [list(x) for x in c], "n": [list(x.values()) for x in c]})
+            c = [set(f for w in words(t) for f in traits(w)) for t in pdf["text"]]
+            yield pd.DataFrame({"y": pdf["y"], "word": [list(x) for x in c]})
 
-    found = texts.mapInPandas(counted, "doc_id long, y int, word array<string>, n array<long>")
-    rows = texts.select("doc_id", "y").toPandas().sort_values("doc_id", kind="stable")
-    pos, neg = int((rows["y"] == 1).sum()), int((rows["y"] != 1).sum())
-    each = found.select("doc_id", "y", F.explode(F.arrays_zip("word", "n")).alias("x")).select("doc_id", "y", F.col("x.word").alias("word"), F.col("x.n").alias("n"))
+    told = texts.agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg")).first()
+    pos, neg = told.pos, told.neg
+    each = texts.mapInPandas(counted, "y int, word array<string>").select("y", F.explode("word").alias("word"))
     a, b = F.sum((F.col("y") == 1).cast("int")), F.sum((F.col("y") != 1).cast("int"))
     odds = F.log((a + 0.5) / (pos - a + 0.5)) - F.log((b + 0.5) / (neg - b + 0.5))
     z = odds / F.sqrt(1 / (a + 0.5) + 1 / (pos - a + 0.5) + 1 / (b + 0.5) + 1 / (neg - b + 0.5))
     ranked = each.groupBy("word").agg(F.abs(z).alias("z"), F.count("*").alias("df")).where((F.col("df") > 1) & (F.col("z") >= least_z))
-    vocab = sorted(r.word for r in ranked.select("word").collect())
-    hits = each.join(F.broadcast(spark.createDataFrame([(w,) for w in vocab], "word string")), "word").select("doc_id", "word", "n").toPandas()
-    counts: dict[int, dict] = {}
-    for d, w, n in zip(hits["doc_id"], hits["word"], hits["n"]):
-        counts.setdefault(d, {})[w] = n
-    chain = Chain(vocab, [*(f"kind_{k + 1}" for k in range(kinds)), LABEL], [])
-    x = chain.matrix([counts.get(d, {}) for d in rows["doc_id"]])
+    strength = dict(sorted((r.word, r.z) for r in ranked.select("word", "z").collect()))
+    chain = Chain(list(strength), [*(f"kind_{k + 1}" for k in range(kinds)), LABEL], [])
+    shared = spark.sparkContext.broadcast(chain)
+
+    def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = shared.value
+        for pdf in slices(batches):
+            c = [own.features(t) for t in pdf["text"]]
+            cols = [np.fromiter(map(own.at.__getitem__, x), np.int32, len(x)).tobytes() for x in c]
+            sizes = [np.fromiter(x.values(), np.int32, len(x)).tobytes() for x in c]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "mark": [zlib.crc32(t.encode()) for t in pdf["text"]], "cols": cols, "sizes": sizes})
+
+    # of each text its features alone come to the driver, as numbers
+    rows = texts.mapInPandas(featured, "doc_id long, y int, mark long, cols binary, sizes binary").toPandas().sort_values(["doc_id", "mark"], kind="stable")
+    cols, sizes = ([np.frombuffer(v, np.int32) for v in rows[c]] for c in ("cols", "sizes"))
+    row = np.repeat(np.arange(len(rows)), [len(c) for c in cols])
+    flat = lambda parts: np.concatenate([*parts, np.empty(0, np.int32)])
+    x = Rows(len(rows), len(strength) + 1, np.r_[np.arange(len(rows)), row], np.r_[np.zeros(len(rows), np.int64), flat(cols) + 1], np.r_[np.ones(len(rows)), np.log1p(flat(sizes))])
     y = (rows["y"].to_numpy() == 1).astype(float)
     fold = (rows["doc_id"].to_numpy(np.int64) * 2654435761 >> 16) % folds
-    chain.weights = fit_chain(x, categories(x, y, kinds) + [y], fold, folds)
+    strong = np.argsort(-np.array([*strength.values()]), kind="stable")[:STRONGEST]
+    chain.weights = fit_chain(x, categories(x, y, kinds, np.sort(strong)) + [y], fold, folds)
     return chain
 
 
-def categories(x: Rows, y: np.ndarray, kinds: int) -> list[np.ndarray]:
-    """Per kind which rows are toxic and nearest to its centre; a row without features is of no kind."""
+def categories(x: Rows, y: np.ndarray, kinds: int, strong: np.ndarray) -> list[np.ndarray]:
+    """Per kind which rows are toxic and nearest to its centre by the features ``strong``; a row without such features is of no kind."""
     own = np.flatnonzero(y == 1)
-    unit = x.dense(own)
+    unit = x.dense(own, strong)
     norm = np.linalg.norm(unit, axis=1)
     own, unit = own[norm > 0], unit[norm > 0]
     unit /= norm[norm > 0][:, None]
