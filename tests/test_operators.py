@@ -362,3 +362,49 @@ def test_sweeps_cover_all_once_and_a_broken_one_is_redone(spark, tmp_path):
     assert {r.k for r in tables.sweep(base, items, "k", "v2", [F.desc("k")], 2, work).collect()} == {6, 5}
     assert set(run(force=True)) == {6, 5, 4}
     assert tables.swept(spark, base, "k").count() == 11
+
+
+def test_the_run_in_force_at_each_instant(spark):
+    import bisect
+    import random
+    from datetime import datetime, timedelta
+
+    from tidewatch.operators.asof import in_force
+
+    rnd, day0 = random.Random(13), datetime(2024, 1, 1)
+    runs = sorted({day0 + timedelta(hours=rnd.randint(0, 24 * 200)) for _ in range(400)})
+    at = [rnd.choice(runs) if rnd.random() < 0.2 else day0 + timedelta(hours=rnd.randint(-100, 24 * 230), minutes=30) for _ in range(1500)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(at)] + [(9000, None)] + [(9001 + i, day0 + timedelta(days=90, hours=5)) for i in range(300)], "k long, t timestamp_ntz")
+    given = spark.createDataFrame([(r,) for r in runs] * 2 + [(None,)], "run timestamp_ntz")
+    for period in ("day", "month"):
+        got = {r.k: (r.t, r.run) for r in in_force(df, "t", given, "run", period, 4).collect()}
+        assert len(got) == 1801 and got[9000] == (None, None)
+        for t, run in got.values():
+            n = bisect.bisect_right(runs, t) if t else 0
+            assert run == (runs[n - 1] if n else None)
+    assert {r.run for r in in_force(df, "t", given.limit(0), "run").collect()} == {None}
+
+
+def test_feed_pages_go_on_where_they_ended(spark):
+    from tidewatch.operators import feed as FD
+
+    rows_ = [(i, f"s{i % 3}", "news", "b", float(i // 4), i % 5 == 0, (i % 2 + 1) if i % 5 == 0 else None, 1, None) for i in range(23)]
+    df = spark.createDataFrame(rows_, "item_key long, source_id string, kind string, beat string, score double, pinned boolean, priority int, cluster_size long, saved_at timestamp_ntz")
+    want = [r[0] for r in sorted(rows_, key=lambda r: (not r[5], r[6] or 99, -r[4], -r[0]))]
+    asked, seen, pages = FD.Asked("2024-01-20 12:00:00", kind="news", profile="read"), [], 0
+    while True:
+        page = FD.page(df, asked, 5).orderBy("place").collect()
+        assert {r.total for r in page} == {23} and [r.place for r in page] == list(range(1, len(page) + 1))
+        seen, pages = seen + [r.item_key for r in page], pages + 1
+        if page[-1].next_after is None:
+            break
+        asked = FD.Asked.of(page[-1].next_after)
+        assert (asked.now, asked.beat, asked.kind, asked.profile) == ("2024-01-20 12:00:00", None, "news", "read") and asked.after[3] == page[-1].item_key
+    assert seen == want and pages == 5
+    # a page that ends with the last row has no cursor
+    assert [r.next_after for r in FD.page(df, FD.Asked("2024-01-20 12:00:00"), 23).collect()] == [None] * 23
+    for bad in ("", "x", "e30", page[0].next_after or "!!"):
+        with pytest.raises(ValueError, match="invalid feed cursor"):
+            FD.Asked.of(bad)
+    with pytest.raises(ValueError):
+        FD.page(df, asked, 201)

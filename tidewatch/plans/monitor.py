@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import dates as D
 from tidewatch.functions.names import novel_words
+from tidewatch.operators import feed as FD
 from tidewatch.operators import monitor as M
 from tidewatch.operators import versions as V
 from tidewatch.plans import NOW, query
 from tidewatch.plans.operations import SOURCE_SQL, attempts, stream
 from tidewatch.plans.ranking import BEST_SQL, best
+from tidewatch.plans.text import cluster_runs
 from tidewatch.plans.versions import STATE_SQL, state_log, versions
-from tidewatch.session import table
+from tidewatch.session import local_rows, stored, table
 from tidewatch.streaming import keyed
 from tidewatch.streaming import state as S
 
@@ -267,6 +269,71 @@ def feed(spark, d, kind: str, limit: int):
     return page.select("place", "item_key", "beat", "kind", "decayed", "pinned", "priority", "saved", "total", F.when((F.col("place") == limit) & (F.col("total") > limit), after).alias("next_after"))
 
 
+FEED_NOW = "2024-01-20 12:00:00"
+FEED_HALVES = [("view", 48.0), ("purchase", 96.0), ("signup", 24.0), ("error", 12.0)]
+FEED_RULES = [
+    {"id": "fresh-signup", "priority": 2, "source_id": "signup", "applies_to": ["signal"], "enabled": True, "recency_bound_days": 3},
+    {"id": "high-k", "priority": 1, "source_id": "view", "applies_to": ["signal", "read"], "enabled": True, "recency_bound_days": 10, "json_paths": ["k"], "comparator": "gte", "threshold": 60},
+]
+FEED_SQL = f"""v AS (SELECT user_id AS item_key, arg_max(event_type, (ts, event_id)) AS source_id, arg_max(ts, (ts, event_id)) AS at_, arg_max(props, (ts, event_id)) AS props FROM events WHERE ts <= TIMESTAMP '{FEED_NOW}' GROUP BY 1),
+    st AS (SELECT user_id AS item_key, min(ts) FILTER (event_type = 'purchase' AND value >= 60) AS saved_at, min(ts) FILTER (event_type = 'error' AND value >= 90) AS dismissed_at FROM events GROUP BY 1),
+    sc AS (SELECT user_id AS item_key, event_type AS beat, ts AS computed_at, value FROM events WHERE ts <= TIMESTAMP '{FEED_NOW}' AND event_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1),
+    de AS (SELECT sc.*, round(value * pow(0.5, (epoch(TIMESTAMP '{FEED_NOW}') - epoch(computed_at)) / 3600 / hl), 6) AS score FROM sc JOIN (VALUES {", ".join(f"('{b}', {h})" for b, h in FEED_HALVES)}) AS h(b, hl) ON beat = b),
+    bb AS (SELECT * FROM de QUALIFY row_number() OVER (PARTITION BY item_key ORDER BY score DESC, beat) = 1),
+    rn AS (SELECT DISTINCT date_trunc('week', ts) AS run_at FROM events), mb AS (SELECT DISTINCT date_trunc('week', ts) AS run_at, event_type AS c, user_id AS item_key FROM events WHERE value > 100),
+    mz AS (SELECT run_at, item_key, max(n) AS n FROM mb JOIN (SELECT run_at, c, count(*) AS n FROM mb GROUP BY ALL) USING (run_at, c) GROUP BY ALL),
+    fe AS (SELECT v.item_key, source_id, CASE source_id WHEN 'view' THEN 'news' WHEN 'purchase' THEN 'news' WHEN 'signup' THEN 'advisory' END AS kind, beat, score, saved_at,
+             CASE WHEN source_id = 'view' AND epoch(TIMESTAMP '{FEED_NOW}') - epoch(at_) <= 864000 AND (props::JSON ->> '$.k')::DOUBLE >= 60 THEN 1 WHEN source_id = 'signup' AND epoch(TIMESTAMP '{FEED_NOW}') - epoch(at_) <= 259200 THEN 2 END::INTEGER AS priority,
+             coalesce((SELECT n FROM mz WHERE mz.item_key = v.item_key AND mz.run_at = (SELECT max(run_at) FROM rn WHERE run_at <= computed_at)), 1) AS cluster_size
+           FROM v JOIN bb ON bb.item_key = v.item_key JOIN st ON st.item_key = v.item_key WHERE dismissed_at IS NULL)"""
+
+
+def feed_as_of(spark, d, asked):
+    """Events as versions, scores and states of items: the feed's rows as of an instant."""
+    e = table(spark, d, "events")
+    key, seq = F.col("user_id").alias("item_key"), F.col("event_id").alias("ingest_seq")
+    versions = e.select(key, F.col("ts").cast("timestamp").alias("fetched_at"), seq, F.col("event_type").alias("source_id"), "props")
+    scores = e.where("event_id % 3 <> 0").select(key, F.col("event_type").alias("beat"), F.col("ts").alias("computed_at"), F.col("event_id").alias("seq"), F.col("value").alias("signal"), (F.col("value") / 2).alias("read"))
+    of = lambda kind, least: F.min(F.when((F.col("event_type") == kind) & (F.col("value") >= least), F.col("ts")))
+    states = e.groupBy(key).agg(of("purchase", 60).alias("saved_at"), of("error", 90).alias("dismissed_at"))
+    kinds = local_rows(spark, [("view", "news"), ("purchase", "news"), ("signup", "advisory")], "source_id string, kind string")
+    runs, members = cluster_runs(spark, d)
+
+    def pins(items, profile, now):
+        rows = items.select(F.col("item_key").alias("item_id"), "source_id", F.col("fetched_at").alias("published_at"), F.col("props").alias("raw_json"))
+        return M.overrides(rows, FEED_RULES, profile, now).select(F.col("item_id").alias("item_key"), "priority")
+
+    return FD.rows(asked, versions, scores, local_rows(spark, FEED_HALVES, "beat string, hl double"), states, kinds, pins, runs, members)
+
+
+FEED_OUT = ["item_key", "source_id", "kind", "beat", "score", "pinned", "priority", "cluster_size", "saved_at", "total"]
+FEED_ROWS_SQL = "item_key, source_id, kind, beat, score, priority IS NOT NULL AS pinned, priority, cluster_size, saved_at, count(*) OVER () AS total"
+
+
+@query(f"WITH {FEED_SQL} SELECT {FEED_ROWS_SQL} FROM fe WHERE kind = 'news' ORDER BY pinned DESC, priority NULLS LAST, score DESC, item_key DESC LIMIT 40")
+def feed_of_a_kind(spark, d):
+    """The first page of one kind as of an instant."""
+    asked = FD.Asked(FEED_NOW, kind="news")
+    return FD.page(feed_as_of(spark, d, asked), asked, 40).select(*FEED_OUT)
+
+
+@query(f"WITH {FEED_SQL} SELECT {FEED_ROWS_SQL} FROM fe ORDER BY pinned DESC, priority NULLS LAST, score DESC, item_key DESC LIMIT 12")
+def feed_chained(spark, d):
+    """Three pages of 4, each begun from the cursor that the page before it gave, equal one page of 12."""
+    asked, pages = FD.Asked(FEED_NOW), []
+    for _ in range(3):
+        got = stored(FD.page(feed_as_of(spark, d, asked), asked, 4), "feed-page")
+        pages.append(got.select(*FEED_OUT))
+        last = got.where("next_after IS NOT NULL").first()
+        if last is None:
+            break
+        asked = FD.Asked.of(last.next_after)
+    out = pages[0]
+    for more in pages[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 USAGE_SQL = """u AS (SELECT ts::DATE AS day, event_id, ts, event_type, value, event_type <> 'error' AS ok, CASE WHEN event_type = 'error' THEN ['timeout', 'over_budget', 'bad_answer'][event_id % 3 + 1] END AS reason, event_type <> 'view' AS counted, event_id % 4 <> 0 AS costed, CASE WHEN event_id % 50 = 0 THEN 'UTC' ELSE 'America/New_York' END AS tz FROM events)"""
 
 

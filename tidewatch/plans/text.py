@@ -8,6 +8,7 @@ from tidewatch.functions import text as T
 from tidewatch.functions.dates import publication_date
 from tidewatch.operators import clusters as C
 from tidewatch.plans import query
+from tidewatch.operators.asof import in_force
 from tidewatch.operators.terms import find_terms
 from tidewatch.session import table
 
@@ -54,19 +55,19 @@ def near_dup_clusters(spark, d):
       SELECT s.event_id, s.item_key, coalesce(i.n, 1) AS cluster_size FROM s LEFT JOIN i ON s.run_at = i.run_at AND s.item_key = i.item_key""")
 def cluster_size_as_of(spark, d):
     """The run in force at each instant is chosen over the whole run table, then membership in that run only (else size 1)."""
-    from pyspark.sql import Window
+    runs, members = cluster_runs(spark, d)
+    s = table(spark, d, "events").select("event_id", F.col("user_id").alias("item_key"), "ts")
+    s = in_force(s, "ts", runs, "run_at", "week")
+    return s.join(members, ["run_at", "item_key"], "left").select("event_id", "item_key", F.coalesce("n", F.lit(1)).alias("cluster_size"))
 
+
+def cluster_runs(spark, d):
+    """(runs, members): the times of weekly clustering runs, and each run's items with the size of their cluster."""
     e = table(spark, d, "events")
     run = F.date_trunc("week", "ts").cast("timestamp_ntz")
     member = e.where("value > 100").select(run.alias("run_at"), F.col("event_type").alias("cluster_id"), F.col("user_id").alias("item_key")).distinct()
     sizes = member.groupBy("run_at", "cluster_id").agg(F.count("*").alias("n"))
-    of = member.join(sizes, ["run_at", "cluster_id"]).groupBy("run_at", "item_key").agg(F.max("n").alias("n"))
-    # few runs: their intervals are a small side for the range join
-    runs = e.select(run.alias("run_at")).distinct()
-    runs = runs.withColumn("until", F.lead("run_at").over(Window.orderBy("run_at")))
-    s = e.select("event_id", F.col("user_id").alias("item_key"), "ts")
-    s = s.join(F.broadcast(runs), (F.col("ts") >= F.col("run_at")) & (F.col("until").isNull() | (F.col("ts") < F.col("until"))))
-    return s.join(of, ["run_at", "item_key"], "left").select("event_id", "item_key", F.coalesce("n", F.lit(1)).alias("cluster_size"))
+    return e.select(run.alias("run_at")).distinct(), member.join(sizes, ["run_at", "cluster_id"]).groupBy("run_at", "item_key").agg(F.max("n").alias("n"))
 
 
 HOSTS = ", ".join(f"'{h}'" for h in T.HTTPS_HOSTS)
