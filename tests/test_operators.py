@@ -33,8 +33,10 @@ def test_state_replay_first_wins_and_unsave_clears(spark):
 
 def test_components_of_a_long_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(300, 340)] + [(5, 5)]
-    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(path, "a long, b long"), "a", "b").collect()}
-    assert got == {i: 100 for i in range(100, 161)} | {i: 7 for i in [7, *range(300, 340)]}
+    edges = spark.createDataFrame(path, "a long, b long")
+    # in one task, and in rounds
+    got, rounds = ({r.node: r.component for r in graph.connected_components(edges, "a", "b", small=n).collect()} for n in (1000, 0))
+    assert got == rounds == {i: 100 for i in range(100, 161)} | {i: 7 for i in [7, *range(300, 340)]}
 
 
 def test_urls_are_canonical_and_stay_so(spark):

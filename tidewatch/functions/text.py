@@ -32,9 +32,11 @@ def first_line(text: Column) -> Column:
 def normal_title(title: Column) -> Column:
     """Composed (NFC) lower case, no apostrophes, everything but letters and digits a single space.
 
-    No built-in function composes characters, so one Arrow function does; it passes ASCII on as it is.
+    No built-in function composes characters, so one Arrow function does; ASCII is composed
+    as it is, and no text of it is sent there.
     """
-    plain = F.regexp_replace(F.lower(composed(title)), "['’]", "")
+    other = F.when(~title.rlike(r"^[\x00-\x7F]*$"), title)
+    plain = F.regexp_replace(F.lower(F.coalesce(composed(other), title)), "['’]", "")
     return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
 
 
