@@ -246,7 +246,7 @@ def components(prints: DataFrame, radius: int) -> DataFrame:
     """(fp, component, component_id) of every distinct fingerprint."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     pairs = links(distinct.select("fp"), distinct.count(), radius)
-    joined = connected_components(pairs, "a", "b")
+    joined = connected_components(pairs, "a", "b", small=0)
     named = distinct.join(joined, distinct.fp == joined.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     return named.join(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("fp", "component", "component_id")
 
