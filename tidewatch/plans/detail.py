@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import text as T
 from tidewatch.functions.scoring import log_odds_z
+from tidewatch.operators.terms import spaced
 from tidewatch.operators.versions import newest
 from tidewatch.plans import NOW, query
 from tidewatch.plans.graphs import BASKET_SQL, FLOOR, NEIGHBOURS, mentions
 from tidewatch.plans.ranking import HALF_LIVES, HALF_SQL, RANK_SQL, ranked
 from tidewatch.plans.text import ZONE
-from tidewatch.session import table
+from tidewatch.session import spread, stored, table
 
 #: Sources that are governments themselves, and phrases of press releases (fixed values).
 GOVERNMENT = ["federal-register", "whitehouse-actions", "scotus-slip", "nws-fl-alerts", "nvd-cve"]
@@ -153,7 +154,17 @@ def velocity_by_item(spark, d):
     return rows.withColumns({"status": status, "span": span}).select("item_key", "status", ok(F.round((F.col("s1") - F.col("s0")) / F.col("span"), 6)).alias("stars_per_day"), ok(F.round(F.least(F.lit(1.0), F.col("span") / 6), 6)).alias("span_coverage"), ok(F.datediff(last, "d1")).alias("stale_days"), ok(F.col("mixed")).alias("mixed_timezone"))
 
 
-TERM_STOP = ["the", "of", "to", "and", "in", "on", "is", "was", "for", "it", "as", "at", "an"]
+#: Words that are no terms (fixed values).
+TERM_STOP = [
+    "a", "an", "the", "of", "in", "on", "at", "to", "for", "and", "is", "as", "by", "with", "from", "into", "after", "over", "amid", "its", "it", "be", "are", "was", "were", "that",
+    "this", "these", "those", "but", "or", "not", "no", "up", "down", "out", "about", "than", "then", "so", "says", "said", "new", "will", "would", "can", "could", "should", "just",
+    "one", "two", "more", "most", "some", "all", "each", "per", "off", "vs", "you", "your", "we", "our", "they", "their", "he", "she", "his", "her", "has", "have", "had", "us", "how",
+    "what", "why", "who", "when", "where", "which", "amp", "via", "also", "now", "here", "there", "if", "do", "does", "did", "been", "being", "i", "am", "against",
+]
+#: Terms that say nothing about a topic by themselves (fixed values).
+AMBIGUOUS = ["crypto", "opinion", "editorial", "ai powered", "top 10"]
+#: Terms of the profile, which need no proposal.
+KNOWN_TERMS = ["ha"]
 TERMS_OF = """list_filter(regexp_split_to_array(lower(split_part(text, chr(10), 1)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"""
 MINED_SQL = f"""w AS (SELECT doc_id, {TERMS_OF} AS w FROM documents), u AS (SELECT doc_id, list_distinct(list_filter(w, lambda x: length(x) >= 2 AND NOT regexp_matches(x, '^[0-9]{{4}}$') AND x NOT IN ({", ".join(f"'{x}'" for x in TERM_STOP)}))
       || list_filter(list_transform(range(1, len(w)), lambda i: CASE WHEN length(w[i]) >= 2 AND length(w[i + 1]) >= 2 AND NOT regexp_matches(w[i], '^[0-9]{{4}}$') AND NOT regexp_matches(w[i + 1], '^[0-9]{{4}}$') AND w[i] NOT IN ({", ".join(f"'{x}'" for x in TERM_STOP)}) AND w[i + 1] NOT IN ({", ".join(f"'{x}'" for x in TERM_STOP)}) THEN w[i] || ' ' || w[i + 1] END), lambda x: x IS NOT NULL)) AS terms FROM w),
@@ -172,20 +183,50 @@ def candidate_terms(title):
     return F.get(F.transform(F.array(words), both), F.lit(0))
 
 
-@query(f"""WITH {MINED_SQL}, n AS (SELECT count(*) AS all_, count(*) FILTER (side = 'boost') AS nb, count(*) FILTER (side = 'suppress') AS ns FROM k), c AS (SELECT term, count(*) AS df, count(*) FILTER (side = 'boost') AS xb, count(*) FILTER (side = 'suppress') AS xs FROM t JOIN k USING (doc_id) GROUP BY 1 HAVING count(*) >= 3),
-      z AS (SELECT term, df, unnest(['boost', 'suppress']) AS side, unnest([xb, xs]) AS x, unnest([nb, ns]) AS n, all_ FROM c, n), y AS (SELECT term, side, x AS in_class, df - x AS in_rest, round((ln((x + 0.5) / (n - x + 0.5)) - ln((df - x + 0.5) / (all_ - n - (df - x) + 0.5))) / sqrt(1 / (x + 0.5) + 1 / (n - x + 0.5) + 1 / (df - x + 0.5) + 1 / (all_ - n - (df - x) + 0.5)), 6) AS z FROM z WHERE n >= 5 AND x >= 1 AND term <> 'ha')
-      SELECT side, term, in_class, in_rest, z FROM y WHERE z >= 1.96 QUALIFY row_number() OVER (PARTITION BY side ORDER BY z DESC, term) <= 20""")
+FORM_SQL = """' ' || trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^\\p{L}\\p{N}_\\s-]+', ' ' || chr(1) || ' ', 'g'), '[\\s-]+', ' ', 'g')) || ' '"""
+
+
+@query(f"""WITH {MINED_SQL}, n AS (SELECT count(*) AS all_, count(*) FILTER (side = 'boost') AS nb, count(*) FILTER (side = 'suppress') AS ns FROM k),
+      m AS (SELECT t.doc_id, term, side, split_part(text, chr(10), 1) AS title FROM t JOIN k ON k.doc_id = t.doc_id JOIN documents d ON d.doc_id = t.doc_id WHERE contains({FORM_SQL}, ' ' || term || ' ') AND term NOT IN ({", ".join(f"'{x}'" for x in AMBIGUOUS + KNOWN_TERMS)})),
+      c AS (SELECT term, count(*) AS df, count(*) FILTER (side = 'boost') AS xb, count(*) FILTER (side = 'suppress') AS xs FROM m GROUP BY 1),
+      z AS (SELECT term, df, unnest(['boost', 'suppress']) AS side, unnest([xb, xs]) AS x, unnest([nb, ns]) AS n, all_ FROM c, n),
+      y AS (SELECT term, side, x AS in_class, df - x AS in_rest, round((ln((x + 0.5) / (n - x + 0.5)) - ln((df - x + 0.5) / (all_ - n - (df - x) + 0.5))) / sqrt(1 / (x + 0.5) + 1 / (n - x + 0.5) + 1 / (df - x + 0.5) + 1 / (all_ - n - (df - x) + 0.5)), 6) AS z FROM z WHERE x >= 3 AND n >= 5),
+      best AS (SELECT * FROM y WHERE z >= 1.96 QUALIFY row_number() OVER (PARTITION BY side ORDER BY z DESC, term) <= 20),
+      e AS (SELECT best.side, best.term, title, row_number() OVER (PARTITION BY best.side, best.term ORDER BY m.doc_id) AS r FROM best JOIN m ON m.term = best.term AND m.side = best.side)
+      SELECT side, term, in_class, in_rest, z, (SELECT string_agg(title, '; ' ORDER BY r) FROM e WHERE e.side = best.side AND e.term = best.term AND r <= 3) AS examples FROM best""")
 def proposed_terms(spark, d):
-    """Terms that set saved and dismissed titles apart from the rest: both sides, at least 5 titles a class, 3 of a term, z of 1.96, not those known already, 20 a side."""
+    """Terms that set saved and dismissed titles apart from the rest, each with three titles of its class."""
     k = table(spark, d, "labels").select("doc_id", F.when(F.col("toxic") == 1, "suppress").when(F.col("quality") == 0, "boost").otherwise("rest").alias("side"))
-    n = k.groupBy().agg(F.count("*").alias("all"), F.count_if(F.col("side") == "boost").alias("nb"), F.count_if(F.col("side") == "suppress").alias("ns"))
-    t = table(spark, d, "documents").select("doc_id", F.explode(candidate_terms(F.substring_index("text", "\n", 1))).alias("term")).join(k, "doc_id")
-    c = t.groupBy("term").agg(F.count("*").alias("df"), F.count_if(F.col("side") == "boost").alias("xb"), F.count_if(F.col("side") == "suppress").alias("xs")).where("df >= 3 and term <> 'ha'")
-    figures = {name: n.select(name).scalar() for name in ("all", "nb", "ns")}
-    both = c.withColumns(figures).select("term", "df", "all", F.explode(F.array(F.struct(F.lit("boost").alias("side"), F.col("xb").alias("x"), F.col("nb").alias("n")), F.struct(F.lit("suppress").alias("side"), F.col("xs").alias("x"), F.col("ns").alias("n")))).alias("s")).select("term", "df", "all", "s.*").where("n >= 5 and x >= 1")
-    z = both.withColumn("z", F.round(log_odds_z(F.col("x"), F.col("n"), F.col("df") - F.col("x"), F.col("all") - F.col("n")), 6)).where("z >= 1.96")
-    w = Window.partitionBy("side").orderBy(F.desc("z"), "term")
-    return z.withColumn("_n", F.row_number().over(w)).where("_n <= 20").select("side", "term", F.col("x").alias("in_class"), (F.col("df") - F.col("x")).alias("in_rest"), "z")
+    titles = table(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title")).join(k, "doc_id").withColumnRenamed("doc_id", "item_key")
+    return propose(titles, k, [*AMBIGUOUS, *KNOWN_TERMS])
+
+
+#: Items of a class, items of a term, z, terms of a side and titles of a term (fixed values).
+LEAST_CLASS, LEAST_TERM, LEAST_Z, MOST_TERMS, EXAMPLES = 5, 3, 1.96, 20, 3
+
+
+def propose(titles, sides, excluded):
+    """(side, term, in_class, in_rest, z, examples) from titles (item_key, title, side) and the sides of all items.
+
+    Candidates are the terms of a class's titles; a title counts if it holds the term by the
+    rule of term matching: its words in a row, parted by white space or hyphens alone. A
+    class of fewer than 5 items proposes nothing.
+    """
+    n = sides.groupBy().agg(F.count("*").alias("all"), F.count_if(F.col("side") == "boost").alias("nb"), F.count_if(F.col("side") == "suppress").alias("ns"))
+    form = F.concat(F.lit(" "), spaced(F.lower("title")), F.lit(" "))
+    held = spread(titles).select("item_key", "title", "side", form.alias("form"), F.explode(candidate_terms(F.col("title"))).alias("term"))
+    held = stored(held.where(F.contains("form", F.concat(F.lit(" "), "term", F.lit(" "))) & ~F.col("term").isin(*excluded)).drop("form"), "held-terms")
+    c = held.groupBy("term").agg(F.count("*").alias("df"), F.count_if(F.col("side") == "boost").alias("xb"), F.count_if(F.col("side") == "suppress").alias("xs")).where(f"df >= {LEAST_TERM}")
+    one = lambda side, x, size: F.struct(F.lit(side).alias("side"), F.col(x).alias("x"), F.col(size).alias("n"))
+    both = c.withColumns({name: n.select(name).scalar() for name in ("all", "nb", "ns")}).select("term", "df", "all", F.inline(F.array(one("boost", "xb", "nb"), one("suppress", "xs", "ns"))))
+    both = both.where((F.col("x") >= LEAST_TERM) & (F.col("n") >= LEAST_CLASS))
+    z = both.withColumn("z", F.round(log_odds_z(F.col("x"), F.col("n"), F.col("df") - F.col("x"), F.col("all") - F.col("n")), 6)).where(F.col("z") >= LEAST_Z)
+    top = Window.partitionBy("side").orderBy(F.desc("z"), "term")
+    told = z.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= MOST_TERMS).select("side", "term", F.col("x").alias("in_class"), (F.col("df") - F.col("x")).alias("in_rest"), "z")
+    first = Window.partitionBy("side", "term").orderBy("item_key")
+    shown = held.join(F.broadcast(told.select("side", "term")), ["side", "term"]).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= EXAMPLES)
+    shown = shown.groupBy("side", "term").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "title"))), lambda x: x["title"]), "; ").alias("examples"))
+    return told.join(shown, ["side", "term"])
 
 
 @query(f"""WITH {RANK_SQL}, b AS (SELECT beat, count(*) AS ranked, count(*) FILTER (pinned) AS flagged FROM f GROUP BY 1), t AS (SELECT beat, item_key, decayed, row_number() OVER (PARTITION BY beat ORDER BY decayed DESC, item_key) AS n FROM f WHERE NOT pinned),
