@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions import scoring as S
 from tidewatch.functions import text as T
 from tidewatch.functions.scoring import log_odds_z
 from tidewatch.operators.terms import spaced
@@ -143,6 +144,14 @@ VELOCITY_FULL = """k AS (SELECT c_custkey AS item_key FROM customer), s AS (SELE
       SELECT item_key, status, CASE WHEN status = 'ok' THEN round((s1 - s0) / span, 6) END AS stars_per_day, CASE WHEN status = 'ok' THEN round(least(1, span / 6), 6) END AS span_coverage, CASE WHEN status = 'ok' THEN (DATE '2024-01-28' - d1)::INTEGER END AS stale_days, CASE WHEN status = 'ok' THEN mixed END AS mixed_timezone FROM o""")
 def velocity_by_item(spark, d):
     """Growth between the first and the last reading of the window, by instants, or why there is none; days since the last reading; whether two zones met."""
+    last = F.lit("2024-01-28").cast("date")
+    ok = lambda c: F.when(F.col("status") == "ok", c)
+    rate, cover = (F.col("s1") - F.col("s0")) / F.col("span"), F.least(F.lit(1.0), F.col("span") / 6)
+    return velocity_rows(spark, d).select("item_key", "status", ok(F.round(rate, 6)).alias("stars_per_day"), ok(F.round(cover, 6)).alias("span_coverage"), ok(F.datediff(last, "d1")).alias("stale_days"), ok(F.col("mixed")).alias("mixed_timezone"))
+
+
+def velocity_rows(spark, d):
+    """Each item's first and last reading of the window, the days between, and whether that makes a growth."""
     first, last = F.lit("2024-01-22").cast("date"), F.lit("2024-01-28").cast("date")
     snaps = newest(table(spark, d, "events").select(F.col("user_id").alias("repo_id"), F.to_date("ts").alias("day"), F.col("ts").alias("at"), "event_id", F.col("value").alias("stars")), ["repo_id", "day"], "at", "event_id")
     w = snaps.where(F.col("day").between(first, last)).groupBy("repo_id").agg(F.count("*").alias("n"), F.min("at").alias("t0"), F.max("at").alias("t1"), F.max("day").alias("d1"), F.min_by("stars", "day").alias("s0"), F.max_by("stars", "day").alias("s1"), (F.count_distinct(F.col("event_id") % 2) > 1).alias("mixed"))
@@ -150,8 +159,26 @@ def velocity_by_item(spark, d):
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("item_key")).join(known, "item_key", "left").join(w, F.col("item_key") == F.col("repo_id"), "left")
     span = (F.unix_micros(F.col("t1").cast("timestamp")) - F.unix_micros(F.col("t0").cast("timestamp"))) / 86400e6
     status = F.when(F.col("known").isNull(), "unknown_repo").when(F.col("n").isNull(), "no_snapshots").when(F.col("n") == 1, "single_snapshot").when(span < 3, "span_too_short").otherwise("ok")
-    ok = lambda c: F.when(F.col("status") == "ok", c)
-    return rows.withColumns({"status": status, "span": span}).select("item_key", "status", ok(F.round((F.col("s1") - F.col("s0")) / F.col("span"), 6)).alias("stars_per_day"), ok(F.round(F.least(F.lit(1.0), F.col("span") / 6), 6)).alias("span_coverage"), ok(F.datediff(last, "d1")).alias("stale_days"), ok(F.col("mixed")).alias("mixed_timezone"))
+    return rows.withColumns({"status": status, "span": span})
+
+
+@query(f"""WITH {VELOCITY_FULL}, g AS (SELECT item_key, known, CASE WHEN n > 1 AND span >= 3 THEN sign((s1 - s0) / span) * log2(1 + abs((s1 - s0) / span)) * least(1, span / 6) ELSE 0 END AS v FROM v),
+      o AS (SELECT o_custkey AS k, count(*) AS n, max(CASE o_orderkey % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 ELSE 0 END) AS h FROM orders GROUP BY 1),
+      b AS (SELECT c_custkey AS item_key, c_mktsegment AS seg, known, g.v, coalesce(h, 0) AS h, greatest(0, least(1, log2(greatest(coalesce(o.n, 0), 1)) / 3)) AS c, greatest(0, least(1, (c_custkey % 20) * 0.1 / 1.9)) AS w,
+                   greatest(0.05, least(3, 1 + 0.5 * (c_acctbal > 5000)::INT - 0.8 * (c_acctbal < 0)::INT)) AS m FROM customer JOIN g ON item_key = c_custkey LEFT JOIN o ON k = c_custkey)
+      SELECT item_key, unnest(CASE WHEN known THEN ['repos', seg] ELSE [seg] END) AS beat, round(10 * (0.6 * c + 0.4 * w + CASE WHEN known THEN 0.2 * v - 0.1 * h ELSE 0 END) * m, 6)::DOUBLE AS signal_score,
+             round(10 * (0.3 * c + 0.7 * w + CASE WHEN known THEN 0.1 * v - 0.2 * h ELSE 0 END) * m, 6)::DOUBLE AS read_score FROM b""")
+def whole_scores(spark, d):
+    """Every part of the score in one: cluster, source, growth from readings, discussion and interest; one row a beat, both profiles."""
+    k = F.col("c_custkey")
+    orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"), F.max(F.when(F.col("o_orderkey") % 5 == 0, 1.0).when(F.col("o_orderkey") % 5 == 1, 0.6).otherwise(0.0)).alias("h"))
+    rows = table(spark, d, "customer").join(velocity_rows(spark, d).withColumnRenamed("item_key", "c_custkey"), "c_custkey").join(orders, "c_custkey", "left")
+    ok = F.col("status") == "ok"
+    growth = F.when(ok, S.velocity((F.col("s1") - F.col("s0")) / F.col("span"), F.least(F.lit(1.0), F.col("span") / 6))).otherwise(0.0)
+    repo = F.coalesce("known", F.lit(False))
+    parts = [S.cluster_size(F.coalesce("n_orders", F.lit(0))), S.source_weight(0.1 + (k % 20) * 0.1), repo, growth, F.coalesce("h", F.lit(0.0)), S.interest_multiplier((F.col("c_acctbal") > 5000).cast("int"), (F.col("c_acctbal") < 0).cast("int"))]
+    beats = F.when(repo, F.array(F.lit("repos"), F.col("c_mktsegment"))).otherwise(F.array("c_mktsegment"))
+    return rows.select(k.alias("item_key"), F.explode(beats).alias("beat"), *[S.mechanical(p, *parts).alias(f"{p}_score") for p in S.PROFILES])
 
 
 #: Words that are no terms (fixed values).
