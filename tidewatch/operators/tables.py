@@ -46,8 +46,8 @@ def upsert_into(path: str, seen: DataFrame, keys: list[str], observed: str, buck
     return merged.where("action <> 'kept'").select(*keys, "action")
 
 
-def sweep(base: str, candidates: DataFrame, key: str, version: str, order: list[Column], most: int, work: Callable[[DataFrame], DataFrame], force: bool = False) -> DataFrame:
-    """One sweep over the candidates that the ledger lacks at ``version``, ``most`` at a time: the ledger rows that it wrote.
+def sweep(base: str, candidates: DataFrame, key: str, version: str, order: list[Column], most: int | None, work: Callable[[DataFrame], DataFrame], force: bool = False) -> DataFrame:
+    """One sweep over the candidates that the ledger lacks at ``version``, the first ``most`` or all (None): the ledger rows that it wrote.
 
     ``work(due)`` gives facts by key. Facts are written under the sweep's number, and after
     them its ledger rows, one for each item, with the number of its facts; ``force`` takes
@@ -60,7 +60,7 @@ def sweep(base: str, candidates: DataFrame, key: str, version: str, order: list[
     due = candidates
     if ledger is not None and not force:
         due = due.join(ledger.where(F.col("version") == version).select(key), key, "left_anti")
-    due = stored(due.orderBy(*order).limit(most), "due")
+    due = stored(due if most is None else due.orderBy(*order).limit(most), "due")
     work(due).write.mode("overwrite").parquet(f"{base}/facts/sweep={number}")
     facts = spark.read.parquet(f"{base}/facts/sweep={number}").groupBy(key).agg(F.count("*").alias("facts"))
     done = due.select(key).distinct().join(facts, key, "left").select(key, F.lit(version).alias("version"), F.coalesce("facts", F.lit(0)).alias("facts"))

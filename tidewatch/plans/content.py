@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import text as T
 from tidewatch.functions.scoring import log_odds_z
+from tidewatch.operators.passes import as_row, counted_write
 from tidewatch.operators.search import SearchIndex
 from tidewatch.operators.versions import newest
 from tidewatch.plans import query
@@ -39,6 +40,15 @@ def rejected_entries(spark, d):
     return xml_rows(spark, d).groupBy(F.when(feeds.accepted(F.col("link"), F.col("title")), "accepted").otherwise("missing field").alias("outcome")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT count(*) AS entries, count(*) FILTER (page_id % 10 <> 0) AS accepted, count(*) FILTER (page_id % 10 = 0) AS rejected, count(*) FILTER (page_id % 10 <> 0) AS read_back FROM pages")
+def counted_entries(spark, d):
+    """Entries that are parsed, written and counted in one scan; malformed ones are left out and counted."""
+    rows, path = xml_rows(spark, d), scratch(spark, "entries")
+    good = feeds.accepted(F.col("link"), F.col("title"))
+    counts = counted_write(rows, path, good, {"entries": F.count("*"), "accepted": F.count_if(good), "rejected": F.count_if(~F.coalesce(good, F.lit(False)))})
+    return as_row(rows, counts | {"read_back": spark.read.schema(rows.schema).parquet(path).count()})
+
+
 @query("SELECT source, count(*) FILTER (lang IS NULL OR lang IN ('en', 'de')) AS kept, count(*) FILTER (lang NOT IN ('en', 'de')) AS filtered FROM documents GROUP BY source")
 def language_filter(spark, d):
     docs = table(spark, d, "documents")

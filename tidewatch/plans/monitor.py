@@ -9,13 +9,15 @@ from tidewatch.functions import dates as D
 from tidewatch.functions.names import novel_words
 from tidewatch.operators import feed as FD
 from tidewatch.operators import monitor as M
+from tidewatch.operators import tables
 from tidewatch.operators import versions as V
+from tidewatch.operators.passes import as_row, counted_write
 from tidewatch.plans import NOW, query
 from tidewatch.plans.operations import SOURCE_SQL, attempts, stream
 from tidewatch.plans.ranking import BEST_SQL, best
 from tidewatch.plans.text import cluster_runs
 from tidewatch.plans.versions import STATE_SQL, state_log, versions
-from tidewatch.session import local_rows, stored, table
+from tidewatch.session import local_rows, scratch, stored, table
 from tidewatch.streaming import keyed
 from tidewatch.streaming import state as S
 
@@ -86,7 +88,23 @@ def scoring_pass(spark, d):
     o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count_distinct("o_orderpriority").alias("beats"))
     b = table(spark, d, "customer").select("c_custkey", "c_nationkey").join(o, "c_custkey", "left").withColumn("beats", F.coalesce("beats", F.lit(0)))
     bare, unknown = F.col("beats") == 0, F.col("c_nationkey") % 10 == 0
-    return b.agg(F.count("*").alias("considered"), F.count_if(~bare & ~unknown).alias("scored"), F.count_if(bare).alias("skipped"), F.coalesce(F.sum(F.when(~bare & ~unknown, F.col("beats"))), F.lit(0)).alias("rows_written"), F.count_if(~bare & unknown).alias("failures"))
+    good = ~bare & ~unknown
+    counts = {"considered": F.count("*"), "scored": F.count_if(good), "skipped": F.count_if(bare), "rows_written": F.sum(F.when(good, F.col("beats"))), "failures": F.count_if(~bare & unknown)}
+    return as_row(b, counted_write(b, scratch(spark, "scored"), good, counts))
+
+
+@query("""WITH b AS (SELECT c_custkey, count(DISTINCT o_orderpriority) AS beats FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1), n AS (SELECT count(*) AS all_, count(*) FILTER (c_custkey % 2 = 0) AS half, sum(beats) AS f, sum(beats) FILTER (c_custkey % 2 = 0) AS g FROM b)
+          SELECT unnest([1, 2, 3, 4]) AS sweep, unnest(['v1', 'v1', 'v2', 'v2']) AS version, unnest([half, all_ - half, all_, all_]) AS items, unnest([g, f - g, f, f])::BIGINT AS facts FROM n""")
+def scoring_sweeps(spark, d):
+    """Scores written by passes that take only items whose scores lack the version: the rest after a first half, all at a new version, all again by force."""
+    base, beats = scratch(spark, "scoring"), table(spark, d, "orders").select(F.col("o_custkey").alias("item_key"), F.col("o_orderpriority").alias("beat")).distinct()
+    items = table(spark, d, "customer").select(F.col("c_custkey").alias("item_key"))
+    scored = lambda due: due.join(beats, "item_key").select("item_key", "beat", F.round(F.sqrt("item_key"), 6).alias("score"))
+    done = None
+    for due, version, force in ((items.where("item_key % 2 = 0"), "v1", False), (items, "v1", False), (items, "v2", False), (items, "v2", True)):
+        rows = tables.sweep(base, due, "item_key", version, [], None, scored, force=force)
+        done = rows if done is None else done.unionByName(rows)
+    return done.groupBy("sweep", "version").agg(F.count("*").alias("items"), F.sum("facts").alias("facts"))
 
 
 @query("SELECT p_partkey AS site_id, CASE WHEN p_partkey % 5 = 0 THEN 'overlay' ELSE p_brand END AS name, CASE WHEN p_partkey % 5 = 0 THEN 99 ELSE p_size END AS size FROM part UNION ALL SELECT 1000000 + s_suppkey, s_name, 1 FROM supplier")
