@@ -410,3 +410,14 @@ def test_feed_pages_go_on_where_they_ended(spark):
             FD.Asked.of(bad)
     with pytest.raises(ValueError):
         FD.page(df, asked, 201)
+
+
+def test_a_pass_counts_all_rows_and_writes_the_good_ones(spark, tmp_path):
+    from tidewatch.operators.passes import as_row, counted_write
+
+    df = spark.range(100).select("id", F.when(F.col("id") % 7 != 0, F.col("id")).alias("v"))
+    counts = counted_write(df, str(tmp_path / "p"), F.col("v") % 2 == 0, {"rows": F.count("*"), "missing": F.count_if(F.col("v").isNull()), "total": F.sum("v")})
+    assert counts == {"rows": 100, "missing": 15, "total": sum(i for i in range(100) if i % 7)}
+    assert rows(spark.read.parquet(str(tmp_path / "p")).select("id")) == sorted(((i,) for i in range(100) if i % 7 and i % 2 == 0), key=repr)
+    assert [tuple(r) for r in as_row(df, counts).collect()] == [tuple(counts.values())]
+    assert counted_write(df.limit(0), str(tmp_path / "q"), F.lit(True), {"rows": F.count("*"), "total": F.sum("v")}) == {"rows": 0, "total": 0}
