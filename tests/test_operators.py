@@ -421,3 +421,32 @@ def test_a_pass_counts_all_rows_and_writes_the_good_ones(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "p")).select("id")) == sorted(((i,) for i in range(100) if i % 7 and i % 2 == 0), key=repr)
     assert [tuple(r) for r in as_row(df, counts).collect()] == [tuple(counts.values())]
     assert counted_write(df.limit(0), str(tmp_path / "q"), F.lit(True), {"rows": F.count("*"), "total": F.sum("v")}) == {"rows": 0, "total": 0}
+
+
+def test_related_names_are_exact_with_large_items(spark):
+    import random
+    from collections import Counter, defaultdict
+
+    from tidewatch.operators.related import related
+
+    rnd = random.Random(14)
+    rows_ = [(f"e{rnd.randint(0, 60):02d}", i) for i in range(150) for _ in range(rnd.randint(1, 6))]
+    for item in (900, 901, 902):
+        rows_ += [(f"e{k:02d}", item) for k in range(61) if rnd.random() < 0.6]
+    rows_ += rows_[:20] + [("alone", 5)]
+    baskets, counts = defaultdict(set), Counter(e for e, _ in set(rows_))
+    for e, i in set(rows_):
+        if counts[e] >= 2:
+            baskets[i].add(e)
+    shared = defaultdict(Counter)
+    for names in baskets.values():
+        for a in names:
+            shared[a].update(names - {a})
+    want = {(a, b, n, place + 1) for a, c in shared.items() for place, (b, n) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:4])}
+    df = spark.createDataFrame(rows_, "entity string, item_key long").repartition(3)
+    for large in (8, 30, 1000):
+        assert {tuple(r) for r in related(df, 4, 2, large).collect()} == want
+    # an item of 10,000 names makes no pairs of them
+    wide = spark.range(10_000).select(F.format_string("n%05d", "id").alias("entity"), F.explode(F.array(F.lit(1), F.lit(2))).alias("item_key")).union(spark.createDataFrame([("n00003", 7), ("n00009", 7)], "entity string, item_key int"))
+    got = {(r.entity, r["place"]): (r.related, r.weight) for r in related(wide, 3).where("entity in ('n00000', 'n00003', 'n09999')").collect()}
+    assert got == {("n00000", 1): ("n00001", 2), ("n00000", 2): ("n00002", 2), ("n00000", 3): ("n00003", 2), ("n00003", 1): ("n00009", 3), ("n00003", 2): ("n00000", 2), ("n00003", 3): ("n00001", 2), ("n09999", 1): ("n00000", 2), ("n09999", 2): ("n00001", 2), ("n09999", 3): ("n00002", 2)}

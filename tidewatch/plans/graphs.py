@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators.related import related
 from tidewatch.plans import query
 from tidewatch.session import table
 
@@ -54,6 +55,13 @@ def ego_edges(spark, d):
     return left.join(right, "item_key").where("source < target").groupBy("source", "target").agg(F.count("*").alias("weight"))
 
 
+@query(f"""WITH {BASKET_SQL}, g AS (SELECT DISTINCT entity, item_key FROM p QUALIFY count(*) OVER (PARTITION BY entity) >= 2), w AS (SELECT x.entity, y.entity AS related, count(*) AS weight FROM g x JOIN g y ON x.item_key = y.item_key AND x.entity <> y.entity GROUP BY 1, 2)
+           SELECT *, row_number() OVER (PARTITION BY entity ORDER BY weight DESC, related)::INTEGER AS place FROM w QUALIFY place <= 15""")
+def related_entities(spark, d):
+    """The 15 names that share most items with each name."""
+    return related(mentions(spark, d), most=15, floor=2)
+
+
 @query(f"""WITH {BASKET_SQL}, c AS (SELECT entity, count(*) AS items FROM p GROUP BY 1 HAVING count(*) >= 2), r AS (SELECT p.entity, items, item_key, row_number() OVER (PARTITION BY p.entity ORDER BY item_key DESC) AS n FROM p JOIN c ON p.entity = c.entity)
            SELECT entity, items, string_agg(item_key::VARCHAR, ',' ORDER BY item_key DESC) AS newest FROM r WHERE n <= 20 GROUP BY 1, 2""")
 def entity_dossier(spark, d):
