@@ -168,11 +168,12 @@ def search_snippets(spark, d):
       SELECT * FROM z WHERE z >= 1.96 ORDER BY z DESC, term LIMIT 20""")
 def mined_terms(spark, d):
     k = table(spark, d, "labels").select("doc_id", "toxic")
-    a, b = k.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
+    size = lambda kind: k.agg(F.count_if(F.col("toxic") == kind)).scalar()
     terms = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) >= 2) & ~w.rlike("^[0-9]{4}$")))
     w = table(spark, d, "documents").join(k, "doc_id").select("toxic", F.explode(terms).alias("term"))
     c = w.groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("x"), F.count_if(F.col("toxic") == 0).alias("y")).where("x >= 3")
-    return c.withColumn("z", F.round(log_odds_z(F.col("x"), F.lit(a), F.col("y"), F.lit(b)), 6)).where("z >= 1.96").orderBy(F.desc("z"), "term").limit(20)
+    c = c.withColumns({"a": size(1), "b": size(0)})
+    return c.select("term", "x", "y", F.round(log_odds_z(F.col("x"), F.col("a"), F.col("y"), F.col("b")), 6).alias("z")).where("z >= 1.96").orderBy(F.desc("z"), "term").limit(20)
 
 
 TOKENS = "' ' || array_to_string(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: w <> ''), ' ') || ' '"

@@ -153,6 +153,17 @@ def place_matches(spark, d):
     return m.withColumn("confidence", F.round("confidence", 6)).orderBy("item_key", "kind", F.desc("confidence"), "place")
 
 
+@query(f"""WITH {_sql_gazetteer()} SELECT kind, place, item_key, round(confidence, 6) AS confidence, count(*) OVER (PARTITION BY kind, place) AS items, row_number() OVER (PARTITION BY kind, place ORDER BY item_key DESC)::INTEGER AS nth
+           FROM b WHERE confidence >= 0.5 QUALIFY nth <= 20""")
+def items_of_places(spark, d):
+    """The 20 newest items of each place and country whose match is sure enough, and how many there are."""
+    m = M.gazetteer(texts(spark, d), ALIASES, SITES, COUNTRIES).where("confidence >= 0.5")
+    m = stored(m, "placed").withColumn("confidence", F.round("confidence", 6))
+    newest = Window.partitionBy("kind", "place").orderBy(F.desc("item_key"))
+    top = m.withColumn("nth", F.row_number().over(newest)).where("nth <= 20")
+    return top.join(m.groupBy("kind", "place").agg(F.count("*").alias("items")), ["kind", "place"]).select("kind", "place", "item_key", "confidence", "items", "nth")
+
+
 @query(f"""WITH {_sql_gazetteer()}, due AS (SELECT doc_id AS item_key FROM documents WHERE doc_id % 2 = 1 ORDER BY doc_id DESC LIMIT 2000)
            SELECT (SELECT count(*) FROM due) AS swept, count(DISTINCT b.item_key) AS matched, count(*) FILTER (kind = 'site') AS places, count(*) FILTER (kind = 'site' AND confidence >= 0.75) AS plottable, count(*) FILTER (kind = 'country') AS countries FROM b JOIN due ON b.item_key = due.item_key""")
 def location_sweep(spark, d):

@@ -104,7 +104,7 @@ def repo_rows(spark, d):
 
 @query("""SELECT s_suppkey AS site_id, s_name AS name, n_name AS parent, count(l_orderkey) AS items FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY ALL""")
 def site_dimension(spark, d):
-    n = F.broadcast(table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("parent")))
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("parent"))
     items = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("items"))
     s = table(spark, d, "supplier").join(n, "s_nationkey").join(items, "s_suppkey", "left")
     return s.select(F.col("s_suppkey").alias("site_id"), F.col("s_name").alias("name"), "parent", F.coalesce("items", F.lit(0)).alias("items"))

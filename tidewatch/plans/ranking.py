@@ -104,9 +104,10 @@ def feed_page(spark, d):
 
 @query(f"WITH {BEST_SQL} SELECT item_key, beat, decayed, pinned, priority FROM b ORDER BY pinned DESC, priority, decayed DESC, item_key DESC LIMIT 50 OFFSET 50")
 def feed_next_page(spark, d):
+    """The rows behind the last one of the first page, whose key is a scalar of the same plan."""
     feed = best(spark, d).select(*FEED_COLUMNS)
-    last = page(feed, 50).tail(1)
-    return page(feed, 50, (last[0].pinned, last[0].priority, last[0].decayed, last[0].item_key)) if last else feed.limit(0)
+    key = F.struct((~F.col("pinned")).cast("int"), "priority", -F.col("decayed"), -F.col("item_key"))
+    return page(feed.where(key > page(feed, 50).agg(F.max(key)).scalar()), 50)
 
 
 @query("""WITH s AS (SELECT c_custkey AS item_key, c_mktsegment AS beat, count(o_orderkey) AS n, c_acctbal AS bal FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL),
@@ -127,8 +128,8 @@ def mechanical_scores(spark, d):
            SELECT k.item_key, count(*) AS beats_due FROM k WHERE NOT EXISTS
            (SELECT 1 FROM l WHERE l.item_key = k.item_key AND l.beat = k.beat AND l.computed_at >= TIMESTAMP '1995-01-01') GROUP BY k.item_key""")
 def scoring_due(spark, d):
-    beats = table(spark, d, "orders").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("beats")).first()["beats"]  # an enumeration
-    keys = table(spark, d, "customer").select(F.col("c_custkey").alias("item_key"), F.explode(F.array(*map(F.lit, beats))).alias("beat"))
+    beats = table(spark, d, "orders").agg(F.collect_set("o_orderpriority")).scalar()  # an enumeration
+    keys = table(spark, d, "customer").select(F.col("c_custkey").alias("item_key"), beats.alias("beats")).select("item_key", F.explode("beats").alias("beat"))
     done = latest(spark, d).where(F.col("computed_at") >= F.lit("1995-01-01").cast("timestamp"))
     return keys.join(done, ["item_key", "beat"], "left_anti").groupBy("item_key").agg(F.count("*").alias("beats_due"))
 
