@@ -450,3 +450,17 @@ def test_related_names_are_exact_with_large_items(spark):
     wide = spark.range(10_000).select(F.format_string("n%05d", "id").alias("entity"), F.explode(F.array(F.lit(1), F.lit(2))).alias("item_key")).union(spark.createDataFrame([("n00003", 7), ("n00009", 7)], "entity string, item_key int"))
     got = {(r.entity, r["place"]): (r.related, r.weight) for r in related(wide, 3).where("entity in ('n00000', 'n00003', 'n09999')").collect()}
     assert got == {("n00000", 1): ("n00001", 2), ("n00000", 2): ("n00002", 2), ("n00000", 3): ("n00003", 2), ("n00003", 1): ("n00009", 3), ("n00003", 2): ("n00000", 2), ("n00003", 3): ("n00001", 2), ("n09999", 1): ("n00000", 2), ("n09999", 2): ("n00001", 2), ("n09999", 3): ("n00002", 2)}
+
+
+def test_overlap_pairs_no_stories_by_a_token_that_many_names_share(spark):
+    from tidewatch.operators import monitor
+
+    # half of the numbers are in no title, which leaves their names nothing but the common token
+    repos = spark.range(200).select(F.concat(F.lit("o/repo-"), "id").alias("repo_key"), F.concat(F.lit("Repo-"), "id").alias("name")).union(spark.createDataFrame([("o/long", "the-repo-7-and"), ("o/none", None)], "repo_key string, name string"))
+    stories = spark.range(200).select("id", F.concat(F.lit("see the repo "), (F.col("id") % 100).cast("string"), F.lit(" and repo and")).alias("title"), F.lit("https://x.org/").alias("url"), F.col("id").alias("fetched_at")).withColumnRenamed("id", "story_key").union(spark.createDataFrame([(900, None, None, 1), (901, "repo", "https://github.com/o/none", 2)], "story_key long, title string, url string, fetched_at long"))
+    out = monitor.discussion_overlap(repos, stories, 5)
+    want = {f"o/repo-{i}": (2, 0.6, i) for i in range(100)} | {"o/long": (2, 0.6, 7), "o/none": (1, 1.0, 2)}
+    assert {r.repo_key: (r.mentions, r.strength, r.first_at) for r in out.collect()} == want
+    # no join lists candidates that a condition has to sort out
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().lower().split("\n") if "join " in x]
+    assert len(joins) == 2 and not any("contains(" in x for x in joins)

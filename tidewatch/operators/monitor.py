@@ -123,19 +123,23 @@ def discussion_overlap(repos: DataFrame, stories: DataFrame, least_slug: int = 6
     """(repo_key, mentions, strength, first_at) of repositories (repo_key, name) that stories (story_key, title, url, fetched_at) mention.
 
     A story's URL names the repository, or its title holds the name's tokens in a row (not
-    short or generic names). URLs are matched by an equi-join on the reference; titles by
-    one on the name's rarest token, then the run is checked. Of each story the earliest
+    short or generic names). URLs are matched by an equi-join on the reference, titles by one
+    on whole runs: each title gives its runs of every length that a name has, so that a token
+    which many names and titles share pairs nothing by itself. Of each story the earliest
     version that matches counts.
     """
     by_url = stories.withColumn("repo_key", T.code_host_ref(F.col("url"))).where("repo_key is not null").join(repos.select("repo_key"), "repo_key").select("repo_key", "story_key", "fetched_at", F.lit(url_strength).alias("s"))
     tokens = repos.select("repo_key", T.slug_tokens(F.col("name")).alias("run"))
     slug = F.array_join("run", "")
     tokens = tokens.where((F.length(slug) >= least_slug) & ~slug.isin(*generic) if generic else F.length(slug) >= least_slug)
+    named = tokens.where(F.size("run") > 0).select("repo_key", F.array_join("run", " ").alias("run"), F.size("run").alias("n"))
     told = stories.select("story_key", "fetched_at", T.slug_tokens(F.col("title")).alias("words"))
-    words = told.select("story_key", "fetched_at", "words", F.explode(F.array_distinct("words")).alias("token"))
-    df = words.groupBy("token").agg(F.count("*").alias("df"))
-    rarest = tokens.select("repo_key", "run", F.explode("run").alias("token")).join(df, "token").groupBy("repo_key", "run").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
-    by_title = words.join(rarest, "token").where(T.has_token_run(F.col("words"), F.col("run"))).select("repo_key", "story_key", "fetched_at", F.lit(title_strength).alias("s"))
+    lengths = F.coalesce(named.agg(F.collect_set("n")).scalar(), F.array().cast("array<int>"))
+    # no run is longer than its title, and a short title has no run of a long name
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.array_join(F.slice("words", i, n), " "))
+    every = F.flatten(F.transform(F.filter(F.col("lengths"), lambda n: n <= F.size("words")), runs))
+    held = told.withColumn("lengths", lengths).select("story_key", "fetched_at", F.explode(F.array_distinct(every)).alias("run"))
+    by_title = held.join(named.select("repo_key", "run"), "run").select("repo_key", "story_key", "fetched_at", F.lit(title_strength).alias("s"))
     first = by_url.union(by_title).groupBy("repo_key", "story_key").agg(F.min_by("s", F.struct("fetched_at", -F.col("s"))).alias("s"), F.min("fetched_at").alias("fetched_at"))
     return first.groupBy("repo_key").agg(F.count("*").alias("mentions"), F.max("s").alias("strength"), F.min("fetched_at").alias("first_at"))
 
