@@ -464,3 +464,25 @@ def test_overlap_pairs_no_stories_by_a_token_that_many_names_share(spark):
     # no join lists candidates that a condition has to sort out
     joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().lower().split("\n") if "join " in x]
     assert len(joins) == 2 and not any("contains(" in x for x in joins)
+
+
+def test_overlay_of_sites_equals_its_sql_where_keys_of_both_files_meet(spark, tmp_path):
+    import duckdb
+
+    from tidewatch.operators import monitor
+    from tidewatch.plans.monitor import overlaid_sites
+    from tidewatch.registry import ORACLE_SQL
+
+    part = [(k, f"Brand#{k % 7}", k % 50) for k in (1, 5, 999_999, 1_000_000, 1_000_001, 1_000_005, 1_000_007)]
+    spark.createDataFrame(part, "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(k, f"Supplier#{k}") for k in (1, 5, 6)], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    for t in ("part", "supplier"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = sorted(map(tuple, overlaid_sites(spark, str(tmp_path)).collect()))
+    assert got == sorted(con.sql(ORACLE_SQL["overlaid_sites"]).fetchall())
+    assert {k: name for k, name, _ in got if k > 1_000_000} == {1_000_001: "Supplier#1", 1_000_005: "overlay", 1_000_006: "Supplier#6", 1_000_007: "Brand#1"}
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    over = [(1, "x"), (1, "z"), (1, "y")]
+    for rows_ in (over, over[::-1]):
+        assert sorted(map(tuple, monitor.overlaid(base, spark.createDataFrame(rows_, "k int, v string"), "k").collect())) == [(1, "z"), (2, "b")]

@@ -179,10 +179,10 @@ def gazetteer(texts: DataFrame, aliases: list[tuple], sites: list[tuple], countr
 
 
 def overlaid(base: DataFrame, overlay: DataFrame, key: str) -> DataFrame:
-    """Rows of both by key; the overlay's replace."""
+    """Rows of both by key; the overlay's replace. Of rows of one key in one table the greatest stays."""
     rest = [c for c in base.columns if c != key]
     both = base.select(key, F.lit(0).alias("_p"), F.struct(*rest).alias("_r")).unionByName(overlay.select(key, F.lit(1).alias("_p"), F.struct(*rest).alias("_r")))
-    return both.groupBy(key).agg(F.max_by("_r", "_p").alias("_r")).select(key, "_r.*")
+    return both.groupBy(key).agg(F.max_by("_r", F.struct("_p", "_r")).alias("_r")).select(key, "_r.*")
 
 
 def filled(curated: DataFrame, names: DataFrame, key: str, defaults: dict[str, Column]) -> DataFrame:

@@ -107,9 +107,11 @@ def scoring_sweeps(spark, d):
     return done.groupBy("sweep", "version").agg(F.count("*").alias("items"), F.sum("facts").alias("facts"))
 
 
-@query("SELECT p_partkey AS site_id, CASE WHEN p_partkey % 5 = 0 THEN 'overlay' ELSE p_brand END AS name, CASE WHEN p_partkey % 5 = 0 THEN 99 ELSE p_size END AS size FROM part UNION ALL SELECT 1000000 + s_suppkey, s_name, 1 FROM supplier")
+@query("""WITH b AS (SELECT p_partkey AS site_id, p_brand AS name, p_size AS size FROM part),
+          u AS (SELECT *, 0 AS file FROM b UNION ALL SELECT site_id, 'overlay', 99, 1 FROM b WHERE site_id % 5 = 0 UNION ALL SELECT 1000000 + s_suppkey, s_name, 1, 1 FROM supplier)
+          SELECT site_id, name, size FROM u QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY file DESC, name DESC, size DESC) = 1""")
 def overlaid_sites(spark, d):
-    """A base of sites and a later file that replaces some and adds others."""
+    """A base of sites and a later file that replaces some and adds others, whatever their keys; of rows of one key in one file the greatest."""
     base = table(spark, d, "part").select(F.col("p_partkey").alias("site_id"), F.col("p_brand").alias("name"), F.col("p_size").alias("size"))
     over = base.where("site_id % 5 = 0").select("site_id", F.lit("overlay").alias("name"), F.lit(99).alias("size"))
     new = table(spark, d, "supplier").select((1000000 + F.col("s_suppkey")).alias("site_id"), F.col("s_name").alias("name"), F.lit(1).alias("size"))
