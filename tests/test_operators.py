@@ -486,3 +486,22 @@ def test_overlay_of_sites_equals_its_sql_where_keys_of_both_files_meet(spark, tm
     over = [(1, "x"), (1, "z"), (1, "y")]
     for rows_ in (over, over[::-1]):
         assert sorted(map(tuple, monitor.overlaid(base, spark.createDataFrame(rows_, "k int, v string"), "k").collect())) == [(1, "z"), (2, "b")]
+
+
+def test_page_paragraphs_equal_their_sql_with_every_kind_of_character_reference(spark, tmp_path):
+    import duckdb
+
+    from tidewatch.plans.extraction import page_paragraphs, prose_paragraphs
+    from tidewatch.registry import ORACLE_SQL
+
+    refs = ["&copy;", "&middot;", "&eacute;", "&apos;", "&#8212;", "&#x1F600;", "&#X41;", "&#0;", "&#xD800;", "&#1114112;", "&nosuch;", "&amp;lt;", "&lt", "& ", "&;", "&amp;amp;", "&sup2;", "&thetasym;", "&#000000065;", "&NBSP;", "&Eacute;x&", "a&b;c"]
+    texts = [f"<p>Words {r} of a paragraph {r}that is long enough.</p>" for r in refs] + ["<h1>Head</h1>&nbsp;<p>Tail &hellip; words of it, and more&#10;&#10;after a break of lines.</p>", None, "&"]
+    df = spark.createDataFrame(list(enumerate(texts)), "page_id long, html string")
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    df.toDF("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for t, query in (("pages", page_paragraphs), ("documents", prose_paragraphs)):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+        got = {r.item_key: r.paragraph for r in query(spark, str(tmp_path)).collect()}
+        assert got == dict(con.sql(ORACLE_SQL[query.__name__]).fetchall())
+    assert got[0].startswith("Words © of") and got[3].startswith("Words ' of") and "&nosuch;" in got[10] and "&lt;" in got[11]
