@@ -281,3 +281,19 @@ def test_mixing_of_odd_rows_and_of_nothing(odd_docs, no_docs):
     out = mixing.decide(odd_docs)
     assert out.count() == odd_docs.count() and out.where("p is null or kept is null").count() == 0
     assert mixing.decide(no_docs).count() == 0 and mixing.mix(no_docs).columns == no_docs.columns
+
+
+def test_topics_are_learned_from_all_documents_however_they_are_dealt(spark):
+    # the rare topic lies outside of any small sample by hash of doc_id
+    kinds = {k: [f"{k}{i}" for i in range(30)] for k in ("farm", "code", "ship")}
+    order = [r.i for r in spark.range(2600).toDF("i").orderBy(F.xxhash64("i"), "i").collect()]
+    rare = set(order[2500:])
+    rnd = np.random.default_rng(3)
+    texts = [(i, " ".join(rnd.choice(kinds["ship" if i in rare else ("farm", "code")[i % 2]], 12))) for i in range(2600)] + [(None, ""), (2600, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = mixing.learn_topics(docs, topics=3)
+    own, _ = model.of([t for _, t in texts[:2600]])
+    assert len({(o, "ship" if i in rare else i % 2) for i, o in enumerate(own)}) == 3
+    again = mixing.learn_topics(docs.repartition(7), topics=3)
+    assert (model.weights == again.weights).all()
+    assert not mixing.learn_topics(docs.where("doc_id is null"), topics=3).weights.any()

@@ -16,9 +16,8 @@ other can't all be met, which a warning tells with the miss that is left.
 
 Targets: unless given, each marginal is its observed share to the power ``temper``, so
 that small sources gain and the largest do not crowd the mix. Topic: spherical k-means
-over hashed words, fitted on at most ``sample`` documents (those with the smallest hash
-of doc_id), then every whole text goes to the topic whose centre scores highest (ties:
-the smallest; no word: -1).
+over hashed words, fitted on all texts in passes over their stored word counts, then every
+whole text goes to the topic whose centre scores highest (ties: the smallest; no word: -1).
 
 Nulls in a dimension are a value of their own; a null text has no tokens, rows without
 tokens are kept (they cost nothing). A given target that names no value of the data has no
@@ -33,15 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import SLICE, U, bounded, documents, slices, spherical_k_means, word_hashes
+from tidewatch.llm.common import SLICE, U, bounded, documents, slices, word_hashes
 from tidewatch.session import cut, stored
 
 TOPICS = 8
 #: Buckets of word hashes that the topic model knows words by.
 BUCKETS = 1 << 12
+#: Rounds of k-means at most, and the fraction of a weight that sums are exact to.
+LLOYD, UNIT = 12, float(1 << 20)
 DIMENSIONS = ("source", "lang", "topic")
 ROUNDS, MISS = 200, 1e-7
 #: Most (language, topic) pairs; more than this is an error, not a loss.
@@ -73,32 +75,108 @@ class Topics:
         return out, sizes
 
 
-def learn_topics(docs: DataFrame, topics: int = TOPICS, sample: int = 2000) -> Topics:
-    """The topic model of a bounded sample of ``docs``."""
-    rows = documents(docs)
-    chosen = rows.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
+def _vectors(rows: DataFrame) -> DataFrame:
+    """(h, code, n): buckets of the words of every text that has one, and log(1 + n) of how often each occurs; h orders texts."""
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in slices(batches):
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pdf in slices(b.to_pandas() for b in batches):
             code, sizes = _buckets(list(pdf["text"]))
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            both, n = np.unique(row * BUCKETS + code, return_counts=True)
-            cuts = np.searchsorted(both, np.arange(1, len(sizes)) * BUCKETS)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "code": np.split(both % BUCKETS, cuts), "n": np.split(n, cuts)})
-
-    found = rows.join(F.broadcast(chosen), "doc_id").mapInPandas(counted, "doc_id long, code array<long>, n array<long>").toPandas()
-    found = found.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    # one matrix of at most ``sample`` rows, worked on in place: the driver's memory is small
-    x = np.zeros((len(found), BUCKETS), np.float32)
-    for i, (code, n) in enumerate(zip(found["code"], found["n"])):
-        x[i, np.asarray(code, np.int64)] = np.log1p(np.asarray(n, float))
-    idf = np.log((len(x) + 1) / (np.count_nonzero(x, axis=0) + 1)).astype(np.float32)
-    x *= idf
-    norm = np.linalg.norm(x, axis=1)
-    if (norm == 0).any():
-        x, norm = x[norm > 0], norm[norm > 0]
-    x /= norm[:, None]
-    return Topics((spherical_k_means(x, topics) * idf).T)
+            both, n = np.unique(np.repeat(np.arange(len(sizes)), sizes) * BUCKETS + code, return_counts=True)
+            ends = np.searchsorted(both, np.arange(len(sizes) + 1) * BUCKETS).astype(np.int32)
+            # numbers in a row as bytes: Spark copies them whole
+            flat = [pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends * v.dtype.itemsize), pa.py_buffer(v)]) for v in ((both % BUCKETS).astype(np.uint16), np.log1p(n).astype(np.float32))]
+            yield pa.RecordBatch.from_arrays([pa.array(pdf["h"].to_numpy(np.int64)), *flat], names=["h", "code", "n"])
+
+    keyed = rows.select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    return stored(keyed.mapInArrow(counted, "h long, code binary, n binary").where(F.length("code") > 0), "words")
+
+
+def _weighted(batch: pa.RecordBatch, idf: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(h, code, weight, first, size) of texts with a weight: codes and unit weights of all in a row, where each text begins and how many it has."""
+    code, size = _flat(batch.column("code"), np.uint16)
+    w = _flat(batch.column("n"), np.float32)[0] * idf[code]
+    norm = np.sqrt(np.add.reduceat(w * w, np.cumsum(size) - size))
+    full = norm > 0
+    if not full.all():
+        kept = np.repeat(full, size)
+        code, size, w, norm = code[kept], size[full], w[kept], norm[full]
+    return batch.column("h").to_numpy()[full], code, w / np.repeat(norm, size), np.cumsum(size) - size, size
+
+
+def _flat(column: pa.BinaryArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of bytes in a row, and how many each row has."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind), np.diff(ends) // np.dtype(kind).itemsize
+
+
+def _scores(code: np.ndarray, w: np.ndarray, first: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.round(np.add.reduceat(np.ascontiguousarray(centres.T)[code] * w[:, None], first, axis=0), 9)
+
+
+def learn_topics(docs: DataFrame, topics: int = TOPICS, sample: int | None = None) -> Topics:
+    """The topic model of all texts of ``docs``, or of ``sample`` of them where that is given.
+
+    Each pass is one job over the stored counts; the driver gets sums by topic and bucket. A
+    start is the text least like any start before it. Weights are summed as whole numbers, so
+    centres do not depend on how the rows are dealt.
+    """
+    rows = documents(docs)
+    if sample is not None:
+        rows = rows.join(F.broadcast(rows.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()), "doc_id")
+    held = _vectors(rows)
+
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            total += np.bincount(_flat(batch.column("code"), np.uint16)[0], minlength=BUCKETS)
+        yield pa.RecordBatch.from_pandas(pd.DataFrame({"code": np.arange(BUCKETS, dtype=np.int32), "n": total}), preserve_index=False)
+
+    known = held.mapInArrow(present, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    df = np.zeros(BUCKETS)
+    df[known["code"]] = known["n"]
+    idf = np.log((held.count() + 1) / (df + 1))
+    centres = np.zeros((0, BUCKETS))
+
+    def least_like(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, row = None, None
+        for batch in batches:
+            h, code, w, first, size = _weighted(batch, idf)
+            if len(h):
+                like = _scores(code, w, first, centres).max(1) if len(centres) else np.zeros(len(h))
+                i = int(np.lexsort((h, like))[0])
+                if best is None or (like[i], h[i]) < best:
+                    at = slice(first[i], first[i] + size[i])
+                    best, row = (like[i], h[i]), (code[at], w[at])
+        if best is not None:
+            yield pa.RecordBatch.from_pydict({"like": pa.array([float(best[0])]), "h": pa.array([int(best[1])]), "code": pa.array([row[0].tolist()], pa.list_(pa.int32())), "w": pa.array([row[1].tolist()], pa.list_(pa.float64()))})
+
+    while len(centres) < topics:
+        found = held.mapInArrow(least_like, "like double, h long, code array<int>, w array<double>").orderBy("like", "h").first()
+        if found is None or found["like"] >= 1 - 1e-9:
+            break
+        centres = np.vstack([centres, np.zeros(BUCKETS)])
+        centres[-1, found["code"]] = found["w"]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(centres.size)
+        for batch in batches:
+            h, code, w, first, size = _weighted(batch, idf)
+            if len(h):
+                own = _scores(code, w, first, centres).argmax(1)
+                total += np.bincount(np.repeat(own, size) * BUCKETS + code.astype(np.int64), np.rint(w * UNIT), minlength=centres.size)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pandas(pd.DataFrame({"at": at, "w": total[at].astype(np.int64)}), preserve_index=False)
+
+    for _ in range(LLOYD if len(centres) else 0):
+        got = held.mapInArrow(summed, "at long, w long").groupBy("at").agg(F.sum("w").alias("w")).toPandas()
+        sums = np.zeros(centres.size)
+        sums[got["at"]] = got["w"]
+        sums = sums.reshape(centres.shape)
+        sums = np.where(sums.any(1)[:, None], sums, centres)
+        last, centres = centres, sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+        if np.abs(centres - last).max() < 1e-9:
+            break
+    return Topics(np.vstack([centres, np.zeros((topics - len(centres), BUCKETS))]).T * idf[:, None])
 
 
 def described(docs: DataFrame, topics: Topics, columns: list[str] | None = None) -> DataFrame:
