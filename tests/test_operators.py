@@ -505,3 +505,17 @@ def test_page_paragraphs_equal_their_sql_with_every_kind_of_character_reference(
         got = {r.item_key: r.paragraph for r in query(spark, str(tmp_path)).collect()}
         assert got == dict(con.sql(ORACLE_SQL[query.__name__]).fetchall())
     assert got[0].startswith("Words © of") and got[3].startswith("Words ' of") and "&nosuch;" in got[10] and "&lt;" in got[11]
+
+
+def test_spread_deals_one_row_group_to_every_core(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tidewatch.session import spread
+
+    # many bytes in one row group: split by bytes, but all rows lie in one split
+    pq.write_table(pa.table({"k": list(range(2000)), "t": [f"{i:05d}" * 3000 for i in range(2000)]}), f"{tmp_path}/t.parquet", compression="none", use_dictionary=False)
+    used = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    df = spark.read.parquet(f"{tmp_path}/t.parquet")
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and used(df) == 1
+    assert used(spread(df)) >= spark.sparkContext.defaultParallelism and spread(df).count() == 2000
