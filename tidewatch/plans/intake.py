@@ -8,7 +8,7 @@ from tidewatch.functions import dates as D
 from tidewatch.functions import text as T
 from tidewatch.operators import versions as V
 from tidewatch.plans import NOW, query
-from tidewatch.session import scratch, table
+from tidewatch.session import scratch, spread, table
 from tidewatch.sources import payloads as P
 from tidewatch.sources import xml as X
 
@@ -77,7 +77,7 @@ def payload_items(spark, d):
     """The five payload shapes; entries without their mandatory fields, or with numbers in them, are dropped."""
 
     def of(shape, name, key, body):
-        rows = table(spark, d, name).select(F.lit(shape).alias("shape"), F.col(key).cast("long").alias("id"), F.to_json(body).alias("entry"))
+        rows = spread(table(spark, d, name)).select(F.lit(shape).alias("shape"), F.col(key).cast("long").alias("id"), F.to_json(body).alias("entry"))
         return P.items(rows, shape, "entry")
 
     s, c = F.struct, F.col
@@ -104,7 +104,7 @@ def search_entries(spark, d):
         F.when(k % 2 == 0, F.concat(F.lit("  tool \n of "), "c_name")).alias("description"), F.lit("").alias("language"), F.struct(F.when(k % 3 == 0, "NOASSERTION").otherwise("MIT").alias("spdx_id")).alias("license"),
         F.when(k % 13 != 0, k * 2).otherwise(-1).alias("stargazers_count"), (k % 40).alias("open_issues_count"), F.when(k % 17 != 0, "2024-01-02T03:04:05Z").otherwise("soon").alias("pushed_at"), (k % 5 == 0).alias("fork"), F.lit(False).alias("archived"),
     )
-    return table(spark, d, "customer").select(k.alias("entry_id"), P.repository(F.try_parse_json(F.to_json(entry))).alias("r"))
+    return spread(table(spark, d, "customer")).select(k.alias("entry_id"), P.repository(F.try_parse_json(F.to_json(entry))).alias("r"))
 
 
 @query("""SELECT c_custkey AS repo_id, replace(c_mktsegment, ' ', '') || '/' || c_name AS full_name, CASE WHEN c_custkey % 2 = 0 THEN 'tool of ' || c_name END AS description, NULL::VARCHAR AS language,
@@ -191,7 +191,7 @@ def payload_bodies(spark, d):
         F.to_json(F.struct(F.lit("short").alias("content"), say(F.lit("the summary of "), name).alias("summary"))), F.to_json(F.struct(say(name, F.lit(" "), name, F.lit(" encoded")).alias("content:encoded"), F.lit("x").alias("description"))),
         F.to_json(F.struct(F.struct(say(seg, F.lit(" in an object")).alias("#text")).alias("description"), F.lit(7).alias("content"))), say(F.lit("{broken "), name),
     ]
-    return table(spark, d, "customer").select(k.alias("item_key"), P.longest_body(F.element_at(F.array(*forms), (k % 4 + 1).cast("int"))).alias("body"))
+    return spread(table(spark, d, "customer")).select(k.alias("item_key"), P.longest_body(F.element_at(F.array(*forms), (k % 4 + 1).cast("int"))).alias("body"))
 
 
 @query("""SELECT doc_id AS item_key, 'title ' || doc_id || ' ' || coalesce('about ' || lang || ' ', '') || 'a1 b2' AS text, CASE WHEN doc_id % 2 = 0 THEN 'What it says.' ELSE 'arXiv:12 has no such start' END AS abstract FROM documents""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,11 @@ from tidewatch.functions.text import excerpt
 ITEM = ("url", "title", "published_at", "summary", "author")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value made once a row however often it is used."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def text_at(v: Column, path: str) -> Column:
     """The string at a path of a variant; a value of another type is null."""
     found = F.try_variant_get(v, path, "variant")
@@ -75,7 +81,7 @@ SHAPES = {"exploited": exploited, "vulnerability": vulnerability, "discussion":
 def items(df: DataFrame, shape: str, entry: str) -> DataFrame:
     """The other columns of ``df`` and the item of each JSON ``entry`` of one shape; entries without one are dropped."""
     rest = [c for c in df.columns if c != entry]
-    return df.select(*rest, SHAPES[shape](F.try_parse_json(entry)).alias("_item")).where("_item is not null").select(*rest, "_item.*")
+    return df.select(*rest, once(F.try_parse_json(entry), SHAPES[shape]).alias("_item")).where("_item is not null").select(*rest, "_item.*")
 
 
 def strip_publisher(title: Column, publisher: Column) -> Column:
@@ -87,28 +93,36 @@ def strip_publisher(title: Column, publisher: Column) -> Column:
 
 def repository(v: Column) -> Column:
     """(repo, reason): a code-host search entry as a typed repository, or why it is none."""
+    return once(v, lambda v: once(_repository_fields(v), lambda r: once(publication_date(r["pushed"]), lambda at: _typed(r, at))))
+
+
+def _repository_fields(v: Column) -> Column:
+    """The fields of an entry that have the type they should have."""
     kind = lambda p: F.schema_of_variant(F.try_variant_get(v, p, "variant"))
     number = lambda p: F.when(kind(p) == "BIGINT", F.try_variant_get(v, p, "bigint"))
     flag = lambda p: F.when(kind(p) == "BOOLEAN", F.try_variant_get(v, p, "boolean"))
-    owner, name = text_at(v, "$.owner.login"), text_at(v, "$.name")
+    return F.struct(
+        number("$.id").alias("id"), text_at(v, "$.owner.login").alias("owner"), text_at(v, "$.name").alias("name"), flag("$.fork").alias("fork"), flag("$.archived").alias("archived"),
+        text_at(v, "$.pushed_at").alias("pushed"), F.coalesce(kind("$.pushed_at") != "VOID", F.lit(False)).alias("dated"), number("$.stargazers_count").alias("stars"), number("$.open_issues_count").alias("issues"),
+        not_blank(text_at(v, "$.license.spdx_id")).alias("licence"), text_at(v, "$.description").alias("description"), not_blank(text_at(v, "$.language")).alias("language"),
+    )
+
+
+def _typed(r: Column, at: Column) -> Column:
     segment = lambda c: F.coalesce(c.rlike(r"^[^/\s]+$"), F.lit(False))
-    pushed = text_at(v, "$.pushed_at")
-    at = publication_date(pushed)
-    bad_date = F.coalesce(kind("$.pushed_at") != "VOID", F.lit(False)) & at.isNull()
-    count = lambda p: F.coalesce(number(p) >= 0, F.lit(False))
+    count = lambda c: F.coalesce(c >= 0, F.lit(False))
     reason = (
-        F.when(~F.coalesce(number("$.id") > 0, F.lit(False)), "id")
-        .when(~segment(owner), "owner").when(~segment(name), "name")
-        .when(flag("$.fork").isNull() | flag("$.archived").isNull(), "flags")
-        .when(bad_date, "pushed_at")
-        .when(~count("$.stargazers_count"), "stars").when(~count("$.open_issues_count"), "issues")
+        F.when(~F.coalesce(r["id"] > 0, F.lit(False)), "id")
+        .when(~segment(r["owner"]), "owner").when(~segment(r["name"]), "name")
+        .when(r["fork"].isNull() | r["archived"].isNull(), "flags")
+        .when(r["dated"] & at.isNull(), "pushed_at")
+        .when(~count(r["stars"]), "stars").when(~count(r["issues"]), "issues")
     )
-    licence = not_blank(text_at(v, "$.license.spdx_id"))
     repo = F.struct(
-        number("$.id").alias("repo_id"), F.concat_ws("/", owner, name).alias("full_name"), excerpt(text_at(v, "$.description")).alias("description"), not_blank(text_at(v, "$.language")).alias("language"),
-        F.when(licence != "NOASSERTION", licence).alias("licence"), number("$.stargazers_count").alias("stars"), number("$.open_issues_count").alias("issues"), at.alias("pushed_at"), flag("$.fork").alias("fork"), flag("$.archived").alias("archived"),
+        r["id"].alias("repo_id"), F.concat_ws("/", r["owner"], r["name"]).alias("full_name"), once(r["description"], excerpt).alias("description"), r["language"].alias("language"),
+        F.when(r["licence"] != "NOASSERTION", r["licence"]).alias("licence"), r["stars"].alias("stars"), r["issues"].alias("issues"), at.alias("pushed_at"), r["fork"].alias("fork"), r["archived"].alias("archived"),
     )
-    return F.struct(F.when(reason.isNull(), repo).alias("repo"), reason.alias("reason"))
+    return once(reason, lambda why: F.struct(F.when(why.isNull(), repo).alias("repo"), why.alias("reason")))
 
 
 def _pruned(value):
@@ -132,7 +146,7 @@ def prune_urls(payload: pd.Series) -> pd.Series:
 
 def longest_body(payload: Column) -> Column:
     """The longest of content:encoded, content, description and summary of a JSON payload, each a string or an object with #text; of equal ones the last."""
-    v = F.try_parse_json(payload)
     names = ["content:encoded", "content", "description", "summary"]
-    told = F.array_compact(F.array(*[F.struct(F.length(t).alias("n"), F.lit(i).alias("i"), t.alias("t")) for i, k in enumerate(names) for t in [F.coalesce(text_at(v, f"$['{k}']"), text_at(v, f"$['{k}']['#text']"))]]))
-    return F.array_max(F.filter(told, lambda c: c["t"].isNotNull()))["t"]
+    told = lambda v: F.array(*[F.coalesce(text_at(v, f"$['{k}']"), text_at(v, f"$['{k}']['#text']")) for k in names])
+    sized = lambda v: F.transform(told(v), lambda t, i: F.struct(F.length(t).alias("n"), i.alias("i"), t.alias("t")))
+    return once(F.try_parse_json(payload), lambda v: F.array_max(F.filter(sized(v), lambda c: c["t"].isNotNull()))["t"])
