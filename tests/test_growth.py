@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.operators import terms
 from tidewatch.sources import payloads as P
 
 
@@ -20,3 +21,18 @@ def test_a_payload_is_parsed_once_for_its_rows_and_once_for_their_filter(spark,
     else:
         made = P.items(rows, next(k for k, v in P.SHAPES.items() if v is use), "entry")
     assert 1 <= plan_of(made).lower().count("parsejson") + plan_of(made).count("parse_json") <= 2
+
+
+def test_terms_are_found_in_one_pass_over_the_texts(spark):
+    texts = spark.range(4).selectExpr("id AS item_key", "element_at(array('on the house', 'the end', 'On-the  house', 'on, the house'), int(id) + 1) AS text")
+    found = terms.find_terms(texts, "item_key", ["text"], [("on the house", False), ("the", False), ("On the", True), ("absent", False)])
+    assert plan_of(found).count("Range (") == 1
+    assert {(r.item_key, r.term) for r in found.collect()} == {(0, "on the house"), (2, "on the house"), (2, "On the"), *((i, "the") for i in range(4))}
+
+
+@pytest.mark.parametrize("most", [0, 1_000])
+def test_listed_and_joined_words_find_the_same(spark, monkeypatch, most):
+    monkeypatch.setattr(terms, "LISTED", most)
+    texts = spark.createDataFrame([(1, "a b", "c a-b"), (2, "b", None), (3, "", "A  B c"), (4, None, None)], "k int, title string, summary string")
+    found = terms.find_terms(texts, "k", ["title", "summary"], [("a b", False), ("b c", False), ("B", True)])
+    assert {tuple(r) for r in found.collect()} == {(1, "a b", False, True, True), (1, "b c", False, False, False), (3, "a b", False, False, True), (3, "b c", False, False, True), (3, "B", True, False, True)}
