@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tidewatch.operators.tables import read, upsert_into
 from tidewatch.operators.versions import newest
@@ -29,6 +31,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), f"{OTHER}+"), lambda w: w != "")
 
 
+@F.pandas_udf(ArrayType(StructType([StructField("word", StringType()), StructField("at", ArrayType(IntegerType()))])))
+def gathered(words: pd.Series) -> pd.Series:
+    """Each distinct word of a text with its places in order."""
+
+    def one(text) -> list[dict]:
+        at: dict[str, list[int]] = {}
+        for i, w in enumerate(text):
+            at.setdefault(w, []).append(i)
+        return [{"word": w, "at": places} for w, places in at.items()]
+
+    return words.map(one)
+
+
 def phrases(query: str) -> list[list[str]]:
     """What white space parts in a query, each as the words that must stand in a row; none for a blank query."""
     found = [[w for w in re.split(r"[\W_]+", p.lower()) if w] for p in query.split()]
@@ -47,14 +62,12 @@ class SearchIndex:
         size = sum((F.size(words(F.col(f))) for f in self.fields), F.lit(0)).cast("long").alias("n")
         rows = stored(newest(versions.select("item_key", place, *self.fields), ["item_key"], "place"), "search-new").select("item_key", "place", *self.fields, size)
         # postings first: without the item's row of this version they are met by nothing
-        token = lambda f, i: rows.select("item_key", "place", F.lit(i).alias("field"), F.posexplode(words(F.col(f))).alias("at", "word"))
-        places = token(self.fields[0], 0)
-        for i, f in enumerate(self.fields[1:], 1):
-            places = places.unionByName(token(f, i))
-        made = places.groupBy("word", "item_key", "place", "field").agg(F.array_sort(F.collect_list("at")).alias("at"))
+        # a word's places in a text are gathered where the text is, so that only postings move
+        texts = F.array(*[words(F.col(f)) for f in self.fields])
+        made = rows.select("item_key", "place", F.posexplode(texts).alias("field", "words")).select("item_key", "place", "field", F.inline(gathered("words")))
         made = made.withColumn("bucket", F.pmod(F.hash("word"), F.lit(self.buckets)))
         made.repartition("bucket").sortWithinPartitions("bucket", "word").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
-        return upsert_into(f"{self.path}/items", rows, ["item_key"], "place", self.buckets)
+        return upsert_into(f"{self.path}/items", rows, ["item_key"], "place", self.buckets, single=True)
 
     def compact(self) -> None:
         """Writes the postings of current versions alone, each once, part by part."""

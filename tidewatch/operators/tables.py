@@ -24,19 +24,26 @@ def read(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def upsert_into(path: str, seen: DataFrame, keys: list[str], observed: str, buckets: int = BUCKETS) -> DataFrame:
+def upsert_into(path: str, seen: DataFrame, keys: list[str], observed: str, buckets: int = BUCKETS, single: bool = False) -> DataFrame:
     """Puts observations into a stored table, and returns (keys, action): inserted, updated or ignored for each key that was seen.
 
     The table is parted by a hash of the keys. Only parts that the batch has keys of are
     read, only parts with newer rows are written, each replaced as a whole; a second run
-    of the same batch ignores every key and writes nothing. Of one key's rows the last counts.
+    of the same batch ignores every key and writes nothing. Of one key's rows the last counts; ``single`` tells
+    that ``seen`` is stored and has one row a key. Into an empty table rows go as they are.
     """
     spark = seen.sparkSession
-    new = newest(seen, keys, observed, *[c for c in seen.columns if c not in (*keys, observed)]).withColumn("bucket", F.pmod(F.hash(*keys), F.lit(buckets)))
-    new = stored(new, "upsert-new")
-    touched = sorted(r.bucket for r in new.select("bucket").distinct().collect())
+    bucket = F.pmod(F.hash(*keys), F.lit(buckets))
+    if single:
+        new = seen.withColumn("bucket", bucket)
+    else:
+        new = stored(newest(seen, keys, observed, *[c for c in seen.columns if c not in (*keys, observed)]).withColumn("bucket", bucket), "upsert-new")
     held = read(spark, path)
-    held = new.limit(0) if held is None else held.select(*new.columns)
+    if held is None:
+        new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        return new.select(*keys, F.lit("inserted").alias("action"))
+    touched = sorted(r.bucket for r in new.select("bucket").distinct().collect())
+    held = held.select(*new.columns)
     merged = stored(upsert_if_newer(held.where(F.col("bucket").isin(touched)), new, [*keys, "bucket"], observed), "upsert-merged")
     moved = merged.where(F.col("action").isin("inserted", "updated"))
     changed = sorted(r.bucket for r in moved.select("bucket").distinct().collect())
