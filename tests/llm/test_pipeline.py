@@ -92,3 +92,19 @@ def test_pipeline_of_nothing_and_of_odd_rows(spark, no_docs, odd_docs, odd_rows,
     ids = {r.doc_id for r in pieces}
     assert ids <= {i for i, _ in odd_rows} and len(ids) > 20
     assert all(r.offset == 0 and r.length & (r.length - 1) == 0 for r in pieces)
+
+
+def test_few_pairs_of_one_template_meet(spark):
+    # all share the template, each has too many shingles of its own to be near another, yet too few to fill a prefix
+    base = [f"t{i}" for i in range(300)]
+    rows = [(i, " ".join(f"own{i}x{j}" if j % 40 == i % 40 else w for j, w in enumerate(base))) for i in range(160)]
+    rows += [(1000 + i, " ".join(base[:100] + [f"near{i}"] + base[101:])) for i in range(6)]
+    df = simhash.documents(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("th", simhash.F.xxhash64("text"))
+    hot = spark.sparkContext.broadcast(simhash._hot_shingles(df, 5))
+    heads = df.mapInPandas(simhash._described(5, 0.8, hot), df.sparkSession.createDataFrame([], "doc_id long, th long, fp long, size int, head array<long>").schema).cache()
+    th = {r.doc_id: r.th for r in df.select("doc_id", "th").collect()}
+    near = {tuple(sorted((th[a[0]], th[b[0]]))) for i, a in enumerate(rows) for b in rows[:i] if jaccard(a[1], b[1]) >= 0.8}
+    met = [(r.a, r.b) for r in simhash._met(heads, heads, 0.8).select("a", "b").collect()]
+    assert near <= set(met) and len(near) == 15
+    assert len(met) < 40 * len(rows)
+    assert {(r.a, r.b) for r in simhash.similar(heads, heads, df, 5, 0.8).collect()} == near

@@ -279,7 +279,7 @@ def _described(words: int, similarity: float, hot):
         for pdf in slices(batches):
             each = [np.array(shingle_hashes(t, words), np.uint64) for t in pdf["text"]]
             fp = simhash(np.concatenate(each), np.array([len(x) for x in each], np.int64))
-            heads, rest, size = [], [], []
+            heads, size = [], []
             for x in each:
                 x = np.unique(x).view(np.int64)
                 if len(often):
@@ -287,9 +287,8 @@ def _described(words: int, similarity: float, hot):
                     x = x[np.argsort(often[at] == x, kind="stable")]
                 left = max(0, int(np.ceil(similarity * len(x) - 1e-9)) - 1)
                 heads.append(x[: len(x) - left])
-                rest.append(left)
                 size.append(len(x))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "th": pdf["th"], "fp": fp.view(np.int64), "size": np.array(size, np.int32), "rest": np.array(rest, np.int32), "head": heads})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "th": pdf["th"], "fp": fp.view(np.int64), "size": np.array(size, np.int32), "head": heads})
 
     return run
 
@@ -302,18 +301,27 @@ def _hot_shingles(texts: DataFrame, words: int) -> np.ndarray:
     return np.sort(often.select("shingle").toArrow().column("shingle").to_numpy().astype(np.int64))
 
 
+def _met(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): two texts, once for each shingle that is early enough in both prefixes to be the first that two similar texts share.
+
+    Such texts of sizes x and y share t / (1 + t) * (x + y) shingles at least. All of them
+    stand from the first one on, so not more than x less that many stand before it in the one
+    and y less that many in the other. Of a template's texts that differ in more than that by
+    shingles of their own, which order before the template's, no pair meets.
+    """
+    x = left.select(F.posexplode("head").alias("i", "shingle"), F.col("th").alias("a"), F.col("size").alias("x"))
+    y = right.select(F.posexplode("head").alias("j", "shingle"), F.col("th").alias("b"), F.col("size").alias("y"))
+    least = (F.col("x") + F.col("y")) * (similarity / (1 + similarity)) - 1e-6
+    early = (F.col("i") <= F.col("x") - least) & (F.col("j") <= F.col("y") - least)
+    return x.join(y, "shingle").where(((F.col("a") < F.col("b")) if left is right else (F.col("a") != F.col("b"))) & early)
+
+
 def similar(left: DataFrame, right: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """(a, b): every pair of texts of the two prefix tables, told by ``th``, with a Jaccard similarity of ``similarity`` or more.
 
-    Two such texts of sizes x and y share t / (1 + t) * (x + y) shingles, so at least
-    that less the longer part behind a prefix within the prefixes.
+    Each of them is looked at once for its whole sets.
     """
-    x = left.select(F.explode("head").alias("shingle"), F.col("th").alias("a"), F.col("size").alias("x"), F.col("rest").alias("p"))
-    y = right.select(F.explode("head").alias("shingle"), F.col("th").alias("b"), F.col("size").alias("y"), F.col("rest").alias("q"))
-    near_in_size = F.least("x", "y") >= F.greatest("x", "y") * F.lit(similarity) - 1e-6
-    ordered = (F.col("a") < F.col("b")) if left is right else (F.col("a") != F.col("b"))
-    met = x.join(y, "shingle").where(ordered & near_in_size).groupBy("a", "b", "x", "y", "p", "q").agg(F.count("*").alias("n"))
-    met = cut(met.where(F.col("n") >= (F.col("x") + F.col("y")) * (similarity / (1 + similarity)) - F.greatest("p", "q") - 1e-6).select("a", "b"))
+    met = cut(_met(left, right, similarity).select("a", "b").distinct())
     # written, so that its size is known and few names do not make all texts move
     named = stored(met.select(F.col("a").alias("_th")).union(met.select("b")).distinct(), "named")
     wanted = texts.join(named, F.col("th") == F.col("_th")).select(F.lit(0).cast("long").alias("component"), "doc_id", "th", "text")
@@ -379,11 +387,11 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 8, similarity: float
     """
     keyed = documents(docs).withColumn("th", F.xxhash64("text"))
     hot = docs.sparkSession.sparkContext.broadcast(_hot_shingles(keyed, words))
-    seen = stored(keyed.mapInPandas(_described(words, similarity, hot), "doc_id long, th long, fp long, size int, rest int, head array<long>"), "described")
+    seen = stored(keyed.mapInPandas(_described(words, similarity, hot), "doc_id long, th long, fp long, size int, head array<long>"), "described")
     member = cut(seen.select("doc_id", "th", "fp").join(components(seen.select("doc_id", "th", "fp"), radius), "fp").select("doc_id", "th", "component").distinct())
     first = cut(member.groupBy("component", "th").agg(F.min("doc_id").alias("doc_id")))
     met = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
-    prefixes = lambda some: stored(seen.select("th", "size", "rest", "head").join(some.select("th"), "th", "left_semi").dropDuplicates(["th"]), "prefixes")
+    prefixes = lambda some: stored(seen.select("th", "size", "head").join(some.select("th"), "th", "left_semi").dropDuplicates(["th"]), "prefixes")
     pending, kept, gone = first, None, first.select("th").where("false")
     while True:
         went = _one_of_each_component(pending, keyed, words, similarity)
