@@ -103,3 +103,17 @@ def test_packing(odd_docs, odd_rows, no_docs):
         assert {r.doc_tokens for r in rows if r.doc_id == i} == {len(ids) // 4}
     assert packing.pack(no_docs, path).count() == 0
     assert packing.pieces(4096 * 2 + 5) == [4096, 4096, 4, 1]
+
+
+def test_only_distinct_words_are_encoded():
+    enc = tokens.ChunkEncoder(tokens.tokenizer_path("byte_bpe_50k.json"))
+    texts = ["an \ntwo one\ntwo one.\ntwo,$$$ \ntwo", "one$$$ one&&& one.### été.\nété one*", "x\ntwo.\n\ntwo one.\n two", "$$ one\n\n", "one's$$ one'$ $"]
+    assert enc.batch(texts) == [enc.whole(t) for t in texts]
+    # words with marks behind them and words at the ends of lines take no call of the whole library
+    calls, whole = [], enc.learn
+    enc.learn = lambda hard: calls.append(hard) or whole(hard)
+    one, texts = enc.unit, ["go " + " ".join(f"word{c}{m}" for c in "abcdefgh" for m in ("", ".", "$$$", "&&&", ".%%%")), "go worda"]
+    made = []
+    enc.unit = lambda *a: made.append(a) or one(*a)
+    assert enc.batch(texts * 3) == [enc.whole(t) for t in texts * 3]
+    assert not calls and len(made) <= 13
