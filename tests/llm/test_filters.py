@@ -297,3 +297,19 @@ def test_topics_are_learned_from_all_documents_however_they_are_dealt(spark):
     again = mixing.learn_topics(docs.repartition(7), topics=3)
     assert (model.weights == again.weights).all()
     assert not mixing.learn_topics(docs.where("doc_id is null"), topics=3).weights.any()
+
+
+def test_scores_take_one_centre_at_a_time():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    size = rng.integers(1, 400, 1000)
+    first = np.cumsum(size) - size
+    code, w, centres = rng.integers(0, mixing.BUCKETS, size.sum()).astype(np.uint16), rng.random(size.sum()), rng.random((8, mixing.BUCKETS))
+    tracemalloc.start()
+    got = mixing._scores(code, w, first, centres)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * w.nbytes
+    want = [[float((c[code[a : a + n]] * w[a : a + n]).sum()) for c in centres] for a, n in zip(first, size)]
+    assert np.allclose(got, want, atol=1e-8)
