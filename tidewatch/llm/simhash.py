@@ -319,11 +319,19 @@ def _met(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
 def similar(left: DataFrame, right: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """(a, b): every pair of texts of the two prefix tables, told by ``th``, with a Jaccard similarity of ``similarity`` or more.
 
-    Each of them is looked at once for its whole sets.
+    A pair that meets is judged by its prefixes first: what two similar texts share is within
+    both, but for the longer part behind a prefix. Whole sets are compared of the rest only.
     """
-    met = cut(_met(left, right, similarity).select("a", "b").distinct())
     # written, so that its size is known and few names do not make all texts move
-    named = stored(met.select(F.col("a").alias("_th")).union(met.select("b")).distinct(), "named")
+    names = lambda pairs: stored(pairs.select(F.col("a").alias("_th")).union(pairs.select("b")).distinct(), "named")
+    met = cut(_met(left, right, similarity).select("a", "b").distinct())
+    named = names(met)
+    x = left.join(named, F.col("th") == F.col("_th"), "left_semi").select(F.col("th").alias("a"), F.col("size").alias("x"), F.col("head").alias("s"))
+    y = right.join(named, F.col("th") == F.col("_th"), "left_semi").select(F.col("th").alias("b"), F.col("size").alias("y"), F.col("head").alias("t"))
+    behind = F.greatest(F.col("x") - F.size("s"), F.col("y") - F.size("t"))
+    enough = F.size(F.array_intersect("s", "t")) >= (F.col("x") + F.col("y")) * (similarity / (1 + similarity)) - behind - 1e-6
+    met = cut(met.join(x, "a").join(y, "b").where(enough).select("a", "b"))
+    named = names(met)
     wanted = texts.join(named, F.col("th") == F.col("_th")).select(F.lit(0).cast("long").alias("component"), "doc_id", "th", "text")
     sets = cut(wanted.mapInPandas(_shingle_sets(words), "component long, doc_id long, th long, shingles array<long>").select("th", "shingles").dropDuplicates(["th"]))
     both = met.join(sets.select(F.col("th").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("th").alias("b"), F.col("shingles").alias("t")), "b")
